@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 
 from tallyspark import oracle as O
 from tallyspark.functions.filters import UsageFilter, preset_bounds, previous_period
+from tallyspark.plans import ingest as I
 from tallyspark.plans import reports as R
-from tallyspark.session import apply_required_conf
+from tallyspark.session import apply_required_conf, fresh_path
 from tallyspark.sources import fixtures as fx
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -120,8 +121,23 @@ def _month_start_text(view: str) -> str:
     return dt.date(a.year, a.month, 1).isoformat()
 
 
+def _ingest_event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events -> JSONL files (one folder per slug, replays, junk) -> incremental
+    ingest into a fresh store -> the stored fact rows (layout-dependent
+    source_file / source_line left out)."""
+    apply_required_conf(spark)
+    root = fresh_path(spark, "event-logs")
+    fx.write_event_logs(spark, sf_dir, root)
+    store = I.UsageStore(fresh_path(spark, "usage-store"))
+    I.ingest(spark, root, store, glob="*.txt")
+    I.ingest(spark, root, store, glob="*.txt")  # a second run changes nothing
+    return present(I.read_usage(spark, store).drop("source_file", "source_line"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        # S-01..S-10, M-01..M-04: JSONL ingest round trip
+        "ingest_event_logs": _ingest_event_logs,
         # R-07 model ranking (flagship), both views and filtered variants
         "model_ranking": _report("lineitem", R.model_ranking),
         "model_ranking_events": _report("events", R.model_ranking),
@@ -177,6 +193,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "ingest_event_logs": O.ingested_event_logs(),
         "model_ranking": O.model_ranking("lineitem"),
         "model_ranking_events": O.model_ranking("events"),
         "model_ranking_date_range": O.model_ranking("lineitem", LI_RANGE_SQL),

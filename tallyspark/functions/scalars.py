@@ -43,7 +43,7 @@ def empty_to_null(c: Column) -> Column:
 
 def instant_to_utc_ntz(instant: Column) -> Column:
     """A zoned timestamp as UTC wall-clock time, independent of the session zone."""
-    return F.timestampadd("MICROSECOND", F.unix_micros(instant), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def rfc3339_to_utc(text: Column) -> Column:

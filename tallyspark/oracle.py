@@ -437,3 +437,28 @@ def search_filter_sql(search: str) -> str:
 
 def as_of(view: str) -> str:
     return AS_OF[view]
+
+
+def ingested_event_logs() -> str:
+    """Fact rows the ingest of the event-derived logs must store."""
+    from .sources.fixtures import LOG_PARTITION
+
+    return f"""
+WITH r AS (
+  SELECT CAST(event_id AS VARCHAR) AS message_id,
+         CASE WHEN event_id % 2 = 1 THEN 'req-' || CAST(event_id AS VARCHAR) END AS request_id,
+         CAST(user_id AS VARCHAR) AS session_id,
+         '{LOG_PARTITION}=-u-' || CAST(user_id % 7 AS VARCHAR) AS project_slug,
+         CASE WHEN user_id % 3 = 0 THEN NULL ELSE '/u/' || CAST(user_id % 7 AS VARCHAR) || '/' || CAST(user_id % 2 AS VARCHAR) END AS cwd,
+         CASE WHEN event_type = 'view' THEN 'HEAD' ELSE event_type END AS git_branch,
+         {_event_model_sql()} AS model,
+         CAST(ts AS TIMESTAMP) AS ts,
+         COALESCE(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS input_tokens,
+         COALESCE(CAST(floor(value) AS BIGINT), 0) AS output_tokens,
+         CAST(event_id % 1000 AS BIGINT) AS cache_creation_tokens,
+         CAST(event_id % 7919 AS BIGINT) AS cache_read_tokens
+  FROM events WHERE event_type <> 'signup')
+SELECT message_id, request_id, session_id, project_slug, cwd, git_branch, model, {ts_text('ts')} AS ts,
+       {', '.join(TOK)}, COALESCE(NULLIF(cwd, ''), project_slug) AS project_key,
+       strftime(CAST(ts AS DATE), '%Y-%m-%d') AS usage_date
+FROM r"""

@@ -157,3 +157,54 @@ def budgets(spark: SparkSession) -> DataFrame:
 
     rows = [(i, n, a, s, None, None) for (i, n, a, s) in BUDGETS]
     return spark.createDataFrame(rows, BUDGET_SCHEMA)
+
+
+# --- JSONL session logs derived from the events table ----------------------
+# Each event becomes one log line under <root>/p=<slug>/ (the directory
+# written by partitionBy, so the project slug read back is "p=<slug>").
+# signup events are written as user lines (not usage); every 10th usage event
+# is repeated under p=~replay with other counters (the first copy in walk
+# order must win); every 50th event also gets a malformed line and a blank
+# line next to it.
+LOG_PARTITION = "p"
+REPLAY_DIR = "~replay"
+
+
+def event_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    uid, eid = F.col("user_id"), F.col("event_id")
+    usage = F.struct(
+        F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.lit(0)).alias("input_tokens"),
+        F.coalesce(F.floor("value").cast("bigint"), F.lit(0)).alias("output_tokens"),
+        (eid % 1000).alias("cache_creation_input_tokens"),
+        (eid % 7919).alias("cache_read_input_tokens"),
+    )
+
+    def line(u):
+        return F.to_json(
+            F.struct(
+                F.when(F.col("event_type") == "signup", F.lit("user")).otherwise(F.lit("assistant")).alias("type"),
+                F.when(eid % 2 == 1, F.concat(F.lit("req-"), _s(eid))).otherwise(F.lit("")).alias("requestId"),
+                _s(uid).alias("sessionId"),
+                F.when(uid % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("/u/"), _s(uid % 7), F.lit("/"), _s(uid % 2))).alias("cwd"),
+                F.when(F.col("event_type") == "view", F.lit("HEAD")).otherwise(F.col("event_type")).alias("gitBranch"),
+                F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+                F.struct(_s(eid).alias("id"), event_model(F.col("event_type"), uid).alias("model"), u.alias("usage")).alias("message"),
+            )
+        )
+
+    slug = F.concat(F.lit("-u-"), _s(uid % 7))
+    main = ev.select(slug.alias(LOG_PARTITION), line(usage).alias("value"))
+    replay_usage = usage.withField("output_tokens", usage.getField("output_tokens") + 1)
+    replay = ev.filter((eid % 10 == 0) & (F.col("event_type") != "signup")).select(
+        F.lit(REPLAY_DIR).alias(LOG_PARTITION), line(replay_usage).alias("value")
+    )
+    junk = ev.filter(eid % 50 == 0).select(
+        slug.alias(LOG_PARTITION),
+        F.explode(F.array(F.concat(F.lit('{"type":"assistant","message":{"id":'), _s(eid)), F.lit(""))).alias("value"),
+    )
+    return main.unionByName(replay).unionByName(junk)
+
+
+def write_event_logs(spark: SparkSession, sf_dir: str, root: str) -> None:
+    event_log_lines(spark, sf_dir).write.partitionBy(LOG_PARTITION).text(root)
