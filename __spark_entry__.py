@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from tallyspark import oracle as O
 from tallyspark.functions.filters import UsageFilter, preset_bounds, previous_period
 from tallyspark.plans import ingest as I
+from tallyspark.plans import pricing_sync as PS
 from tallyspark.plans import reports as R
 from tallyspark.session import apply_required_conf, fresh_path
 from tallyspark.sources import fixtures as fx
@@ -134,8 +135,44 @@ def _ingest_event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(I.read_usage(spark, store).drop("source_file", "source_line"))
 
 
+def _sync_at() -> dt.datetime:
+    return dt.datetime.fromisoformat(fx.SYNC_AT)
+
+
+def _synced(spark: SparkSession, sf_dir: str):
+    """Feed derived from part -> normalised rows; fixture sheet + seeds -> synced sheet."""
+    apply_required_conf(spark)
+    now = _sync_at()
+    rows = PS.normalise_feed(fx.feed_from_part(spark, sf_dir), now)
+    sheet = PS.seed_missing(spark, fx.rate_sheet(spark), now)
+    new_sheet, counters = PS.sync(sheet, rows)
+    return rows, new_sheet, counters
+
+
+def _feed_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present(_synced(spark, sf_dir)[0])
+
+
+def _sync_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present(R.price_sheet(_synced(spark, sf_dir)[1]))
+
+
+def _sync_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present(_synced(spark, sf_dir)[2])
+
+
+def _ranking_synced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new_sheet = _synced(spark, sf_dir)[1]
+    return present(R.model_ranking(fx.usage_from_lineitem(spark, sf_dir), new_sheet))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        # S-11, P-09..P-12, M-05..M-07, M-12, R-13, R-14: price feed and sync
+        "price_feed_normalized": _feed_normalized,
+        "price_sync_sheet": _sync_sheet,
+        "price_sync_counters": _sync_counters,
+        "model_ranking_synced_sheet": _ranking_synced,
         # S-01..S-10, M-01..M-04: JSONL ingest round trip
         "ingest_event_logs": _ingest_event_logs,
         # R-07 model ranking (flagship), both views and filtered variants
@@ -193,6 +230,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "price_feed_normalized": O.normalized_feed(fx.SYNC_AT),
+        "price_sync_sheet": O.synced_sheet(fx.SYNC_AT),
+        "price_sync_counters": O.sync_counters(fx.SYNC_AT),
+        "model_ranking_synced_sheet": O.model_ranking_synced("lineitem", fx.SYNC_AT),
         "ingest_event_logs": O.ingested_event_logs(),
         "model_ranking": O.model_ranking("lineitem"),
         "model_ranking_events": O.model_ranking("events"),

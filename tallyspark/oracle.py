@@ -100,11 +100,11 @@ def usage_cte(view: str) -> str:
     )
 
 
-def rates_cte() -> str:
+def rates_cte(name: str = "rates") -> str:
     rows = ",\n  ".join(
         f"({q(m)}, {_num(i)}, {_num(o)}, {_num(w)}, {_num(r)}, {q(s)})" for (m, i, o, w, r, s) in RATE_SHEET
     )
-    return f"rates(model, {', '.join(RATES)}, source) AS (VALUES\n  {rows})"
+    return f"{name}(model, {', '.join(RATES)}, source) AS (VALUES\n  {rows})"
 
 
 def budgets_cte() -> str:
@@ -462,3 +462,105 @@ SELECT message_id, request_id, session_id, project_slug, cwd, git_branch, model,
        {', '.join(TOK)}, COALESCE(NULLIF(cwd, ''), project_slug) AS project_key,
        strftime(CAST(ts AS DATE), '%Y-%m-%d') AS usage_date
 FROM r"""
+
+
+# --- price feed and sync ------------------------------------------------------
+
+
+def _per_million_sql(x: str) -> str:
+    num = r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?"
+    return (
+        f"(CASE WHEN {x} IS NULL OR {x} = '' THEN 0.0 "
+        f"WHEN regexp_full_match({x}, '{num}') THEN "
+        f"CASE WHEN isinf(TRY_CAST({x} AS DOUBLE)) THEN 0.0 ELSE COALESCE(TRY_CAST({x} AS DOUBLE) * 1000000.0, 0.0) END "
+        f"WHEN lower({x}) IN ('inf', '+inf', 'infinity', '+infinity') THEN 'inf'::DOUBLE "
+        f"WHEN lower({x}) IN ('-inf', '-infinity') THEN '-inf'::DOUBLE "
+        f"WHEN lower({x}) IN ('nan', '+nan', '-nan') THEN 'nan'::DOUBLE ELSE 0.0 END)"
+    )
+
+
+def feed_ctes(sync_at: str) -> list[str]:
+    from .functions.feed import VENDOR_PREFIX
+    from .sources.fixtures import OTHER_VENDOR, VARIANT_SUFFIX
+
+    n = len(VENDOR_PREFIX)
+    return [
+        "g AS (SELECT p_type, p_size, COUNT(*) AS n, MIN(p_partkey) AS lo, MAX(p_partkey) AS hi FROM part GROUP BY p_type, p_size)",
+        f"""feed AS (SELECT CAST(p_size AS BIGINT) AS pos,
+                 (CASE WHEN p_size % 10 = 9 THEN {q(OTHER_VENDOR)} ELSE {q(VENDOR_PREFIX)} END) || lower(p_type) || '-4.'
+                   || CAST(p_size % 5 AS VARCHAR) || (CASE WHEN p_size % 10 = 7 THEN {q(VARIANT_SUFFIX)} ELSE '' END) AS id,
+                 CASE WHEN p_size % 13 = 0 THEN '' WHEN p_size % 17 = 0 THEN 'n/a' ELSE CAST(lo % 20 AS VARCHAR) || 'e-7' END AS prompt,
+                 CASE WHEN p_size % 11 = 0 THEN '0' ELSE CAST(n % 50 + 1 AS VARCHAR) || 'e-7' END AS completion,
+                 CASE WHEN p_size % 3 = 0 THEN '' ELSE CAST(hi % 7 AS VARCHAR) || 'e-8' END AS input_cache_read,
+                 CASE WHEN p_size % 4 = 0 THEN '' ELSE CAST(hi % 9 + 1 AS VARCHAR) || 'e-7' END AS input_cache_write
+          FROM g)""",
+        f"""nf0 AS (SELECT pos, replace(substr(id, {n + 1}), '.', '-') AS model,
+                 {_per_million_sql('prompt')} AS i, {_per_million_sql('completion')} AS o,
+                 {_per_million_sql('input_cache_write')} AS w, {_per_million_sql('input_cache_read')} AS r
+          FROM feed WHERE starts_with(id, {q(VENDOR_PREFIX)}) AND NOT contains(substr(id, {n + 1}), ':'))""",
+        """nf1 AS (SELECT pos, model, i AS input_per_mtok_usd, o AS output_per_mtok_usd,
+                 CASE WHEN w = 0 THEN i * 1.25 ELSE w END AS cache_write_per_mtok_usd,
+                 CASE WHEN r = 0 THEN i * 0.1 ELSE r END AS cache_read_per_mtok_usd
+          FROM nf0 WHERE NOT (i = 0 AND o = 0))""",
+        f"""nf AS (SELECT model, {', '.join(RATES)}, 'openrouter' AS source,
+                 TIMESTAMP {q(sync_at)} AS fetched_at, TIMESTAMP {q(sync_at)} AS updated_at
+          FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY pos DESC) AS rn FROM nf1) WHERE rn = 1)""",
+    ]
+
+
+def sheet_ctes(sync_at: str) -> list[str]:
+    from .plans.pricing_sync import DEFAULT_RATES
+
+    seeds = ",\n  ".join(
+        f"({q(m)}, {_num(i)}, {_num(o)}, {_num(w)}, {_num(r)})" for (m, i, o, w, r) in DEFAULT_RATES
+    )
+    return [
+        rates_cte("rates0"),
+        f"seeds(model, {', '.join(RATES)}) AS (VALUES\n  {seeds})",
+        f"""sheet AS (SELECT model, {', '.join(RATES)}, source, CAST(NULL AS TIMESTAMP) AS fetched_at, CAST(NULL AS TIMESTAMP) AS updated_at FROM rates0
+            UNION ALL
+            SELECT model, {', '.join(RATES)}, 'seed', CAST(NULL AS TIMESTAMP), TIMESTAMP {q(sync_at)} FROM seeds
+            WHERE model NOT IN (SELECT model FROM rates0))""",
+    ] + feed_ctes(sync_at) + [
+        """acts AS (SELECT nf.*, CASE WHEN s.model IS NULL THEN 'inserted'
+                                   WHEN COALESCE(s.source, 'manual') = 'manual' THEN 'skipped_manual'
+                                   ELSE 'updated' END AS action
+          FROM nf LEFT JOIN sheet s ON nf.model = s.model)""",
+        f"""rates AS (SELECT * FROM sheet WHERE model NOT IN (SELECT model FROM acts WHERE action <> 'skipped_manual')
+            UNION ALL
+            SELECT model, {', '.join(RATES)}, source, fetched_at, updated_at FROM acts WHERE action <> 'skipped_manual')""",
+    ]
+
+
+def _sheet_select(src: str) -> str:
+    return (
+        f"SELECT model, {', '.join(r6(c) + ' AS ' + c for c in RATES)}, source, "
+        f"{ts_text('fetched_at')} AS fetched_at, {ts_text('updated_at')} AS updated_at FROM {src}"
+    )
+
+
+def normalized_feed(sync_at: str) -> str:
+    return with_(*feed_ctes(sync_at)) + _sheet_select("nf")
+
+
+def synced_sheet(sync_at: str) -> str:
+    return with_(*sheet_ctes(sync_at)) + _sheet_select("rates")
+
+
+def sync_counters(sync_at: str) -> str:
+    return with_(*sheet_ctes(sync_at)) + (
+        "SELECT COUNT(*) FILTER (WHERE action = 'inserted') AS inserted, "
+        "COUNT(*) FILTER (WHERE action = 'updated') AS updated, "
+        "COUNT(*) FILTER (WHERE action = 'skipped_manual') AS skipped_manual, "
+        f"{ts_text('MAX(fetched_at)')} AS fetched_at FROM acts"
+    )
+
+
+def model_ranking_synced(view: str, sync_at: str) -> str:
+    ctes = [usage_cte(view)] + sheet_ctes(sync_at) + [
+        f"f AS (SELECT * FROM u WHERE {where()})",
+        f"pm0 AS (SELECT model, {sums()}, COUNT(*) AS messages FROM f GROUP BY model)",
+        rate_match_cte("pm0", "pm_r"),
+        f"pm AS (SELECT a.*, {', '.join('b.' + c for c in RATES)} FROM pm0 a LEFT JOIN pm_r b ON a.model = b.model)",
+    ]
+    return with_(*ctes) + f"SELECT model, {', '.join(TOK)}, messages, {r6(cost_sql())} AS cost_usd FROM pm"

@@ -208,3 +208,37 @@ def event_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_event_logs(spark: SparkSession, sf_dir: str, root: str) -> None:
     event_log_lines(spark, sf_dir).write.partitionBy(LOG_PARTITION).text(root)
+
+
+# --- provider feed derived from the part table ------------------------------
+# One feed entry per (p_type, p_size) group; pos = p_size decides which of
+# two entries meeting on one model id is later.  Sizes pick the edge cases:
+# other vendor (size % 10 = 9), variant ids (size % 10 = 7), empty prompt
+# (size % 13 = 0), unparseable prompt (size % 17 = 0), zero completion
+# (size % 11 = 0), no cache read price (size % 3 = 0), no cache write price
+# (size % 4 = 0).
+OTHER_VENDOR = "other/"
+VARIANT_SUFFIX = ":thinking"
+SYNC_AT = "2024-01-20 12:00:00"
+
+
+def feed_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .feed import FEED_COLUMNS
+    from ..functions.feed import VENDOR_PREFIX
+
+    part = table(spark, sf_dir, "part")
+    g = part.groupBy("p_type", "p_size").agg(
+        F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("lo"), F.max("p_partkey").alias("hi")
+    )
+    size = F.col("p_size")
+    vendor = F.when(size % 10 == 9, F.lit(OTHER_VENDOR)).otherwise(F.lit(VENDOR_PREFIX))
+    variant = F.when(size % 10 == 7, F.lit(VARIANT_SUFFIX)).otherwise(F.lit(""))
+    return g.select(
+        size.cast("bigint").alias("pos"),
+        F.concat(vendor, F.lower("p_type"), F.lit("-4."), _s(size % 5), variant).alias("id"),
+        F.when(size % 13 == 0, F.lit("")).when(size % 17 == 0, F.lit("n/a"))
+        .otherwise(F.concat(_s(F.col("lo") % 20), F.lit("e-7"))).alias("prompt"),
+        F.when(size % 11 == 0, F.lit("0")).otherwise(F.concat(_s(F.col("n") % 50 + 1), F.lit("e-7"))).alias("completion"),
+        F.when(size % 3 == 0, F.lit("")).otherwise(F.concat(_s(F.col("hi") % 7), F.lit("e-8"))).alias("input_cache_read"),
+        F.when(size % 4 == 0, F.lit("")).otherwise(F.concat(_s(F.col("hi") % 9 + 1), F.lit("e-7"))).alias("input_cache_write"),
+    ).select(*FEED_COLUMNS)

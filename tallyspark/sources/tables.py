@@ -51,3 +51,43 @@ def read_budgets(spark: SparkSession, path: str) -> DataFrame:
             df = df.withColumn(c, F.lit(None).cast("timestamp_ntz"))
     df = _times(df, ["created_at", "updated_at"])
     return df.select(*[F.col(f.name).cast(f.dataType) for f in BUDGETS.fields]).orderBy("id")
+
+
+# --- versioned tables -------------------------------------------------------
+# A table version is a directory <base>/v=<n>; a version counts only once its
+# write committed (_SUCCESS present).  Writers always create v=<latest+1>, so
+# the path being read is never overwritten.
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def committed_versions(spark: SparkSession, base: str) -> list[int]:
+    p, fs = _fs(spark, base)
+    if not fs.exists(p):
+        return []
+    out = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("v=") and name[2:].isdigit():
+            if fs.exists(st.getPath().suffix("/_SUCCESS")):
+                out.append(int(name[2:]))
+    return sorted(out)
+
+
+def read_latest(spark: SparkSession, base: str) -> DataFrame | None:
+    versions = committed_versions(spark, base)
+    if not versions:
+        return None
+    return spark.read.parquet(f"{base.rstrip('/')}/v={versions[-1]}")
+
+
+def write_version(spark: SparkSession, df: DataFrame, base: str) -> int:
+    """Write ``df`` as the next version of the table at ``base``; returns it."""
+    versions = committed_versions(spark, base)
+    n = (versions[-1] if versions else 0) + 1
+    df.write.mode("errorifexists").parquet(f"{base.rstrip('/')}/v={n}")
+    return n
