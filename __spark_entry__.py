@@ -166,8 +166,25 @@ def _ranking_synced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(R.model_ranking(fx.usage_from_lineitem(spark, sf_dir), new_sheet))
 
 
+def _stream_ingest_event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same landing files through the Structured Streaming path
+    (AvailableNow, insert-or-ignore in foreachBatch), run twice."""
+    from tallyspark.streaming import live as L
+
+    apply_required_conf(spark)
+    landing = fresh_path(spark, "landing")
+    fx.write_event_logs(spark, sf_dir, landing)
+    store = I.UsageStore(fresh_path(spark, "stream-store"))
+    ckpt = L.checkpoint_path(store, "ingest")
+    for _ in range(2):
+        L.stream_ingest(spark, landing, store, ckpt, glob="*.txt").awaitTermination()
+    return present(I.read_usage(spark, store).drop("source_file", "source_line"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        # T-01, T-03, T-04: streaming ingest of landing files
+        "stream_ingest_event_logs": _stream_ingest_event_logs,
         # S-11, P-09..P-12, M-05..M-07, M-12, R-13, R-14: price feed and sync
         "price_feed_normalized": _feed_normalized,
         "price_sync_sheet": _sync_sheet,
@@ -230,6 +247,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "stream_ingest_event_logs": O.ingested_event_logs(),
         "price_feed_normalized": O.normalized_feed(fx.SYNC_AT),
         "price_sync_sheet": O.synced_sheet(fx.SYNC_AT),
         "price_sync_counters": O.sync_counters(fx.SYNC_AT),
