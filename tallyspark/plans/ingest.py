@@ -163,3 +163,49 @@ def read_usage(spark: SparkSession, store: UsageStore) -> DataFrame:
     if path_exists(spark, store.tombstones):
         u = u.join(spark.read.parquet(store.tombstones).select("message_id"), "message_id", "left_anti")
     return u
+
+
+# --- deletes (tombstones) and compaction -------------------------------------
+
+
+def delete_records(spark: SparkSession, store: UsageStore, ids: DataFrame, now: dt.datetime | None = None) -> None:
+    """Delete usage rows by message id: append tombstones (read-time anti-join).
+
+    Tombstones are kept after compaction too, so a re-read file cannot bring
+    a deleted message back.
+    """
+    now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    ids.select("message_id").distinct().withColumn("deleted_at", F.lit(now)).write.mode("append").parquet(
+        store.tombstones
+    )
+
+
+def compact(spark: SparkSession, store: UsageStore) -> int:
+    """Rewrite only the date partitions that hold tombstoned rows; returns their count.
+
+    The surviving rows of those partitions are checkpointed to the shared
+    folder first (so the overwrite never reads the path it writes) and then
+    replace exactly those partitions (dynamic partition overwrite).
+    """
+    if not (path_exists(spark, store.usage) and path_exists(spark, store.tombstones)):
+        return 0
+    scratch_dir(spark)
+    usage = spark.read.schema(USAGE).parquet(store.usage)
+    dead = spark.read.parquet(store.tombstones).select("message_id").distinct()
+    dates = usage.join(dead, "message_id", "left_semi").select("usage_date").distinct().checkpoint(eager=True)
+    n = dates.count()
+    if n == 0:
+        return 0
+    keep = (
+        usage.join(F.broadcast(dates) if n <= 100_000 else dates, "usage_date", "left_semi")
+        .join(dead, "message_id", "left_anti")
+        .select(*[f.name for f in USAGE.fields])
+        .checkpoint(eager=True)
+    )
+    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        keep.write.mode("overwrite").partitionBy("usage_date").parquet(store.usage)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    return n
