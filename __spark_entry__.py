@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from tallyspark import oracle as O
 from tallyspark.functions.filters import UsageFilter, preset_bounds, previous_period
+from tallyspark.plans import budgets as B
 from tallyspark.plans import ingest as I
 from tallyspark.plans import pricing_sync as PS
 from tallyspark.plans import reports as R
@@ -181,8 +182,30 @@ def _stream_ingest_event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(I.read_usage(spark, store).drop("source_file", "source_line"))
 
 
+def _budget_change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budgets created from nation rows (nation 0 has amount 0: rejected),
+    region-1 nations updated and pinned, every fifth deleted; pinned report."""
+    from tallyspark.schemas import BUDGETS
+
+    u, rates = _ctx(spark, sf_dir, "events")
+    now = _as_of("events")
+    nation = fx.table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    creates = nation.select(key.cast("bigint").alias("pos"), F.lower("n_name").alias("name"), (key * 25.0).alias("amount_usd"))
+    b1, _ = B.create_budgets(spark.createDataFrame([], BUDGETS), creates, now)
+    updates = nation.filter(F.col("n_regionkey") == 1).select(
+        key.cast("bigint").alias("id"), F.lower("n_name").alias("name"), (key * 50.0).alias("amount_usd"),
+        F.lit(True).alias("show_in_dashboard"),
+    )
+    b2, _ = B.update_budgets(b1, updates, now)
+    b3 = B.delete_budgets(b2, nation.filter(key % 5 == 0).select(key.cast("bigint").alias("id")))
+    return present(R.budget_report(u, rates, b3, now, pinned_only=True))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        # M-13, F-13: budget change set and pinned budgets
+        "budget_change_set": _budget_change_set,
         # T-01, T-03, T-04: streaming ingest of landing files
         "stream_ingest_event_logs": _stream_ingest_event_logs,
         # S-11, P-09..P-12, M-05..M-07, M-12, R-13, R-14: price feed and sync
@@ -247,6 +270,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "budget_change_set": O.budget_change_set("events", _month_start_text("events")),
         "stream_ingest_event_logs": O.ingested_event_logs(),
         "price_feed_normalized": O.normalized_feed(fx.SYNC_AT),
         "price_sync_sheet": O.synced_sheet(fx.SYNC_AT),

@@ -564,3 +564,27 @@ def model_ranking_synced(view: str, sync_at: str) -> str:
         f"pm AS (SELECT a.*, {', '.join('b.' + c for c in RATES)} FROM pm0 a LEFT JOIN pm_r b ON a.model = b.model)",
     ]
     return with_(*ctes) + f"SELECT model, {', '.join(TOK)}, messages, {r6(cost_sql())} AS cost_usd FROM pm"
+
+
+def budget_change_set(view: str, month_start: str) -> str:
+    """Budgets created from nation rows, some updated and deleted, pinned report."""
+    ctes = priced_models_ctes(view, where(from_day=month_start)) + [
+        f"ms AS (SELECT COALESCE(SUM({cost_sql()}), 0.0) AS spent_usd FROM pm)",
+        """cr AS (SELECT CAST(row_number() OVER (ORDER BY n_nationkey, lower(n_name), n_nationkey * 25.0) AS BIGINT) AS id,
+                  lower(n_name) AS name, CAST(n_nationkey * 25.0 AS DOUBLE) AS amount_usd
+           FROM nation WHERE lower(n_name) IS NOT NULL AND lower(n_name) <> '' AND n_nationkey * 25.0 > 0)""",
+        """up AS (SELECT CAST(n_nationkey AS BIGINT) AS id, lower(n_name) AS name, CAST(n_nationkey * 50.0 AS DOUBLE) AS amount_usd
+           FROM nation WHERE n_regionkey = 1 AND lower(n_name) <> '' AND n_nationkey * 50.0 > 0)""",
+        """b2 AS (SELECT cr.id, COALESCE(up.name, cr.name) AS name, COALESCE(up.amount_usd, cr.amount_usd) AS amount_usd,
+                  up.id IS NOT NULL AS show_in_dashboard FROM cr LEFT JOIN up ON cr.id = up.id)""",
+        "b3 AS (SELECT * FROM b2 WHERE id NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 5 = 0) AND show_in_dashboard)",
+        """br AS (SELECT b.id, b.name, b.amount_usd, b.show_in_dashboard, ms.spent_usd,
+                  CASE WHEN b.amount_usd > 0 THEN ms.spent_usd / b.amount_usd * 100.0 ELSE 0.0 END AS pct_used
+           FROM b3 b CROSS JOIN ms)""",
+    ]
+    return with_(*ctes) + (
+        f"SELECT id, name, {r6('amount_usd')} AS amount_usd, show_in_dashboard, {r6('spent_usd')} AS spent_usd, "
+        f"{r6('pct_used')} AS pct_used, "
+        "CASE WHEN pct_used >= 100.0 THEN 'over' WHEN pct_used >= 80.0 THEN 'warn' ELSE 'ok' END AS status, "
+        f"{r6('least(100.0, pct_used)')} AS bar_pct FROM br"
+    )
