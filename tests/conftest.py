@@ -4,6 +4,7 @@ import tempfile
 import pytest
 
 sys.path.insert(0, "/root/repo")
+sys.path.insert(0, "/root/repo/tests")
 
 
 @pytest.fixture(scope="session")
