@@ -56,7 +56,7 @@ def _as_of(view: str) -> dt.datetime:
 
 def _ctx(spark: SparkSession, sf_dir: str, view: str):
     apply_required_conf(spark)
-    return fx.USAGE_VIEWS[view](spark, sf_dir), fx.rate_sheet(spark)
+    return fx.USAGE_VIEWS[view](spark, sf_dir), fx.bounded_rate_sheet(spark)
 
 
 def _report(view: str, fn: Callable, **kw) -> Callable[[SparkSession, str], DataFrame]:

@@ -2,17 +2,18 @@
 
 Plan shape for a priced aggregate (what ``price_groups`` builds):
 
-    usage --filter--> HashAggregate(keys, model)   [one shuffle, map-side combine]
-          --> Generate posexplode(candidates)       [~3 rows per group]
-          --> BroadcastHashJoin(rate sheet)         [sheet size checked once]
-          --> HashAggregate(keys, model, sums)      [no shuffle: same clustering]
-          --> cost column
+    usage --filter--> HashAggregate(keys, model)    [one shuffle, map-side combine]
+       |--> distinct model --> posexplode(candidates) --> BroadcastHashJoin(sheet)
+       |        --> min_by(rate, candidate position)   = model -> rate map
+       +--> join(map, model)                           [AQE: broadcast by runtime size]
+            --> cost column
 
 Tokens are summed first and priced once per group: cost is linear, and
 Catalyst would not move the multiplication below the join by itself.  The
-second aggregate picks, per group, the matched rate with the smallest
-candidate position; it needs no exchange because the first aggregate's hash
-partitioning on (keys, model) already clusters it.
+map has one row per distinct model id; it is joined back without a hint, so
+AQE broadcasts it from its measured size and falls back to a shuffled join
+beyond the threshold.  Both branches read the same grouped subtree, whose
+exchange AQE reuses instead of computing it twice.
 """
 
 from __future__ import annotations
@@ -37,10 +38,13 @@ class RateSheet:
 
     df: DataFrame
     max_broadcast_rows: int = BROADCAST_MAX_ROWS
+    known_rows: int | None = None  # row count known by construction (e.g. built from a driver list)
     _small: bool | None = field(default=None, repr=False)
 
     @property
     def small(self) -> bool:
+        if self._small is None and self.known_rows is not None:
+            self._small = self.known_rows <= self.max_broadcast_rows
         if self._small is None:
             n = self.df.select("model").limit(self.max_broadcast_rows + 1).count()
             self._small = n <= self.max_broadcast_rows
@@ -67,33 +71,31 @@ def _pick_rates(exploded: DataFrame, group_cols: list[str], sheet: RateSheet) ->
     )
 
 
+def _pick(models: DataFrame, sheet: RateSheet) -> DataFrame:
+    """Distinct model ids -> (model, matched_model, rates) by candidate priority."""
+    exploded = models.select("model", F.posexplode(candidate_models(F.col("model"))).alias("_pos", "_candidate"))
+    return _pick_rates(exploded, ["model"], sheet)
+
+
+def rate_map(models: DataFrame, sheet: DataFrame | RateSheet) -> DataFrame:
+    """model -> matched_model + rates, for the distinct model ids of ``models``."""
+    return _pick(models.select("model").distinct(), as_sheet(sheet))
+
+
 def price_groups(grouped: DataFrame, keys: list[str], sheet: DataFrame | RateSheet, with_cost: bool = True) -> DataFrame:
     """Attach matched_model, the 4 rates and ``cost_usd`` to per-(keys, model) sums.
 
-    ``grouped`` must have the columns ``keys + ['model']`` plus the token
-    sums and any other per-group measures; they are carried through.
+    ``grouped`` has the columns ``keys + ['model']`` plus the token sums and
+    any other per-group measures; they are carried through.
     """
-    sheet = as_sheet(sheet)
-    carried = [c for c in grouped.columns]
-    exploded = grouped.select(*carried, F.posexplode(candidate_models(F.col("model"))).alias("_pos", "_candidate"))
-    priced = _pick_rates(exploded, carried, sheet)
+    priced = grouped.join(rate_map(grouped, sheet), "model", "left")
+    priced = priced.select(*grouped.columns, "matched_model", *RATE_COLUMNS)
     return priced.withColumn("cost_usd", cost_usd()) if with_cost else priced
 
 
-def rate_map(models: DataFrame, sheet: DataFrame | RateSheet) -> DataFrame:
-    """model -> matched_model + rates, for a DataFrame of distinct model ids."""
-    return price_groups(models.select("model").distinct(), [], sheet, with_cost=False)
-
-
 def price_rows(rows: DataFrame, sheet: DataFrame | RateSheet) -> DataFrame:
-    """Per-row cost: rates of each row's model via a model -> rate map.
-
-    The map is built from the distinct models of ``rows`` (a map-side
-    combined aggregate); its join back to the rows is planned by AQE from the
-    map's runtime size.
-    """
-    m = rate_map(rows, sheet)
-    return rows.join(m, "model", "left").withColumn("cost_usd", cost_usd())
+    """Per-row cost through the same model -> rate map."""
+    return price_groups(rows, [], sheet)
 
 
 def sum_tokens() -> list:

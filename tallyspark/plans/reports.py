@@ -17,7 +17,7 @@ from ..functions import scalars as S
 from ..functions.cost import token_total
 from ..functions.filters import UsageFilter, month_start, page_args, previous_period, session_predicate
 from ..operators import aggregates as A
-from ..operators.rates import RateSheet, as_sheet, price_groups, price_rows, sum_tokens
+from ..operators.rates import RateSheet, as_sheet, price_groups, price_rows, sum_tokens  # noqa: F401
 from ..operators.ranking import order_top, rank_index
 from ..schemas import RATE_COLUMNS, TOKEN_COLUMNS
 
@@ -29,9 +29,32 @@ def _filtered(u: DataFrame, f: UsageFilter | None) -> DataFrame:
     return u.filter((f or UsageFilter()).predicate())
 
 
+def _sums(prefix: str = "") -> list:
+    """Roll-up of pre-aggregated token sums and message counts (0 when empty)."""
+    return [F.coalesce(F.sum(prefix + c), F.lit(0)).cast("bigint").alias(c) for c in MEASURES]
+
+
+def fine(u: DataFrame, f: UsageFilter | None, keys: list[str]) -> DataFrame:
+    """The one aggregate a report reads: token sums and messages per ``keys``.
+
+    Every branch of a report rolls up from this DataFrame, so their plans
+    share the scan, the partial aggregate and the exchange below it (AQE
+    reuses the stage) instead of rescanning the input per branch.
+    """
+    return _filtered(u, f).groupBy(*keys).agg(*sum_tokens(), F.count(F.lit(1)).alias("messages"))
+
+
+def _summary_from(fine_df: DataFrame, sheet: RateSheet) -> DataFrame:
+    """One summary row from a fine aggregate that has model and session_id keys."""
+    totals = fine_df.agg(*_sums(), F.countDistinct("session_id").alias("sessions"))
+    per_model = fine_df.groupBy("model").agg(*_sums())
+    cost = price_groups(per_model, [], sheet).agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"))
+    return totals.crossJoin(F.broadcast(cost)).select(*TOKEN_COLUMNS, "sessions", "messages", "cost_usd")
+
+
 def priced_models(u: DataFrame, rates, f: UsageFilter | None = None) -> DataFrame:
     """Per-model totals with matched rate and cost (A-02 + J-02 + P-04)."""
-    return price_groups(A.totals_by_model(_filtered(u, f)), [], as_sheet(rates))
+    return price_groups(fine(u, f, ["model"]), [], as_sheet(rates))
 
 
 # R-07 ----------------------------------------------------------------------
@@ -42,12 +65,12 @@ def model_ranking(u: DataFrame, rates, f: UsageFilter | None = None) -> DataFram
 
 # R-01 ----------------------------------------------------------------------
 def summary(u: DataFrame, rates, f: UsageFilter | None = None) -> DataFrame:
-    """One row: token sums, sessions, messages and total cost."""
-    fu = _filtered(u, f)
-    cost = price_groups(A.totals_by_model(fu), [], as_sheet(rates)).agg(
-        F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd")
-    )
-    return A.summary_totals(fu).crossJoin(F.broadcast(cost))
+    """One row: token sums, distinct sessions, messages and total cost.
+
+    Totals, distinct sessions and the per-model cost all roll up from one
+    (model, session_id) aggregate.
+    """
+    return _summary_from(fine(u, f, ["model", "session_id"]), as_sheet(rates))
 
 
 def summary_models(u: DataFrame, rates, f: UsageFilter | None = None) -> DataFrame:
@@ -56,13 +79,17 @@ def summary_models(u: DataFrame, rates, f: UsageFilter | None = None) -> DataFra
 
 
 # R-02 ----------------------------------------------------------------------
+def _bucket_models(u: DataFrame, f: UsageFilter | None, bucket: str, sheet: RateSheet) -> DataFrame:
+    return price_groups(A.time_series_by_model(_filtered(u, f), bucket), ["bucket"], sheet)
+
+
 def time_series(u: DataFrame, rates, f: UsageFilter | None = None, bucket: str = "day") -> DataFrame:
     """bucket key, four token sums and cost; buckets without rows are absent.
 
     One (bucket, model) aggregate is priced and rolled up, so tokens and
     cost come from a single scan.
     """
-    bm = price_groups(A.time_series_by_model(_filtered(u, f), bucket), ["bucket"], as_sheet(rates))
+    bm = _bucket_models(u, f, bucket, as_sheet(rates))
     return (
         bm.groupBy("bucket")
         .agg(*[F.sum(c).cast("bigint").alias(c) for c in TOKEN_COLUMNS], F.sum("cost_usd").alias("cost_usd"))
@@ -71,7 +98,7 @@ def time_series(u: DataFrame, rates, f: UsageFilter | None = None, bucket: str =
 
 
 def time_series_models(u: DataFrame, rates, f: UsageFilter | None = None, bucket: str = "day") -> DataFrame:
-    bm = price_groups(A.time_series_by_model(_filtered(u, f), bucket), ["bucket"], as_sheet(rates))
+    bm = _bucket_models(u, f, bucket, as_sheet(rates))
     return bm.select("bucket", "model", *TOKEN_COLUMNS, "cost_usd").orderBy("bucket", "model")
 
 
@@ -79,27 +106,40 @@ def time_series_models(u: DataFrame, rates, f: UsageFilter | None = None, bucket
 def session_page(u: DataFrame, rates, f: UsageFilter | None = None, limit=None, offset=None) -> DataFrame:
     """A page of session rows (last seen first) with cost and the total count.
 
-    The page is at most 500 rows by construction, so it is broadcast for the
-    semi-join that restricts the per-(session, model) breakdown to its ids.
-    Cost is keyed by session id only: a session seen under two slugs shows
-    the combined cost on both rows.
+    Everything rolls up from one (session_id, project_slug, model)
+    aggregate: the session rows, the group count and the page's cost.  The
+    page is at most 500 rows by construction, so it is broadcast for the
+    semi-join that restricts pricing to its sessions.  Cost is keyed by
+    session id only: a session seen under two slugs shows the combined cost
+    on both rows.
     """
     lim, off = page_args(limit, offset)
-    fu = _filtered(u, f)
-    page = (
-        A.session_rollup(fu)
-        .orderBy(F.desc("last_seen"), F.asc("session_id"), F.asc("project_slug"))
-        .offset(off)
-        .limit(lim)
+    sheet = as_sheet(rates)
+    g = _filtered(u, f).groupBy("session_id", "project_slug", "model").agg(
+        *sum_tokens(),
+        F.count(F.lit(1)).alias("messages"),
+        F.min("ts").alias("first_seen"),
+        F.max("ts").alias("last_seen"),
+        F.max("cwd").alias("cwd"),
+        F.max("git_branch").alias("git_branch"),
+    )
+    order = [F.desc("last_seen"), F.asc("session_id"), F.asc("project_slug")]
+    rows = g.groupBy("session_id", "project_slug").agg(
+        F.coalesce(F.max("cwd"), F.lit("")).alias("cwd"),
+        F.coalesce(F.max("git_branch"), F.lit("")).alias("git_branch"),
+        F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        *_sums(),
     )
+    page = rows.orderBy(*order).offset(off).limit(lim)
     ids = page.select("session_id").distinct()
-    breakdown = A.totals_by_session_model(fu.join(F.broadcast(ids), "session_id", "left_semi"))
     cost = (
-        price_groups(breakdown, ["session_id", "project_slug"], as_sheet(rates))
+        price_groups(g.join(F.broadcast(ids), "session_id", "left_semi"), ["session_id", "project_slug"], sheet)
         .groupBy("session_id")
         .agg(F.sum("cost_usd").alias("cost_usd"))
     )
-    total = A.session_count(fu)
+    total = g.select("session_id", "project_slug").distinct().agg(F.count(F.lit(1)).alias("total"))
     out = (
         page.join(cost, "session_id", "left")
         .withColumn("cost_usd", F.coalesce("cost_usd", F.lit(0.0)))
@@ -107,7 +147,7 @@ def session_page(u: DataFrame, rates, f: UsageFilter | None = None, limit=None,
         .withColumn("page_limit", F.lit(lim).cast("bigint"))
         .withColumn("page_offset", F.lit(off).cast("bigint"))
     )
-    return out.orderBy(F.desc("last_seen"), F.asc("session_id"), F.asc("project_slug"))
+    return out.orderBy(*order)
 
 
 # R-04 ----------------------------------------------------------------------
@@ -142,19 +182,24 @@ def filter_models(u: DataFrame) -> DataFrame:
 
 
 # R-06 ----------------------------------------------------------------------
-def project_ranking(u: DataFrame, rates, f: UsageFilter | None = None) -> DataFrame:
-    fu = _filtered(u, f)
-    pm = price_groups(A.totals_by_project_model(fu).drop("sessions"), ["project_key"], as_sheet(rates))
+def _projects_from(g: DataFrame, sheet: RateSheet) -> DataFrame:
+    """Project rows from a (project_key, model, session_id) aggregate."""
+    pm = price_groups(g.groupBy("project_key", "model").agg(*_sums()), ["project_key"], sheet)
     projects = A.project_rollup(pm)
-    sessions = A.sessions_by_project(fu)
+    sessions = g.groupBy("project_key").agg(F.countDistinct("session_id").alias("sessions"))
     return (
         projects.join(sessions, "project_key", "left")
         .withColumn("sessions", F.coalesce("sessions", F.lit(0)))
         .select("project_key", "models", *MEASURES, "sessions", "cost_usd")
-        .orderBy(F.desc("cost_usd"), F.asc("project_key"))
     )
 
 
+def project_ranking(u: DataFrame, rates, f: UsageFilter | None = None) -> DataFrame:
+    """Per project key: totals, sorted model list, distinct sessions, cost."""
+    g = fine(u, f, ["project_key", "model", "session_id"])
+    return _projects_from(g, as_sheet(rates)).orderBy(F.desc("cost_usd"), F.asc("project_key"))
+
+
 # R-08 ----------------------------------------------------------------------
 def month_spend(u: DataFrame, rates, as_of: dt.datetime) -> DataFrame:
     """One row: cost since the UTC month start of ``as_of``, all projects and models."""
@@ -188,16 +233,36 @@ def period_comparison(u: DataFrame, rates, f: UsageFilter | None, as_of: dt.date
 
     Returns None when the current window has no length.  The current side
     is the dashboard summary (its own from/to), except for "all time",
-    where both sides are calendar months.
+    where both sides are calendar months.  One scan: rows are flagged per
+    window (a row may fall in both when the bounds overlap by a day) and a
+    single (model, session_id) aggregate sums each window conditionally.
     """
     f = f or UsageFilter()
     cmp = previous_period(f.date_from, f.date_to, as_of)
     if cmp is None:
         return None
-    cur = summary(u, rates, f.with_bounds(cmp.current_from, cmp.current_to))
-    prev = summary(u, rates, f.with_bounds(cmp.previous_from, cmp.previous_to))
-    both = cur.select(*[F.col(c).alias("cur_" + c) for c in COMPARED]).crossJoin(
-        prev.select(*[F.col(c).alias("prev_" + c) for c in COMPARED])
+    sheet = as_sheet(rates)
+    cur_f = f.with_bounds(cmp.current_from, cmp.current_to)
+    prev_f = f.with_bounds(cmp.previous_from, cmp.previous_to)
+    flagged = u.filter(cur_f.predicate() | prev_f.predicate()).select(
+        "model", "session_id", *TOKEN_COLUMNS,
+        cur_f.predicate().alias("_cur"), prev_f.predicate().alias("_prev"),
+    )
+    aggs = []
+    for side in ("cur", "prev"):
+        flag = F.col("_" + side)
+        aggs += [F.coalesce(F.sum(F.when(flag, F.col(c))), F.lit(0)).alias(f"{side}_{c}") for c in TOKEN_COLUMNS]
+        aggs.append(F.count_if(flag).alias(f"{side}_messages"))
+    g = flagged.groupBy("model", "session_id").agg(*aggs)
+
+    def side_summary(side: str) -> DataFrame:
+        part = g.filter(F.col(f"{side}_messages") > 0).select(
+            "model", "session_id", *[F.col(f"{side}_{c}").alias(c) for c in MEASURES]
+        )
+        return _summary_from(part, sheet)
+
+    both = side_summary("cur").select(*[F.col(c).alias("cur_" + c) for c in COMPARED]).crossJoin(
+        side_summary("prev").select(*[F.col(c).alias("prev_" + c) for c in COMPARED])
     )
     metrics = F.array(
         *[
@@ -210,10 +275,7 @@ def period_comparison(u: DataFrame, rates, f: UsageFilter | None, as_of: dt.date
         ]
     )
     out = both.select(F.inline(metrics)).withColumn("pct_change", S.pct_change(F.col("current"), F.col("previous")))
-    return (
-        out.withColumn("direction", S.change_direction(F.col("pct_change")))
-        .withColumn("label", F.lit(cmp.label))
-    )
+    return out.withColumn("direction", S.change_direction(F.col("pct_change"))).withColumn("label", F.lit(cmp.label))
 
 
 # R-10 ----------------------------------------------------------------------
@@ -233,17 +295,22 @@ def metric_breakdown(u: DataFrame, rates, metric: str, f: UsageFilter | None = N
 
     Sessions and messages break down by project (label = project path),
     every other card by model.  The share's denominator is the card total,
-    else the sum of the rows, else 1.
+    else the sum of the rows, else 1.  Rows and card roll up from the same
+    fine aggregate.
     """
     if metric not in CARD_FIELDS:
         raise ValueError(f"unknown metric {metric!r}")
+    sheet = as_sheet(rates)
     if metric in ("sessions", "messages"):
-        src = project_ranking(u, rates, f).select(
+        g = fine(u, f, ["project_key", "model", "session_id"])
+        src = _projects_from(g, sheet).select(
             S.slug_to_path(F.col("project_key")).alias("label"), F.col(metric).cast("double").alias("value")
         )
     else:
-        src = priced_models(u, rates, f).select(F.col("model").alias("label"), F.col(metric).cast("double").alias("value"))
-    card = summary(u, rates, f).select(F.col(CARD_FIELDS[metric]).cast("double").alias("card_total"))
+        g = fine(u, f, ["model", "session_id"])
+        per_model = price_groups(g.groupBy("model").agg(*_sums()), [], sheet)
+        src = per_model.select(F.col("model").alias("label"), F.col(metric).cast("double").alias("value"))
+    card = _summary_from(g, sheet).select(F.col(CARD_FIELDS[metric]).cast("double").alias("card_total"))
     row_sum = src.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("row_sum"))
     totals = card.crossJoin(row_sum).select(
         F.coalesce(F.nullif("card_total", F.lit(0.0)), F.nullif("row_sum", F.lit(0.0)), F.lit(1.0)).alias("total")
@@ -260,18 +327,20 @@ def bucket_breakdown(u: DataFrame, rates, f: UsageFilter | None = None, bucket:
 
     Drilling into a bucket filters on the bucket value itself.  Without
     ``bucket_value`` every bucket is broken down at once; the share window
-    is partitioned by bucket and runs on the small priced result.
+    is partitioned by bucket and runs on the small priced result.  Costs and
+    counts roll up from one (bucket, model, session_id) aggregate.
     """
     fu = A.with_bucket(_filtered(u, f), bucket)
     if bucket_value is not None:
         fu = fu.filter(F.col("bucket") == F.lit(bucket_value))
-    bm = price_groups(fu.groupBy("bucket", "model").agg(*sum_tokens()), ["bucket"], as_sheet(rates))
+    g = fu.groupBy("bucket", "model", "session_id").agg(*sum_tokens(), F.count(F.lit(1)).alias("messages"))
+    bm = price_groups(g.groupBy("bucket", "model").agg(*_sums()), ["bucket"], as_sheet(rates))
     w = Window.partitionBy("bucket")
     total = F.coalesce(F.nullif(F.sum("cost_usd").over(w), F.lit(0.0)), F.lit(1.0))
-    counts = fu.groupBy("bucket").agg(
+    counts = g.groupBy("bucket").agg(
         F.countDistinct("session_id").alias("sessions"),
-        F.count(F.lit(1)).alias("messages"),
-        token_total_sum().alias("tokens"),
+        F.sum("messages").cast("bigint").alias("messages"),
+        F.coalesce(F.sum(token_total()), F.lit(0)).cast("bigint").alias("tokens"),
     )
     rows = bm.select("bucket", "model", "cost_usd").withColumn("share_pct", F.col("cost_usd") / total * 100.0)
     return (
@@ -330,7 +399,7 @@ def price_sheet(rates: DataFrame) -> DataFrame:
 # R-15 ----------------------------------------------------------------------
 def unpriced_models(u: DataFrame, rates, f: UsageFilter | None = None) -> DataFrame:
     """Models whose usage costs 0 because no candidate id has a rate."""
-    pm = priced_models(u, rates, f)
+    pm = price_groups(fine(u, f, ["model"]), [], as_sheet(rates), with_cost=False)
     return pm.filter(F.col("matched_model").isNull()).select("model", *MEASURES).orderBy("model")
 
 

@@ -152,6 +152,13 @@ def rate_sheet(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, PRICING)
 
 
+def bounded_rate_sheet(spark: SparkSession):
+    """The test sheet with its row count known up front (no sizing job)."""
+    from ..operators.rates import RateSheet
+
+    return RateSheet(rate_sheet(spark), known_rows=len(RATE_SHEET))
+
+
 def budgets(spark: SparkSession) -> DataFrame:
     from ..schemas import BUDGETS as BUDGET_SCHEMA
 
