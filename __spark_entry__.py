@@ -221,6 +221,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "model_ranking_date_range": _report("lineitem", R.model_ranking, f=LI_RANGE),
         "model_ranking_rfc3339_bounds": _report("lineitem", R.model_ranking, f=LI_RFC),
         "model_ranking_search": _report("events", R.model_ranking, f=EV_SEARCH),
+        # O-05 / W-01 top-15 rankings with rank position
+        "top_models": _report("lineitem", R.top_models),
+        "top_projects": _report("lineitem", R.top_projects),
+        "top_projects_events": _report("events", R.top_projects),
         # R-01 summary
         "summary": _report("lineitem", R.summary),
         "summary_events": _report("events", R.summary),
@@ -282,6 +286,9 @@ def oracle_sql() -> dict[str, str]:
         "model_ranking_date_range": O.model_ranking("lineitem", LI_RANGE_SQL),
         "model_ranking_rfc3339_bounds": O.model_ranking("lineitem", LI_RFC_SQL),
         "model_ranking_search": O.model_ranking("events", EV_SEARCH_SQL),
+        "top_models": O.top_models("lineitem"),
+        "top_projects": O.top_projects("lineitem"),
+        "top_projects_events": O.top_projects("events"),
         "summary": O.summary("lineitem"),
         "summary_events": O.summary("events"),
         "summary_project": O.summary("lineitem", LI_PROJECT_SQL),

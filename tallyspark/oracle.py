@@ -588,3 +588,19 @@ def budget_change_set(view: str, month_start: str) -> str:
         "CASE WHEN pct_used >= 100.0 THEN 'over' WHEN pct_used >= 80.0 THEN 'warn' ELSE 'ok' END AS status, "
         f"{r6('least(100.0, pct_used)')} AS bar_pct FROM br"
     )
+
+
+def top_models(view: str, k: int = 15) -> str:
+    return with_(*priced_models_ctes(view, where())) + (
+        f"SELECT model, {', '.join(TOK)}, messages, {r6(cost_sql())} AS cost_usd, "
+        f"CAST(row_number() OVER (ORDER BY {cost_sql()} DESC, model) AS BIGINT) AS rank "
+        f"FROM pm ORDER BY {cost_sql()} DESC, model LIMIT {k}"
+    )
+
+
+def top_projects(view: str, k: int = 15) -> str:
+    return with_(*_project_ctes(view, where())) + (
+        f"SELECT project_key, models, {', '.join(TOK)}, messages, sessions, {r6('cost_usd')} AS cost_usd, "
+        "CAST(row_number() OVER (ORDER BY cost_usd DESC, project_key) AS BIGINT) AS rank "
+        f"FROM prj ORDER BY cost_usd DESC, project_key LIMIT {k}"
+    )

@@ -63,6 +63,13 @@ def model_ranking(u: DataFrame, rates, f: UsageFilter | None = None) -> DataFram
     return pm.select("model", *MEASURES, "cost_usd").orderBy(F.desc("cost_usd"), F.asc("model"))
 
 
+def top_models(u: DataFrame, rates, f: UsageFilter | None = None, k: int = TOP_N) -> DataFrame:
+    """The first ``k`` of the model ranking with their 1-based rank."""
+    order = [F.desc("cost_usd"), F.asc("model")]
+    pm = priced_models(u, rates, f).select("model", *MEASURES, "cost_usd")
+    return rank_index(order_top(pm, order, k), order)
+
+
 # R-01 ----------------------------------------------------------------------
 def summary(u: DataFrame, rates, f: UsageFilter | None = None) -> DataFrame:
     """One row: token sums, distinct sessions, messages and total cost.
@@ -200,6 +207,13 @@ def project_ranking(u: DataFrame, rates, f: UsageFilter | None = None) -> DataFr
     return _projects_from(g, as_sheet(rates)).orderBy(F.desc("cost_usd"), F.asc("project_key"))
 
 
+def top_projects(u: DataFrame, rates, f: UsageFilter | None = None, k: int = TOP_N) -> DataFrame:
+    """The first ``k`` of the project ranking with their 1-based rank."""
+    order = [F.desc("cost_usd"), F.asc("project_key")]
+    g = fine(u, f, ["project_key", "model", "session_id"])
+    return rank_index(order_top(_projects_from(g, as_sheet(rates)), order, k), order)
+
+
 # R-08 ----------------------------------------------------------------------
 def month_spend(u: DataFrame, rates, as_of: dt.datetime) -> DataFrame:
     """One row: cost since the UTC month start of ``as_of``, all projects and models."""
