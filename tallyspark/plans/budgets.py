@@ -31,8 +31,8 @@ def create_budgets(budgets: DataFrame, changes: DataFrame, now: dt.datetime) ->
     if "pos" not in changes.columns:
         changes = changes.withColumn("pos", F.lit(0).cast("bigint"))
     c = changes.withColumn("status", F.when(_valid(), F.lit("created")).otherwise(F.lit("invalid")))
-    base = budgets.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
-    ok = c.filter(F.col("status") == "created").crossJoin(F.broadcast(base))
+    base = budgets.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    ok = c.filter(F.col("status") == "created").withColumn("_base", base)
     rank = F.row_number().over(Window.orderBy("pos", "name", "amount_usd"))
     ts = F.lit(now).cast("timestamp_ntz")
     new_rows = ok.select(

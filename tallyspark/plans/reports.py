@@ -46,10 +46,11 @@ def fine(u: DataFrame, f: UsageFilter | None, keys: list[str]) -> DataFrame:
 
 def _summary_from(fine_df: DataFrame, sheet: RateSheet) -> DataFrame:
     """One summary row from a fine aggregate that has model and session_id keys."""
-    totals = fine_df.agg(*_sums(), F.countDistinct("session_id").alias("sessions"))
     per_model = fine_df.groupBy("model").agg(*_sums())
-    cost = price_groups(per_model, [], sheet).agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"))
-    return totals.crossJoin(F.broadcast(cost)).select(*TOKEN_COLUMNS, "sessions", "messages", "cost_usd")
+    cost = price_groups(per_model, [], sheet).agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)))
+    totals = fine_df.agg(*_sums(), F.countDistinct("session_id").alias("sessions"))
+    # The cost total is one value: attached as a scalar subquery, not a join.
+    return totals.select(*TOKEN_COLUMNS, "sessions", "messages", cost.scalar().alias("cost_usd"))
 
 
 def priced_models(u: DataFrame, rates, f: UsageFilter | None = None) -> DataFrame:
@@ -146,11 +147,11 @@ def session_page(u: DataFrame, rates, f: UsageFilter | None = None, limit=None,
         .groupBy("session_id")
         .agg(F.sum("cost_usd").alias("cost_usd"))
     )
-    total = g.select("session_id", "project_slug").distinct().agg(F.count(F.lit(1)).alias("total"))
+    total = g.select("session_id", "project_slug").distinct().agg(F.count(F.lit(1)))
     out = (
         page.join(cost, "session_id", "left")
         .withColumn("cost_usd", F.coalesce("cost_usd", F.lit(0.0)))
-        .crossJoin(F.broadcast(total))
+        .withColumn("total", total.scalar())
         .withColumn("page_limit", F.lit(lim).cast("bigint"))
         .withColumn("page_offset", F.lit(off).cast("bigint"))
     )
@@ -223,13 +224,18 @@ def month_spend(u: DataFrame, rates, as_of: dt.datetime) -> DataFrame:
     )
 
 
+def month_spend_value(u: DataFrame, rates, as_of: dt.datetime):
+    """The month-to-date spend as a scalar-subquery Column (computed once)."""
+    return month_spend(u, rates, as_of).scalar()
+
+
 def budget_report(u: DataFrame, rates, budgets: DataFrame, as_of: dt.datetime, pinned_only: bool = False) -> DataFrame:
     b = budgets.withColumn("show_in_dashboard", F.coalesce("show_in_dashboard", F.lit(False)))
     if pinned_only:
         b = b.filter(F.col("show_in_dashboard"))
     pct = S.budget_pct_used(F.col("spent_usd"), F.col("amount_usd"))
     return (
-        b.crossJoin(F.broadcast(month_spend(u, rates, as_of)))
+        b.withColumn("spent_usd", month_spend_value(u, rates, as_of))
         .withColumn("pct_used", pct)
         .withColumn("status", S.budget_status(F.col("pct_used")))
         .withColumn("bar_pct", S.budget_bar_pct(F.col("pct_used")))
@@ -275,19 +281,20 @@ def period_comparison(u: DataFrame, rates, f: UsageFilter | None, as_of: dt.date
         )
         return _summary_from(part, sheet)
 
-    both = side_summary("cur").select(*[F.col(c).alias("cur_" + c) for c in COMPARED]).crossJoin(
-        side_summary("prev").select(*[F.col(c).alias("prev_" + c) for c in COMPARED])
-    )
+    # Each side is one row; read as struct-valued scalar subqueries.
+    cur = side_summary("cur").select(F.struct(*COMPARED)).scalar()
+    prev = side_summary("prev").select(F.struct(*COMPARED)).scalar()
     metrics = F.array(
         *[
             F.struct(
                 F.lit(c).alias("metric"),
-                F.col("cur_" + c).cast("double").alias("current"),
-                F.col("prev_" + c).cast("double").alias("previous"),
+                cur.getField(c).cast("double").alias("current"),
+                prev.getField(c).cast("double").alias("previous"),
             )
             for c in COMPARED
         ]
     )
+    both = g.sparkSession.range(1)
     out = both.select(F.inline(metrics)).withColumn("pct_change", S.pct_change(F.col("current"), F.col("previous")))
     return out.withColumn("direction", S.change_direction(F.col("pct_change"))).withColumn("label", F.lit(cmp.label))
 
@@ -324,13 +331,11 @@ def metric_breakdown(u: DataFrame, rates, metric: str, f: UsageFilter | None = N
         g = fine(u, f, ["model", "session_id"])
         per_model = price_groups(g.groupBy("model").agg(*_sums()), [], sheet)
         src = per_model.select(F.col("model").alias("label"), F.col(metric).cast("double").alias("value"))
-    card = _summary_from(g, sheet).select(F.col(CARD_FIELDS[metric]).cast("double").alias("card_total"))
-    row_sum = src.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("row_sum"))
-    totals = card.crossJoin(row_sum).select(
-        F.coalesce(F.nullif("card_total", F.lit(0.0)), F.nullif("row_sum", F.lit(0.0)), F.lit(1.0)).alias("total")
-    )
+    card = _summary_from(g, sheet).select(F.col(CARD_FIELDS[metric]).cast("double")).scalar()
+    row_sum = src.agg(F.coalesce(F.sum("value"), F.lit(0.0))).scalar()
+    total = F.coalesce(F.nullif(card, F.lit(0.0)), F.nullif(row_sum, F.lit(0.0)), F.lit(1.0))
     top = order_top(src.filter(F.col("value") > 0), [F.desc("value"), F.asc("label")], TOP_N)
-    out = top.crossJoin(F.broadcast(totals)).withColumn("share_pct", F.col("value") / F.col("total") * 100.0)
+    out = top.withColumn("share_pct", F.col("value") / total * 100.0)
     return rank_index(out.select("label", "value", "share_pct"), [F.desc("value"), F.asc("label")])
 
 
@@ -381,10 +386,14 @@ def bucket_detail(u: DataFrame, rates, f: UsageFilter | None = None, bucket: str
         S.cache_total().alias("cache_tokens"),
     )
     period = rows.agg(
-        F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("period_tokens"),
-        F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("period_cost"),
+        F.struct(
+            F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("period_tokens"),
+            F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("period_cost"),
+        )
+    ).scalar()
+    out = rows.withColumn("period_tokens", period.getField("period_tokens")).withColumn(
+        "period_cost", period.getField("period_cost")
     )
-    out = rows.crossJoin(F.broadcast(period))
     return out.select(
         "bucket",
         "total_tokens",
