@@ -3,17 +3,22 @@
 Plan shape for a priced aggregate (what ``price_groups`` builds):
 
     usage --filter--> HashAggregate(keys, model)    [one shuffle, map-side combine]
-       |--> distinct model --> posexplode(candidates) --> BroadcastHashJoin(sheet)
-       |        --> min_by(rate, candidate position)   = model -> rate map
-       +--> join(map, model)                           [AQE: broadcast by runtime size]
-            --> cost column
+          --> Generate posexplode(candidates)       [~3 rows per group]
+          --> BroadcastHashJoin(rate sheet)         [sheet size checked]
+          --> HashAggregate(keys, model, measures)  [no exchange: same clustering]
+          --> matched id + cost columns
 
 Tokens are summed first and priced once per group: cost is linear, and
 Catalyst would not move the multiplication below the join by itself.  The
-map has one row per distinct model id; it is joined back without a hint, so
-AQE broadcasts it from its measured size and falls back to a shuffled join
-beyond the threshold.  Both branches read the same grouped subtree, whose
-exchange AQE reuses instead of computing it twice.
+second aggregate picks, per group, the rates of the matched candidate with
+the smallest position using fixed-width buffers (``min_by(rate, position)``
+and ``min(position)``), so it runs as a code-generated hash aggregate inside
+the same stage; the first aggregate's hash partitioning on (keys, model)
+already clusters it.  The whole report stays a single scan.
+
+Raw rows (one drill-down listing) are priced through a model -> rate map
+built from their distinct models instead, so the candidate list is expanded
+once per model rather than once per row.
 """
 
 from __future__ import annotations
@@ -59,43 +64,45 @@ def as_sheet(rates: DataFrame | RateSheet) -> RateSheet:
     return rates if isinstance(rates, RateSheet) else RateSheet(rates)
 
 
-def _pick_rates(exploded: DataFrame, group_cols: list[str], sheet: RateSheet) -> DataFrame:
+def _pick_rates(grouped: DataFrame, sheet: RateSheet) -> DataFrame:
+    """Per row of ``grouped`` (unique rows with a ``model`` column): the rates
+    of the first candidate id that the sheet prices, and that id."""
+    carried = list(grouped.columns)
+    cands = candidate_models(F.col("model"))
+    exploded = grouped.select(*carried, F.posexplode(cands).alias("_pos", "_candidate"))
     joined = exploded.join(sheet.lookup_side(), F.col("_cand") == F.col("_candidate"), "left")
-    matched = F.struct(F.col("_cand").alias("matched_model"), *[F.col(c) for c in RATE_COLUMNS])
-    # min_by ignores rows whose ordering is null: unmatched candidates.
-    best = F.min_by(matched, F.when(F.col("_cand").isNotNull(), F.col("_pos")))
-    return (
-        joined.groupBy(*group_cols)
-        .agg(best.alias("_r"))
-        .select(*group_cols, "_r.matched_model", *[F.col("_r." + c).alias(c) for c in RATE_COLUMNS])
+    # Position of a matched candidate, null for misses (ignored by min / min_by).
+    hit = F.when(F.col("_cand").isNotNull(), F.col("_pos"))
+    picked = joined.groupBy(*carried).agg(
+        F.min(hit).alias("_hit"), *[F.min_by(F.col(c), hit).alias(c) for c in RATE_COLUMNS]
     )
-
-
-def _pick(models: DataFrame, sheet: RateSheet) -> DataFrame:
-    """Distinct model ids -> (model, matched_model, rates) by candidate priority."""
-    exploded = models.select("model", F.posexplode(candidate_models(F.col("model"))).alias("_pos", "_candidate"))
-    return _pick_rates(exploded, ["model"], sheet)
+    matched = F.when(F.col("_hit").isNotNull(), F.element_at(cands, F.col("_hit") + 1))
+    return picked.select(*carried, matched.alias("matched_model"), *RATE_COLUMNS)
 
 
 def rate_map(models: DataFrame, sheet: DataFrame | RateSheet) -> DataFrame:
     """model -> matched_model + rates, for the distinct model ids of ``models``."""
-    return _pick(models.select("model").distinct(), as_sheet(sheet))
+    return _pick_rates(models.select("model").distinct(), as_sheet(sheet))
 
 
 def price_groups(grouped: DataFrame, keys: list[str], sheet: DataFrame | RateSheet, with_cost: bool = True) -> DataFrame:
     """Attach matched_model, the 4 rates and ``cost_usd`` to per-(keys, model) sums.
 
-    ``grouped`` has the columns ``keys + ['model']`` plus the token sums and
+    ``grouped`` has one row per ``keys + ['model']`` plus the token sums and
     any other per-group measures; they are carried through.
     """
-    priced = grouped.join(rate_map(grouped, sheet), "model", "left")
-    priced = priced.select(*grouped.columns, "matched_model", *RATE_COLUMNS)
+    priced = _pick_rates(grouped, as_sheet(sheet))
     return priced.withColumn("cost_usd", cost_usd()) if with_cost else priced
 
 
 def price_rows(rows: DataFrame, sheet: DataFrame | RateSheet) -> DataFrame:
-    """Per-row cost through the same model -> rate map."""
-    return price_groups(rows, [], sheet)
+    """Per-row cost through a model -> rate map of the rows' distinct models.
+
+    The map has one row per model id; its join back to the rows carries no
+    hint, so AQE broadcasts it from its runtime size (shuffled join beyond).
+    """
+    m = rate_map(rows, sheet)
+    return rows.join(m, "model", "left").withColumn("cost_usd", cost_usd())
 
 
 def sum_tokens() -> list:
