@@ -78,14 +78,31 @@ def scan_lines(spark: SparkSession, paths: str | list[str], glob: str = LOG_GLOB
     )
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """Add the 1-based per-file ``source_line`` (blank lines counted)."""
+# One row per file split; up to this many the block table is broadcast to the
+# lines (about 100 bytes a row), beyond it the join is shuffled.
+BLOCKS_BROADCAST_MAX = 2_000_000
+
+
+def number_lines(lines: DataFrame, max_broadcast_blocks: int = BLOCKS_BROADCAST_MAX) -> DataFrame:
+    """Add the 1-based per-file ``source_line`` (blank lines counted).
+
+    Pass 1 counts lines per (file, split) -- one row per split -- and turns
+    the counts into "lines before this split" with a prefix sum per file.
+    That small table is cut from its lineage in the shared checkpoint folder
+    and counted; it is broadcast to the lines only under the row bound, so
+    the text itself is never shuffled for numbering.
+    """
+    from ..session import scratch_dir
+
+    scratch_dir(lines.sparkSession)
     blocks = lines.groupBy("source_file", "block_start").agg(
         F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("n")
     )
     w = Window.partitionBy("source_file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("lines_before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
-    out = lines.join(blocks, ["source_file", "block_start"])
+    blocks = blocks.checkpoint(eager=True)
+    side = F.broadcast(blocks) if blocks.count() <= max_broadcast_blocks else blocks
+    out = lines.join(side, ["source_file", "block_start"])
     return out.withColumn("source_line", F.col("lines_before") + (F.col("row_id") - F.col("first_id")) + 1).drop(
         "first_id", "lines_before"
     )
