@@ -202,8 +202,23 @@ def _budget_change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(R.budget_report(u, rates, b3, now, pinned_only=True))
 
 
+def _deleted_records_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fact table loaded from the events view, every record of the 'click'
+    branch deleted (tombstones), the touched days compacted, then the model
+    ranking of the live table."""
+    apply_required_conf(spark)
+    store = I.UsageStore(fresh_path(spark, "usage-store"))
+    fx.usage_from_events(spark, sf_dir).write.partitionBy("usage_date").parquet(store.usage)
+    stored = spark.read.parquet(store.usage)
+    I.delete_records(spark, store, stored.filter(F.col("git_branch") == "click"))
+    I.compact(spark, store)
+    return present(R.model_ranking(I.read_usage(spark, store), fx.bounded_rate_sheet(spark)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        # M-11: delete records (tombstones + partition compaction)
+        "deleted_records_ranking": _deleted_records_ranking,
         # M-13, F-13: budget change set and pinned budgets
         "budget_change_set": _budget_change_set,
         # T-01, T-03, T-04: streaming ingest of landing files
@@ -274,6 +289,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "deleted_records_ranking": O.model_ranking("events", O.where(extra="COALESCE(git_branch, '') <> 'click'")),
         "budget_change_set": O.budget_change_set("events", _month_start_text("events")),
         "stream_ingest_event_logs": O.ingested_event_logs(),
         "price_feed_normalized": O.normalized_feed(fx.SYNC_AT),
