@@ -215,8 +215,20 @@ def _deleted_records_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(R.model_ranking(I.read_usage(spark, store), fx.bounded_rate_sheet(spark)))
 
 
+def _stored_sheet_older_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The synced sheet stored as a table version in an older layout (no
+    source column), read back with the late-column default, in display order."""
+    from tallyspark.sources.tables import read_latest_path, read_pricing, write_version
+
+    base = fresh_path(spark, "pricing")
+    write_version(spark, _synced(spark, sf_dir)[1].drop("source"), base)
+    return present(R.price_sheet(read_pricing(spark, read_latest_path(spark, base))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        # S-12, S-14: stored price sheet, late-added column default
+        "stored_sheet_older_layout": _stored_sheet_older_layout,
         # M-11: delete records (tombstones + partition compaction)
         "deleted_records_ranking": _deleted_records_ranking,
         # M-13, F-13: budget change set and pinned budgets
@@ -289,6 +301,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "stored_sheet_older_layout": O.synced_sheet(fx.SYNC_AT, source="manual"),
         "deleted_records_ranking": O.model_ranking("events", O.where(extra="COALESCE(git_branch, '') <> 'click'")),
         "budget_change_set": O.budget_change_set("events", _month_start_text("events")),
         "stream_ingest_event_logs": O.ingested_event_logs(),

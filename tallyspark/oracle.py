@@ -532,9 +532,10 @@ def sheet_ctes(sync_at: str) -> list[str]:
     ]
 
 
-def _sheet_select(src: str) -> str:
+def _sheet_select(src: str, source: str | None = None) -> str:
+    src_col = f"{q(source)} AS source" if source else "source"
     return (
-        f"SELECT model, {', '.join(r6(c) + ' AS ' + c for c in RATES)}, source, "
+        f"SELECT model, {', '.join(r6(c) + ' AS ' + c for c in RATES)}, {src_col}, "
         f"{ts_text('fetched_at')} AS fetched_at, {ts_text('updated_at')} AS updated_at FROM {src}"
     )
 
@@ -543,8 +544,8 @@ def normalized_feed(sync_at: str) -> str:
     return with_(*feed_ctes(sync_at)) + _sheet_select("nf")
 
 
-def synced_sheet(sync_at: str) -> str:
-    return with_(*sheet_ctes(sync_at)) + _sheet_select("rates")
+def synced_sheet(sync_at: str, source: str | None = None) -> str:
+    return with_(*sheet_ctes(sync_at)) + _sheet_select("rates", source)
 
 
 def sync_counters(sync_at: str) -> str:

@@ -78,11 +78,14 @@ def committed_versions(spark: SparkSession, base: str) -> list[int]:
     return sorted(out)
 
 
-def read_latest(spark: SparkSession, base: str) -> DataFrame | None:
+def read_latest_path(spark: SparkSession, base: str) -> str | None:
     versions = committed_versions(spark, base)
-    if not versions:
-        return None
-    return spark.read.parquet(f"{base.rstrip('/')}/v={versions[-1]}")
+    return f"{base.rstrip('/')}/v={versions[-1]}" if versions else None
+
+
+def read_latest(spark: SparkSession, base: str) -> DataFrame | None:
+    path = read_latest_path(spark, base)
+    return spark.read.parquet(path) if path else None
 
 
 def write_version(spark: SparkSession, df: DataFrame, base: str) -> int:
