@@ -58,13 +58,18 @@ def scratch_dir(spark: SparkSession) -> str:
     (a shared filesystem / object store path).  Only when it is unset -- local
     tests -- a new folder under /tmp is created and registered.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+        configured = sc.getCheckpointDir()
     if not configured:
         configured = tempfile.mkdtemp(prefix="tallyspark-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", configured)
-        spark.sparkContext.setCheckpointDir(configured)
+        try:
+            spark.conf.set("spark.checkpoint.dir", configured)
+        except Exception:  # noqa: BLE001 - some deployments reject runtime core-conf changes
+            pass
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
