@@ -1,11 +1,14 @@
-"""Grouped measures over a (filtered) usage DataFrame.
-
-Every aggregate here is a hash aggregate with a partial (map-side) phase, so
-a hot key -- one session, model or project holding a large share of the
-rows -- is combined inside each map task before the shuffle.  Distinct
-session counts are kept as ``countDistinct`` (they cannot be rolled up from
-finer groups); Catalyst plans them as a two-level aggregate keyed on the
-session id, which is also combined map-side.
+"""Grouped measures shared by the reports.
+
+The reports themselves build one fine aggregate each (``reports.fine``) and
+roll up from it; the helpers here are the reusable pieces: bucketing,
+the (bucket, model) series aggregate, the project roll-up and the distinct
+option lists.  Every aggregate has a partial (map-side) phase, so a hot key
+-- one session, model or project holding a large share of the rows -- is
+combined inside each map task before the shuffle.  Distinct session counts
+stay ``countDistinct`` (they cannot be rolled up from finer groups);
+Catalyst plans them as a two-level aggregate keyed on the session id, which
+is also combined map-side.
 """
 
 from __future__ import annotations
@@ -18,69 +21,14 @@ from ..schemas import SYNTHETIC_MODEL, TOKEN_COLUMNS
 from .rates import sum_tokens
 
 
-def _measures(messages: bool = True, sessions: bool = False) -> list:
-    out = sum_tokens()
-    if messages:
-        out.append(F.count(F.lit(1)).alias("messages"))
-    if sessions:
-        out.append(F.countDistinct("session_id").alias("sessions"))
-    return out
-
-
-def summary_totals(u: DataFrame) -> DataFrame:
-    """One row: four token sums (0 when empty), distinct sessions, messages."""
-    return u.agg(*sum_tokens(), F.countDistinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("messages"))
-
-
-def totals_by_model(u: DataFrame) -> DataFrame:
-    return u.groupBy("model").agg(*_measures())
-
-
 def with_bucket(u: DataFrame, bucket: str) -> DataFrame:
     return u.withColumn("bucket", bucket_key(F.col("ts"), bucket)).filter(F.col("bucket").isNotNull())
 
 
-def time_series_tokens(u: DataFrame, bucket: str) -> DataFrame:
-    return with_bucket(u, bucket).groupBy("bucket").agg(*sum_tokens())
-
-
 def time_series_by_model(u: DataFrame, bucket: str) -> DataFrame:
     return with_bucket(u, bucket).groupBy("bucket", "model").agg(*sum_tokens())
 
 
-def session_rollup(u: DataFrame) -> DataFrame:
-    """One row per (session_id, project_slug).
-
-    cwd and branch are the lexicographic maxima; the model list is the sorted
-    distinct models joined by commas (bounded by the number of models).
-    """
-    return u.groupBy("session_id", "project_slug").agg(
-        F.coalesce(F.max("cwd"), F.lit("")).alias("cwd"),
-        F.coalesce(F.max("git_branch"), F.lit("")).alias("git_branch"),
-        F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"),
-        F.min("ts").alias("first_seen"),
-        F.max("ts").alias("last_seen"),
-        *_measures(),
-    )
-
-
-def session_count(u: DataFrame) -> DataFrame:
-    """Number of (session_id, project_slug) groups, as a one-row DataFrame."""
-    return u.groupBy("session_id", "project_slug").agg(F.lit(1).alias("_one")).agg(F.count(F.lit(1)).alias("total"))
-
-
-def totals_by_project_model(u: DataFrame) -> DataFrame:
-    return u.groupBy("project_key", "model").agg(*_measures(sessions=True))
-
-
-def totals_by_session_model(u: DataFrame) -> DataFrame:
-    return u.groupBy("session_id", "project_slug", "model").agg(*sum_tokens())
-
-
-def sessions_by_project(u: DataFrame) -> DataFrame:
-    return u.groupBy("project_key").agg(F.countDistinct("session_id").alias("sessions"))
-
-
 def project_rollup(priced_pm: DataFrame) -> DataFrame:
     """Second-stage roll-up of priced (project, model) rows to projects."""
     return priced_pm.groupBy("project_key").agg(
@@ -100,6 +48,3 @@ def distinct_models(u: DataFrame) -> DataFrame:
     return u.filter(F.col("model") != F.lit(SYNTHETIC_MODEL)).select("model").distinct()
 
 
-def one_row_totals(df: DataFrame, cols: dict[str, str]) -> DataFrame:
-    """One-row sums of small per-group results, named ``{alias: column}``."""
-    return df.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(a) for a, c in cols.items()])

@@ -20,7 +20,3 @@ def order_top(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 def rank_index(top: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """1-based position of each row of a bounded (top-k) result."""
     return top.withColumn(name, F.row_number().over(Window.orderBy(*order))).orderBy(name)
-
-
-def ranked_top(df: DataFrame, order: list[Column], k: int, name: str = "rank") -> DataFrame:
-    return rank_index(order_top(df, order, k), order, name)
