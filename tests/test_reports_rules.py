@@ -110,3 +110,19 @@ def test_metric_breakdown_share(usage, rates):
     assert [r.label for r in rows] == ["fam-4-7", "m-1"]
     assert rows[0].share_pct == pytest.approx(1000 / 1100 * 100)
     assert [r.rank for r in rows] == [1, 2]
+
+
+def test_session_drilldown(usage, rates):
+    rows = R.session_records(usage, rates, session_id="s1").collect()
+    assert [r.model for r in rows] == ["m-1", "fam-4-7"]  # oldest first, one session only
+    assert rows[0].cost_usd == pytest.approx(100 * 1 / 1e6 + 10 * 2 / 1e6)
+    assert rows[1].cost_usd == pytest.approx(1000 * 10 / 1e6) and rows[1].git_branch == "main"
+    assert R.session_records(usage, rates, session_id="s3").count() == 0  # synthetic only
+
+
+def test_single_bucket_drilldown(usage, rates):
+    rows = R.bucket_breakdown(usage, rates, bucket="day", bucket_value="2024-01-01").collect()
+    assert {r.bucket for r in rows} == {"2024-01-01"}
+    assert [r.model for r in rows] == ["fam-4-7", "m-1"]  # cost descending
+    assert sum(r.share_pct for r in rows) == pytest.approx(100.0)
+    assert rows[0].sessions == 1 and rows[0].messages == 2
