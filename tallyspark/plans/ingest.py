@@ -115,6 +115,32 @@ def known_ids(spark: SparkSession, store: UsageStore) -> DataFrame | None:
     return out
 
 
+# Up to this many new rows per run, their ids are broadcast to the stored-id
+# scan (semi-join without shuffling the stored side); beyond it, shuffled.
+BATCH_IDS_BROADCAST_MAX = 5_000_000
+
+
+def drop_known(spark: SparkSession, store: UsageStore, rows: DataFrame,
+               max_broadcast: int = BATCH_IDS_BROADCAST_MAX) -> DataFrame:
+    """Insert-or-ignore: the batch rows whose message id is neither stored nor
+    tombstoned, materialised in the shared checkpoint folder.
+
+    The batch is cut from its lineage and counted first.  Under the bound its
+    ids are broadcast and the stored ids are semi-joined against them, so the
+    large stored column is scanned and probed but never shuffled; the batch
+    is then anti-joined with that overlap (at most one row per batch id).
+    """
+    scratch_dir(spark)
+    rows = rows.select(*[f.name for f in USAGE.fields]).checkpoint(eager=True)
+    ids = known_ids(spark, store)
+    if ids is None:
+        return rows
+    batch_ids = rows.select("message_id")
+    side = F.broadcast(batch_ids) if rows.count() <= max_broadcast else batch_ids
+    seen = ids.join(side, "message_id", "left_semi")
+    return rows.join(seen, "message_id", "left_anti").checkpoint(eager=True)
+
+
 @dataclass(frozen=True)
 class IngestResult:
     files_read: int
@@ -136,13 +162,10 @@ def ingest(spark: SparkSession, root: str, store: UsageStore, glob: str = LOG_GL
         return IngestResult(0, 0, 0)
 
     rows, bad = read_logs(spark, root, paths, glob)
-    ids = known_ids(spark, store)
-    if ids is not None:
-        rows = rows.join(ids, "message_id", "left_anti")
-    # Lineage cut in the shared checkpoint folder: the rows are computed once,
+    # Lineage cuts in the shared checkpoint folder: the rows are computed once,
     # then written and counted from the checkpoint, and a lost executor does
     # not send the write back to the text scan.
-    rows = rows.select(*[f.name for f in USAGE.fields]).checkpoint(eager=True)
+    rows = drop_known(spark, store, rows)
     bad = bad.checkpoint(eager=True)
     rows.write.mode("append").partitionBy("usage_date").parquet(store.usage)
     bad.withColumn("run_at", F.lit(now)).write.mode("append").parquet(store.quarantine)

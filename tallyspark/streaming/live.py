@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import bucket_key, rfc3339_to_utc, zero_time
-from ..plans.ingest import UsageStore, known_ids
-from ..schemas import ASSISTANT_TYPE, LOG_LINE_WITH_CORRUPT, TOKEN_COLUMNS, USAGE
+from ..plans.ingest import UsageStore, drop_known
+from ..schemas import ASSISTANT_TYPE, LOG_LINE_WITH_CORRUPT, TOKEN_COLUMNS
 from ..sources.logs import LINE_SEPARATOR, LOG_GLOB, decode, first_wins, number_lines, quarantine, to_usage
 
 RECONCILE_INTERVAL = "60 seconds"
@@ -63,11 +63,7 @@ def _batch_writer(spark: SparkSession, root: str, store: UsageStore):
     def write(batch: DataFrame, epoch_id: int) -> None:
         lines = number_lines(batch.withColumn("row_id", F.monotonically_increasing_id()))
         dec = decode(lines)
-        rows = first_wins(to_usage(dec, root))
-        ids = known_ids(spark, store)
-        if ids is not None:
-            rows = rows.join(ids, "message_id", "left_anti")
-        rows = rows.select(*[f.name for f in USAGE.fields]).checkpoint(eager=True)
+        rows = drop_known(spark, store, first_wins(to_usage(dec, root)))
         rows.write.mode("append").partitionBy("usage_date").parquet(store.usage)
         quarantine(dec).withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(store.quarantine)
 
