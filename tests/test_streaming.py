@@ -48,3 +48,18 @@ def test_live_bucket_totals(spark, tmp_dir):
     q.awaitTermination()
     rows = {r.bucket: r.output_tokens for r in spark.sql("select * from live_totals").collect()}
     assert rows == {"2024-01-01 00:00:00": 3, "2024-01-01 01:00:00": 4}
+
+
+def test_periodic_reconcile_trigger(spark, tmp_dir):
+    landing, store = f"{tmp_dir}/landing", UsageStore(f"{tmp_dir}/store")
+    land(landing, "a.jsonl", [line("p1", "2024-01-01T00:10:00Z", 1)])
+    q = L.stream_ingest(spark, landing, store, L.checkpoint_path(store, "periodic"),
+                        available_now=False, interval="1 second")
+    try:
+        q.processAllAvailable()
+        land(landing, "b.jsonl", [line("p2", "2024-01-01T00:20:00Z", 2), line("p1", "2024-01-01T00:10:00Z", 9)])
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {r.message_id: r.output_tokens for r in read_usage(spark, store).collect()}
+    assert got == {"p1": 1, "p2": 2}  # the re-delivered p1 is ignored
