@@ -26,6 +26,14 @@ from tallyspark.plans import reports as R
 from tallyspark.session import apply_required_conf, fresh_path
 from tallyspark.sources import fixtures as fx
 
+try:  # corpus operators: a separable subpackage
+    import corpus_pipeline
+    from tallyspark.llm import queries as corpus
+except ImportError as missing:
+    if (missing.name or "").partition(".")[0] not in ("corpus_pipeline", "tallyspark"):
+        raise
+    corpus = corpus_pipeline = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -226,6 +234,20 @@ def _stored_sheet_older_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _report_queries() | _corpus_queries()
+
+
+def _corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {**corpus.QUERIES, "pipeline": corpus_pipeline.run} if corpus else {}
+
+
+def _corpus_sql() -> dict[str, str]:
+    if not corpus:
+        return {}
+    return corpus.ORACLE | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+
+
+def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # S-12, S-14: stored price sheet, late-added column default
         "stored_sheet_older_layout": _stored_sheet_older_layout,
@@ -300,6 +322,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    return _report_sql() | _corpus_sql()
+
+
+def _report_sql() -> dict[str, str]:
     return {
         "stored_sheet_older_layout": O.synced_sheet(fx.SYNC_AT, source="manual"),
         "deleted_records_ranking": O.model_ranking("events", O.where(extra="COALESCE(git_branch, '') <> 'click'")),
