@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def clean_names(df: DataFrame, reserved: Iterable[str]) -> DataFrame:
 
 def text_chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column holding about ``limit`` bytes each (a longer text stands alone)."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, n in enumerate(sizes.tolist()):
         if i > start and total + n > limit:
@@ -71,7 +72,7 @@ def text_chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) ->
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column laid end to end, and each row's offsets (nulls: empty)."""
     if column.null_count:
-        column = pa.compute.fill_null(column, "")
+        column = pc.fill_null(column, "")
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     if column.buffers()[2] is None or not len(column):
@@ -110,7 +111,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     Large-star / small-star rounds (Kiveris et al., 2014).  Each round is two
     aggregates and two equi-joins over a written edge table, so no neighbourhood
     is ever gathered: a node of very high degree is pre-aggregated before its
-    shuffle and its joins are split by adaptive execution.
+    shuffle, and as both sides of its joins are shuffled tables, adaptive
+    execution can split them.
     """
     star = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name
@@ -118,11 +120,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     seen = None
     while True:
         both = star.select("a", "b").union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         # Large star: every larger neighbour of a node is linked to the node's smallest.
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large, name)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), name)
         # Small star: smaller neighbours and the node itself are linked to the smallest.
         small = large.join(low, "a")
         nxt = small.select("a", F.col("m").alias("b")).union(

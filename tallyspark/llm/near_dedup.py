@@ -38,6 +38,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,7 +124,7 @@ def sketch_table(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
                     [
                         ids.slice(here.start, len(sets)).cast(pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.compute.fill_null(pa.compute.binary_length(part), 0).cast(pa.int64()),
+                        pc.fill_null(pc.binary_length(part), 0).cast(pa.int64()),
                         pa.array([S.fingerprint(s) for s in sets], pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
                     ],
@@ -270,7 +271,8 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k:
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
         F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("tile"),
     )
-    texts = written(tiled, "near-tile").join(docs, F.col("rep") == F.col("doc_id"))
+    # A sort-merge join at every size: the tiles grow with the documents, so they are never broadcast.
+    texts = written(tiled, "near-tile").join(docs.hint("merge"), F.col("rep") == F.col("doc_id"))
     texts = texts.select("tile", "side", "cls", "rep", "text")
     return written(
         texts.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verify(k, threshold), FOREST), "near-forest"
