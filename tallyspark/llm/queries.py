@@ -4,11 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import near_dedup
+from tallyspark.llm import decontaminate, near_dedup, packing, quality, sharding, topk, toxicity, warc
 from tallyspark.llm.common import table, tune
+from tallyspark.llm.labels import is_held_out
+
+#: Where the byte-level BPE file is; the same path on every executor.
+BPE_PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive every page, then read every capture back through the two-level index."""
+    tune(spark)
+    pages = table(spark, sf_dir, "pages")
+    manifest = warc.write_archives(pages)
+    keys = pages.select(warc.entry_key(F.col("url"), F.col("page_id").cast("long")).alias("key"))
+    return warc.read_captures(manifest, keys).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
+    )
+
+
+def _scored(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
+    return docs.select(
+        "doc_id",
+        is_held_out(modulus, held_out).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op2_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), modulus=5, held_out=0)
+    return _scored(quality.with_scores(docs.select("doc_id", "text"), model, toxicity.score_column), 5, 0)
+
+
+def op3_packing_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), BPE_PATH)
+    return pieces.select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("length"),
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +64,91 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items held by documents: at least 0.8 of an item's 5-word shingles."""
+    found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("containment", F.round(F.col("shared_shingles") / F.col("item_shingles"), 6))
+
+
+def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes."""
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 40).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op9_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), modulus=3, held_out=1)
+    return _scored(quality.with_scores(docs.select("doc_id", "text"), model), 3, 1)
+
+
+def op10_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows by integer inner product, for every vec_id divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    hits = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_capture_index": op1_warc_capture_index,
+    "op2_toxicity_bigru": op2_toxicity_bigru,
+    "op3_packing_dp": op3_packing_dp,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_kd_sharding": op8_kd_sharding,
+    "op9_quality_mil": op9_quality_mil,
+    "op10_impact_topk": op10_impact_topk,
+}
+
+#: DuckDB twins.  Words are split at ASCII white space and lower-cased A-Z only, as in the operators.
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+def _shingles(source: str, key: str, k: int) -> str:
+    """Distinct shingles (key, s) of a table; a text of fewer words is one shingle."""
+    return f"""
+    SELECT DISTINCT {key}, unnest(CASE
+        WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i+{k - 1}], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+    FROM (SELECT {key}, {_WORDS} AS w FROM {source} WHERE text IS NOT NULL)"""
+
+
+ORACLE: dict[str, str] = {
+    "op7_benchmark_decontamination": f"""
+WITH d AS ({_shingles("documents", "doc_id", 5)}),
+     q AS ({_shingles("benchmark", "item_id", 5)}),
+     n AS (SELECT item_id, count(*) AS item_shingles FROM q GROUP BY item_id),
+     x AS (SELECT d.doc_id, q.item_id, count(*) AS shared_shingles FROM d JOIN q USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, item_shingles, shared_shingles,
+       round(shared_shingles / item_shingles, 6) AS containment
+FROM x JOIN n USING (item_id) WHERE shared_shingles >= 0.8 * item_shingles - 1e-9
+""",
+    "op10_impact_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id,
+                  CAST(list_sum(list_transform(list_zip(q.v, v.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+           FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op1_warc_capture_index": """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+     k AS (SELECT d, min(page_id) AS kept FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN kept <> page_id THEN kept END AS refers_to,
+       regexp_replace(coalesce(url, '-'), '[\\x00-\\x20\\x7F]', '%20', 'g') AS url
+FROM p LEFT JOIN k ON p.d = k.d
+""",
 }
-ORACLE: dict[str, str] = {}
