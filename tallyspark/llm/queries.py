@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontaminate, near_dedup, packing, quality, sharding, topk, toxicity, warc
-from tallyspark.llm.common import table, tune
+from tallyspark.llm import decontaminate, line_dedup, near_dedup, packing, quality, sharding, token_counts, topk, toxicity, warc
+from tallyspark.llm.common import shared_path, table, tune, written
 from tallyspark.llm.labels import is_held_out
 
 #: Where the byte-level BPE file is; the same path on every executor.
@@ -64,6 +64,33 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that repeat or resemble (Jaccard 0.8) an earlier line of any document."""
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+
+
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of all documents after inserts, deletes, revised counts and replayed batches."""
+    docs = written(token_counts.counted(table(spark, sf_dir, "documents"), BPE_PATH), "token-counts")
+    rollup = token_counts.Rollup(spark, shared_path(spark, "token-rollup"))
+    # Every document arrives, counted in white-space words and in BPE tokens.
+    load = token_counts.inserts(docs, "words", "words-1").union(token_counts.inserts(docs, "bpe", "byte-bpe-50k"))
+    rollup.apply("load", load)
+    # Later copies of a text leave again.
+    first = docs.where("text_name is not null").groupBy("text_name").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    first = written(first.where("n > 1").select("text_name", "first"), "token-first")
+    marked = docs.join(first, "text_name", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    marked = written(marked, "token-marked")
+    copies = marked.where("copy")
+    rollup.apply("copies", token_counts.deletes(copies, "words", "words-1").union(token_counts.deletes(copies, "bpe", "byte-bpe-50k")))
+    # The word rule changes: what is left is counted anew.  Batches that come twice change nothing.
+    rollup.apply("words-2", token_counts.revisions(marked.where("not copy"), "words", "words-1", "runs", "words-2"))
+    rollup.apply("load", load)
+    rollup.compact()
+    rollup.apply("copies", token_counts.deletes(copies, "words", "words-1"))
+    return rollup.totals()
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items held by documents: at least 0.8 of an item's 5-word shingles."""
     found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -102,6 +129,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity_bigru": op2_toxicity_bigru,
     "op3_packing_dp": op3_packing_dp,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_token_rollup": op6_token_rollup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_kd_sharding": op8_kd_sharding,
     "op9_quality_mil": op9_quality_mil,
@@ -122,7 +151,25 @@ def _shingles(source: str, key: str, k: int) -> str:
     FROM (SELECT {key}, {_WORDS} AS w FROM {source} WHERE text IS NOT NULL)"""
 
 
+_LINE_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(line), '[ \t\x0B\f\r]+'), lambda w: w <> ''))"
+
 ORACLE: dict[str, str] = {
+    # Equal lines once; pairs that share a word and whose sizes allow the threshold; exact Jaccard.
+    "op5_line_dedup": f"""
+WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, x[i] AS line
+           FROM (SELECT doc_id, string_split(text, chr(10)) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+                 FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+           WHERE strlen(x[i]) >= 20),
+     r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, line_no) AS nth FROM l),
+     c AS (SELECT doc_id, line_no, row_number() OVER (ORDER BY doc_id, line_no) AS id, {_LINE_WORDS} AS w FROM r WHERE nth = 1),
+     n AS (SELECT id, len(w) AS n FROM c),
+     t AS (SELECT id, n, unnest(w) AS w FROM c JOIN n USING (id)),
+     p AS (SELECT x.id AS x, y.id AS y, any_value(x.n) AS xn, any_value(y.n) AS yn, count(*) AS k
+           FROM t x JOIN t y ON x.w = y.w AND y.id < x.id AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) GROUP BY 1, 2),
+     s AS (SELECT DISTINCT x AS id FROM p WHERE 5 * k >= 4 * (xn + yn - k))
+SELECT doc_id, line_no, 'copy' AS reason FROM r WHERE nth > 1
+UNION ALL SELECT doc_id, line_no, 'similar' AS reason FROM c JOIN s USING (id)
+""",
     "op7_benchmark_decontamination": f"""
 WITH d AS ({_shingles("documents", "doc_id", 5)}),
      q AS ({_shingles("benchmark", "item_id", 5)}),

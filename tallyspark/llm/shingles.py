@@ -17,6 +17,8 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTE[np.arange(65, 91)] = _BYTE[np.arange(97, 123)]
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 9, 10, 11, 12, 13]] = True
+_RUN = np.zeros(256, bool)
+_RUN[48:58] = _RUN[65:91] = _RUN[97:123] = _RUN[128:] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _powers = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -43,20 +45,29 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words; a row's edge ends a word."""
-    if not len(data):
+def _spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of ``inside``; a row's edge ends a run."""
+    if not len(inside):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = ~_SEP[data]
-    starts, ends = word.copy(), word.copy()
-    starts[1:] &= ~word[:-1]
-    ends[:-1] &= ~word[1:]
-    inner = offsets[(offsets > 0) & (offsets < len(data))]
-    starts[inner] = word[inner]
-    ends[inner - 1] = word[inner - 1]
+    starts, ends = inside.copy(), inside.copy()
+    starts[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(inside))]
+    starts[edges] = inside[edges]
+    ends[edges - 1] = inside[edges - 1]
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words."""
+    return _spans(~_SEP[data], offsets)
+
+
+def run_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of ASCII letters, digits and bytes beyond ASCII."""
+    return _spans(_RUN[data], offsets)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, byte: np.ndarray = _BYTE) -> np.ndarray:
     """Hash of each span, equal for equal (lower-cased) bytes wherever they stand."""
     out = np.empty(len(starts), np.uint64)

@@ -33,8 +33,6 @@ PER_CLASS, MAX_BYTES = 1500, 1 << 15
 #: Text bytes and windows worked on at once.
 CHUNK, SLICE = 2 << 20, 4096
 
-_TOKEN = np.zeros(256, bool)
-_TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[128:] = True
 _GRAM = np.random.default_rng(0xC4A2).integers(1, 1 << 63, (5, 256), dtype=np.uint64)
 _GRAM[:, 65:91] = _GRAM[:, 97:123]
 
@@ -44,14 +42,7 @@ class Tokens:
 
     def __init__(self, column: pa.Array):
         data, offsets = text_bytes(column)
-        is_token = _TOKEN[data]
-        starts, ends = is_token.copy(), is_token.copy()
-        if len(data):
-            starts[1:] &= ~is_token[:-1]
-            ends[:-1] &= ~is_token[1:]
-            inner = offsets[(offsets > 0) & (offsets < len(data))]
-            starts[inner], ends[inner - 1] = is_token[inner], is_token[inner - 1]
-        s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        s, e = S.run_spans(data, offsets)
         pieces = np.maximum(1, -(-(e - s) // PIECE))
         if len(s) and pieces.max() > 1:
             nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
