@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark import oracle as O
-from tallyspark.functions.filters import UsageFilter, preset_bounds, previous_period
+from tallyspark.functions.filters import UsageFilter, preset_bounds
 from tallyspark.plans import budgets as B
 from tallyspark.plans import ingest as I
 from tallyspark.plans import pricing_sync as PS
@@ -94,20 +94,11 @@ EV_SEARCH = UsageFilter(search="CLI_K")
 EV_SEARCH_SQL = O.where(extra=O.search_filter_sql("CLI_K"))
 EV_MODEL = UsageFilter(model="m-view-4-7")
 EV_MODEL_SQL = O.where(extra="model = 'm-view-4-7'")
-EV_7D_FROM, _, _ = preset_bounds("7d", _as_of("events"))
-EV_7D = UsageFilter(date_from=EV_7D_FROM)
-EV_24H_FROM, _, _ = preset_bounds("24h", _as_of("events"))
-EV_24H = UsageFilter(date_from=EV_24H_FROM)
-
-
-def _comparison_sql(view: str, f: UsageFilter) -> str:
-    cmp = previous_period(f.date_from, f.date_to, _as_of(view))
-    cur = (UsageFilter(date_from=cmp.current_from, date_to=cmp.current_to))
-    prev = UsageFilter(date_from=cmp.previous_from, date_to=cmp.previous_to)
-    fmt = lambda d: d.isoformat() if d else None
-    return O.period_comparison(
-        view, (fmt(cur.from_day), fmt(cur.to_day)), (fmt(prev.from_day), fmt(prev.to_day)), cmp.label
-    )
+EV_7D = UsageFilter(date_from=preset_bounds("7d", _as_of("events"))[0])
+EV_24H = UsageFilter(date_from=preset_bounds("24h", _as_of("events"))[0])
+# What the presets and the windows before them must resolve to, as of fx.AS_OF, written out for DuckDB.
+EV_7D_SQL = O.where("2024-01-13")
+EV_24H_SQL = O.where("2024-01-19")
 
 
 def _budget(view: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -201,9 +192,10 @@ def _budget_change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("n_nationkey")
     creates = nation.select(key.cast("bigint").alias("pos"), F.lower("n_name").alias("name"), (key * 25.0).alias("amount_usd"))
     b1, _ = B.create_budgets(spark.createDataFrame([], BUDGETS), creates, now)
-    updates = nation.filter(F.col("n_regionkey") == 1).select(
-        key.cast("bigint").alias("id"), F.lower("n_name").alias("name"), (key * 50.0).alias("amount_usd"),
-        F.lit(True).alias("show_in_dashboard"),
+    edit = F.explode(F.array(F.lit(40.0), F.lit(50.0))).alias("factor")  # each is edited twice, the last stays
+    updates = nation.filter(F.col("n_regionkey") == 1).select("n_name", key, edit).select(
+        F.col("factor").alias("pos"), key.cast("bigint").alias("id"), F.lower("n_name").alias("name"),
+        (key * F.col("factor")).alias("amount_usd"), F.lit(True).alias("show_in_dashboard"),
     )
     b2, _ = B.update_budgets(b1, updates, now)
     b3 = B.delete_budgets(b2, nation.filter(key % 5 == 0).select(key.cast("bigint").alias("id")))
@@ -233,6 +225,138 @@ def _stored_sheet_older_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(R.price_sheet(read_pricing(spark, read_latest_path(spark, base))))
 
 
+def _loaded_logs(spark: SparkSession, sf_dir: str, write: Callable) -> I.UsageStore:
+    """Logs written by ``write`` and ingested twice into a fresh store; the second run changes nothing."""
+    apply_required_conf(spark)
+    root = fresh_path(spark, "logs")
+    write(spark, sf_dir, root)
+    store = I.UsageStore(fresh_path(spark, "usage-store"))
+    for _ in range(2):
+        I.ingest(spark, root, store, glob="*.txt")
+    return store
+
+
+def _ingest_late_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later events arrive first, earlier ones by a second run over the same folders."""
+    apply_required_conf(spark)
+    root, store = fresh_path(spark, "late-logs"), I.UsageStore(fresh_path(spark, "usage-store"))
+    for where in LATE_FIRST:
+        fx.write_event_logs(spark, sf_dir, root, where)
+        I.ingest(spark, root, store, glob="*.txt")
+    return present(I.read_usage(spark, store).drop("source_file", "source_line"))
+
+
+# Both halves of the events, the later half first.
+LATE_FIRST = ("ts >= '2024-01-15'", "ts < '2024-01-15'")
+
+
+def _live_bucket_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly totals kept by the stream; the second micro-batch brings rows that are days late."""
+    from tallyspark.streaming import live as L
+
+    apply_required_conf(spark)
+    landing, store = fresh_path(spark, "landing"), I.UsageStore(fresh_path(spark, "stream-store"))
+    totals = fresh_path(spark, "live-totals")
+    for where in LATE_FIRST:
+        fx.write_event_logs(spark, sf_dir, landing, where)
+        L.stream_ingest(spark, landing, store, L.checkpoint_path(store, "live"), glob="*.txt", totals=totals).awaitTermination()
+    return present(spark.read.parquet(totals).drop("usage_date"))
+
+
+def _ingest_odd_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _loaded_logs(spark, sf_dir, fx.write_odd_names)
+    return present(I.read_usage(spark, store).select("message_id", "project_slug"))
+
+
+def _ingest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _loaded_logs(spark, sf_dir, fx.write_numbered_logs)
+    return present(I.read_usage(spark, store).select("message_id", "source_line"))
+
+
+def _ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _loaded_logs(spark, sf_dir, fx.write_event_logs)
+    return present(I.read_quarantine(spark, store).select("reason", "line"))
+
+
+def _ingest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines recorded for each log folder."""
+    store = _loaded_logs(spark, sf_dir, fx.write_event_logs)
+    folder = F.element_at(F.split("source_file", "/"), -2).alias("slug")
+    files = I.current_manifest(spark, store)
+    return present(files.select(folder, "last_line").groupBy("slug").agg(F.sum("last_line").alias("lines")))
+
+
+def _rate_change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates created, edited twice, upserted and deleted, with the status of every edit."""
+    from tallyspark.schemas import PRICING, RATE_COLUMNS
+
+    now = _sync_at()
+    nation = fx.table(spark, sf_dir, "nation")
+    model, key, region = F.concat(F.lit("n-"), F.lower("n_name")), F.col("n_nationkey").cast("double"), F.col("n_regionkey")
+
+    def edits(where, factor, pos, prefix=""):
+        rates = [(key * factor).alias(c) for c in RATE_COLUMNS]
+        return nation.where(where).select((F.col("n_nationkey") + pos).cast("bigint").alias("pos"), F.concat(F.lit(prefix), model).alias("model"), *rates)
+
+    sheet = spark.createDataFrame([], PRICING)
+    sheet, created = PS.create_rates(sheet, edits(F.lit(True), 1, 0).union(edits(region == 1, 9, 100)), now)
+    changes = edits(region == 2, 2, 0).union(edits(region == 2, 3, 100)).union(edits(region == 3, 7, 0, "no-"))
+    sheet, updated = PS.update_rates(sheet, changes, now)
+    sheet = PS.delete_rates(sheet, nation.where(region == 4).select(model.alias("model")))
+    twice = edits(region == 0, 4, 0).union(edits(region == 0, 5, 100))
+    upserted = PS.upsert_rates(sheet, twice.withColumns({"source": F.lit(""), "fetched_at": F.lit(None).cast("timestamp_ntz")}), now)
+
+    def rows(kind, df, rate, state):
+        return df.select(F.lit(kind).alias("kind"), "model", rate.alias("input_per_mtok_usd"), F.col(state).alias("state"))
+
+    rate, none = F.col("input_per_mtok_usd"), F.lit(None).cast("double")
+    zero = nation.where(region == 0).select(model.alias("model"))
+    out = rows("sheet", sheet, rate, "source").union(rows("create", created, none, "status")).union(rows("update", updated, none, "status"))
+    return present(out.union(rows("upsert", upserted.join(zero, "model", "left_semi"), rate, "source")))
+
+
+def _stored_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budgets stored without the pin flag, times as text: the flag defaults, the times are parsed."""
+    from tallyspark.sources.tables import read_budgets
+
+    path = fresh_path(spark, "budgets")
+    fx.table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"),
+        (F.col("n_nationkey") * 2.5).cast("double").alias("amount_usd"),
+        F.lit("2024-01-02T03:04:05.123456789Z").alias("created_at"), F.lit("").alias("updated_at"),
+    ).write.parquet(path)
+    return present(read_budgets(spark, path))
+
+
+def _stored_times_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.sources.tables import read_pricing
+
+    path = fresh_path(spark, "times")
+    fx.stored_times(spark, sf_dir).write.parquet(path)
+    return present(read_pricing(spark, path).select("model", "updated_at"))
+
+
+def _feed_snapshot_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed written as one JSON document, read back and normalised."""
+    from tallyspark.sources.feed import read_feed_snapshot
+
+    path = fresh_path(spark, "feed")
+    fx.write_feed_document(spark, sf_dir, path)
+    return present(PS.normalise_feed(read_feed_snapshot(spark, path), _sync_at()))
+
+
+def _session_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the session with the highest id."""
+    u, rates = _ctx(spark, sf_dir, "events")
+    session = u.agg(F.max(F.col("session_id").cast("bigint"))).first()[0]
+    return present(R.session_records(u, rates, str(session)))
+
+
+def _unpriced_without_click(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, _ = _ctx(spark, sf_dir, "events")
+    return present(R.unpriced_models(u, fx.rate_sheet(spark).where("model not like 'm-click%'")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return _report_queries() | _corpus_queries()
 
@@ -315,7 +439,20 @@ def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bucket_detail": _report("lineitem", R.bucket_detail),
         # R-15 unpriced models, P-07/P-08 candidate matching
         "unpriced_models": _report("lineitem", R.unpriced_models),
-        "unpriced_models_events": _report("events", R.unpriced_models),
+        "unpriced_models_events": _unpriced_without_click,
+        "session_drilldown": _session_drilldown,
+        "bucket_drilldown_day": _report("events", R.bucket_breakdown, bucket="day", bucket_value="2024-01-10"),
+        "bucket_drilldown_hour": _report("events", R.bucket_breakdown, bucket="hour", bucket_value="2024-01-10 05:00:00"),
+        "live_bucket_totals": _live_bucket_totals,
+        "ingest_late_batch": _ingest_late_batch,
+        "ingest_odd_names": _ingest_odd_names,
+        "ingest_lines": _ingest_lines,
+        "ingest_quarantine": _ingest_quarantine,
+        "ingest_manifest": _ingest_manifest,
+        "rate_change_set": _rate_change_set,
+        "stored_budgets": _stored_budgets,
+        "stored_times_text": _stored_times_text,
+        "feed_snapshot_json": _feed_snapshot_json,
         "model_rate_matches": _report("events", R.model_rate_matches),
         "model_rate_matches_lineitem": _report("lineitem", R.model_rate_matches),
     }
@@ -352,7 +489,7 @@ def _report_sql() -> dict[str, str]:
         "time_series_day": O.time_series("lineitem", "day"),
         "time_series_hour": O.time_series("events", "hour"),
         "time_series_by_model": O.time_series_models("events", "day"),
-        "time_series_7d": O.time_series("events", "day", O.where(UsageFilter(date_from=EV_7D_FROM).from_day.isoformat())),
+        "time_series_7d": O.time_series("events", "day", EV_7D_SQL),
         "session_page": O.session_page("lineitem", 50, 0),
         "session_page_offset": O.session_page("events", 20, 7),
         "session_page_bad_args": O.session_page("events", 50, 0),
@@ -364,20 +501,37 @@ def _report_sql() -> dict[str, str]:
         "project_ranking_events": O.project_ranking("events"),
         "budget_report": O.budget_report("events", _month_start_text("events")),
         "budget_report_lineitem": O.budget_report("lineitem", _month_start_text("lineitem")),
-        "period_comparison_7d": _comparison_sql("events", EV_7D),
-        "period_comparison_all": _comparison_sql("lineitem", UsageFilter()),
-        "period_comparison_custom": _comparison_sql("lineitem", LI_RANGE),
+        "period_comparison_7d": O.period_comparison(
+            "events", ("2024-01-13", None), ("2024-01-06", "2024-01-13"), "vs previous 7 days"
+        ),
+        "period_comparison_all": O.period_comparison(
+            "lineitem", ("2001-11-01", None), ("2001-10-01", "2001-11-01"), "vs last month"
+        ),
+        "period_comparison_custom": O.period_comparison(
+            "lineitem", ("1996-01-01", "1998-01-01"), ("1994-01-01", "1996-01-01"), "vs previous 730 days"
+        ),
         "metric_breakdown_cost": O.metric_breakdown("lineitem", "cost_usd"),
         "metric_breakdown_output": O.metric_breakdown("events", "output_tokens"),
         "metric_breakdown_sessions": O.metric_breakdown("lineitem", "sessions"),
         "metric_breakdown_messages": O.metric_breakdown("events", "messages"),
         "bucket_breakdown": O.bucket_breakdown("events", "day"),
-        "bucket_breakdown_hour": O.bucket_breakdown(
-            "events", "hour", O.where(UsageFilter(date_from=EV_24H_FROM).from_day.isoformat())
-        ),
+        "bucket_breakdown_hour": O.bucket_breakdown("events", "hour", EV_24H_SQL),
         "bucket_detail": O.bucket_detail("lineitem", "day"),
         "unpriced_models": O.unpriced_models("lineitem"),
-        "unpriced_models_events": O.unpriced_models("events"),
+        "unpriced_models_events": O.unpriced_models("events", without="m-click"),
+        "session_drilldown": O.session_records("events", "(SELECT CAST(max(user_id) AS VARCHAR) FROM events)"),
+        "bucket_drilldown_day": O.bucket_breakdown("events", "day", O.where("2024-01-10", "2024-01-11")),
+        "bucket_drilldown_hour": O.bucket_breakdown("events", "hour", O.where(extra="strftime(ts, '%Y-%m-%d %H') = '2024-01-10 05'")),
+        "live_bucket_totals": O.live_totals(),
+        "ingest_late_batch": O.ingested_event_logs(),
+        "ingest_odd_names": O.odd_names(),
+        "ingest_lines": O.numbered_lines(),
+        "ingest_quarantine": O.quarantined(),
+        "ingest_manifest": O.manifest_lines(),
+        "rate_change_set": O.rate_change_set(),
+        "stored_budgets": O.stored_budgets(),
+        "stored_times_text": O.stored_times(),
+        "feed_snapshot_json": O.normalized_feed(fx.SYNC_AT),
         "model_rate_matches": O.model_rate_matches("events"),
         "model_rate_matches_lineitem": O.model_rate_matches("lineitem"),
     }

@@ -28,9 +28,5 @@ def cost_usd(tokens: list[str] | None = None, rates: list[str] | None = None) ->
     return F.coalesce(total, F.lit(0.0))
 
 
-def has_rate(matched_model: str = "matched_model") -> Column:
-    return F.col(matched_model).isNotNull()
-
-
 def token_total(prefix: str = "") -> Column:
     return sum((F.col(prefix + c) for c in TOKEN_COLUMNS[1:]), F.col(prefix + TOKEN_COLUMNS[0]))

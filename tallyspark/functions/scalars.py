@@ -55,7 +55,11 @@ def rfc3339_to_utc(text: Column) -> Column:
 
 
 def stored_time(text: Column) -> Column:
-    """Stored time text in one of the accepted layouts, else null."""
+    """Stored time text in one of the accepted layouts, else null.
+
+    Writers keep up to nanoseconds; digits beyond microseconds are cut.
+    """
+    text = F.regexp_replace(text, r"(\.[0-9]{6})[0-9]+", "$1")
     parsed = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in STORED_TIME_LAYOUTS]
     return instant_to_utc_ntz(F.coalesce(*parsed))
 
@@ -69,10 +73,6 @@ def bucket_key(ts: Column, bucket: str) -> Column:
     return F.date_format(ts, HOUR_KEY_FORMAT if bucket == "hour" else DAY_KEY_FORMAT)
 
 
-def bucket_start(ts: Column, bucket: str) -> Column:
-    return F.date_trunc("hour" if bucket == "hour" else "day", ts).cast("timestamp_ntz")
-
-
 def pct_change(current: Column, previous: Column) -> Column:
     """(a - b) / b x 100; with b = 0: infinity when a > 0, else 0."""
     a, b = current.cast("double"), previous.cast("double")
@@ -93,16 +93,6 @@ def change_direction(pct: Column) -> Column:
     )
 
 
-def change_text(pct: Column) -> Column:
-    """``new`` for infinite, else arrow and one-decimal absolute percent."""
-    arrow = F.when(pct > 0, F.lit("▲")).when(pct < 0, F.lit("▼")).otherwise(F.lit("·"))
-    return (
-        F.when(pct.isNull(), F.lit(None).cast("string"))
-        .when(F.abs(pct) == F.lit(float("inf")), F.lit("new"))
-        .otherwise(F.concat(arrow, F.lit(" "), F.format_string("%.1f", F.abs(pct)), F.lit("% vs prev")))
-    )
-
-
 def budget_pct_used(spent: Column, amount: Column) -> Column:
     return F.when(amount > 0, spent / amount * 100.0).otherwise(F.lit(0.0))
 

@@ -100,9 +100,11 @@ def usage_cte(view: str) -> str:
     )
 
 
-def rates_cte(name: str = "rates") -> str:
+def rates_cte(name: str = "rates", without: str | None = None) -> str:
     rows = ",\n  ".join(
-        f"({q(m)}, {_num(i)}, {_num(o)}, {_num(w)}, {_num(r)}, {q(s)})" for (m, i, o, w, r, s) in RATE_SHEET
+        f"({q(m)}, {_num(i)}, {_num(o)}, {_num(w)}, {_num(r)}, {q(s)})"
+        for (m, i, o, w, r, s) in RATE_SHEET
+        if without is None or not m.startswith(without)
     )
     return f"{name}(model, {', '.join(RATES)}, source) AS (VALUES\n  {rows})"
 
@@ -170,10 +172,10 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-def priced_models_ctes(view: str, flt: str, name: str = "pm") -> list[str]:
+def priced_models_ctes(view: str, flt: str, name: str = "pm", without: str | None = None) -> list[str]:
     return [
         usage_cte(view),
-        rates_cte(),
+        rates_cte(without=without),
         f"f AS (SELECT * FROM u WHERE {flt})",
         f"{name}0 AS (SELECT model, {sums()}, COUNT(*) AS messages FROM f GROUP BY model)",
         rate_match_cte(f"{name}0", f"{name}_r"),
@@ -213,10 +215,6 @@ def _bucket_model_ctes(view: str, flt: str, bucket: str) -> list[str]:
     ]
 
 
-def _fix_cost(expr: str) -> str:
-    return expr
-
-
 def time_series(view: str, bucket: str, flt: str | None = None) -> str:
     ctes = _bucket_model_ctes(view, flt or where(), bucket)
     return with_(*ctes) + (
@@ -248,21 +246,24 @@ def session_page(view: str, limit: int, offset: int, flt: str | None = None) ->
         f"SELECT page.session_id, page.project_slug, page.cwd, page.git_branch, page.models, "
         f"{ts_text('page.first_seen')} AS first_seen, {ts_text('page.last_seen')} AS last_seen, "
         f"{', '.join('page.' + t for t in TOK)}, page.messages, {r6('COALESCE(sc.cost_usd, 0.0)')} AS cost_usd, "
+        "page.git_branch NOT IN ('', 'HEAD') AS has_branch, page.cache_read_tokens + page.cache_creation_tokens AS cache_total, "
         f"tot.total, CAST({limit} AS BIGINT) AS page_limit, CAST({offset} AS BIGINT) AS page_offset "
         "FROM page LEFT JOIN sc ON page.session_id = sc.session_id CROSS JOIN tot"
     )
 
 
-def session_records(view: str) -> str:
+def session_records(view: str, session: str | None = None) -> str:
+    flt = where(extra=None if session is None else f"session_id = {session}")
     ctes = [
         usage_cte(view),
         rates_cte(),
-        f"f AS (SELECT * FROM u WHERE {where()})",
+        f"f AS (SELECT * FROM u WHERE {flt})",
         rate_match_cte("f", "f_r"),
     ]
     return with_(*ctes) + (
         f"SELECT a.message_id, a.session_id, {ts_text('a.ts')} AS ts, a.model, COALESCE(a.git_branch, '') AS git_branch, "
-        f"{', '.join('a.' + t for t in TOK)}, a.source_file, a.source_line, {r6(cost_sql('b'))} AS cost_usd "
+        f"{', '.join('a.' + t for t in TOK)}, a.source_file, a.source_line, {r6(cost_sql('b'))} AS cost_usd, "
+        "COALESCE(a.git_branch, '') NOT IN ('', 'HEAD') AS has_branch, a.cache_read_tokens + a.cache_creation_tokens AS cache_total "
         "FROM f a LEFT JOIN f_r b ON a.model = b.model"
     )
 
@@ -411,8 +412,8 @@ def bucket_detail(view: str, bucket: str, flt: str | None = None) -> str:
     )
 
 
-def unpriced_models(view: str) -> str:
-    return with_(*priced_models_ctes(view, where())) + (
+def unpriced_models(view: str, without: str | None = None) -> str:
+    return with_(*priced_models_ctes(view, where(), without=without)) + (
         f"SELECT model, {', '.join(TOK)}, messages FROM pm WHERE matched_model IS NULL"
     )
 
@@ -605,3 +606,73 @@ def top_projects(view: str, k: int = 15) -> str:
         "CAST(row_number() OVER (ORDER BY cost_usd DESC, project_key) AS BIGINT) AS rank "
         f"FROM prj ORDER BY cost_usd DESC, project_key LIMIT {k}"
     )
+
+
+# --- ingest, edits and stored tables -------------------------------------------
+
+
+def live_totals() -> str:
+    return (
+        f"SELECT substr(ts, 1, 13) || ':00:00' AS bucket, model, {', '.join(f'CAST(SUM({t}) AS BIGINT) AS {t}' for t in TOK)}, "
+        f"COUNT(*) AS messages FROM ({ingested_event_logs()}) GROUP BY 1, 2"
+    )
+
+
+def odd_names() -> str:
+    """The folder names as the writer escapes them: "[", "]", "{" and "%" become "%" and two hex digits."""
+    return (
+        "SELECT message_id, project_slug || ' a+b %5B1%5D%7Bx}%2541' AS project_slug "
+        f"FROM ({ingested_event_logs()})"
+    )
+
+
+def numbered_lines() -> str:
+    return (
+        "SELECT CAST(event_id AS VARCHAR) AS message_id, "
+        "row_number() OVER (PARTITION BY user_id % 7 ORDER BY event_id) AS source_line FROM events"
+    )
+
+
+def quarantined() -> str:
+    return (
+        "SELECT 'malformed_json' AS reason, '{\"type\":\"assistant\",\"message\":{\"id\":' || CAST(event_id AS VARCHAR) AS line "
+        "FROM events WHERE event_id % 50 = 0"
+    )
+
+
+def manifest_lines() -> str:
+    """Lines of each log folder: one an event, two more every 50th event, replays in their own folder."""
+    return """
+SELECT slug, CAST(SUM(n) AS BIGINT) AS lines FROM (
+  SELECT 'p=-u-' || CAST(user_id % 7 AS VARCHAR) AS slug, 1 + CASE WHEN event_id % 50 = 0 THEN 2 ELSE 0 END AS n FROM events
+  UNION ALL SELECT 'p=~replay', 1 FROM events WHERE event_id % 10 = 0 AND event_type <> 'signup') GROUP BY slug"""
+
+
+def rate_change_set() -> str:
+    """Rates created from nation rows, region 2 edited twice (the last stays), region 4 deleted; with each edit's status."""
+    return f"""
+WITH n AS (SELECT 'n-' || lower(n_name) AS model, n_nationkey AS k, n_regionkey AS r FROM nation)
+SELECT 'sheet' AS kind, model, CAST(CASE WHEN r = 2 THEN k * 3 ELSE k END AS DOUBLE) AS input_per_mtok_usd, 'manual' AS state
+FROM n WHERE r <> 4
+UNION ALL SELECT 'create', model, NULL, 'created' FROM n
+UNION ALL SELECT 'create', model, NULL, 'conflict' FROM n WHERE r = 1
+UNION ALL SELECT 'update', model, NULL, 'updated' FROM n, (VALUES (2), (3)) f(x) WHERE r = 2
+UNION ALL SELECT 'update', 'no-' || model, NULL, 'not_found' FROM n WHERE r = 3
+UNION ALL SELECT 'upsert', model, CAST(k * 5 AS DOUBLE), 'manual' FROM n WHERE r = 0"""
+
+
+def stored_budgets() -> str:
+    return (
+        "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(n_nationkey * 2.5 AS DOUBLE) AS amount_usd, "
+        "FALSE AS show_in_dashboard, '2024-01-02 03:04:05.123456' AS created_at, CAST(NULL AS VARCHAR) AS updated_at FROM nation"
+    )
+
+
+def stored_times() -> str:
+    text = ts_text("t")
+    return f"""
+SELECT model, CASE WHEN t IS NULL THEN NULL ELSE {text} END AS updated_at FROM (
+  SELECT CAST(event_id AS VARCHAR) AS model,
+         CASE event_id % 6 WHEN 2 THEN CAST(ts AS TIMESTAMP) - INTERVAL 2 HOUR
+                           WHEN 4 THEN date_trunc('second', CAST(ts AS TIMESTAMP))
+                           WHEN 5 THEN NULL ELSE CAST(ts AS TIMESTAMP) END AS t FROM events)"""

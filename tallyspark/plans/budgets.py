@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.keyed import delete_keys, upsert, with_status
+from ..operators.keyed import delete_keys, last_per_key, numbered, upsert, with_status
 from ..schemas import BUDGETS
 
 BUDGET_COLUMNS = [f.name for f in BUDGETS.fields]
@@ -25,18 +25,17 @@ def _valid(name: str = "name", amount: str = "amount_usd"):
 def create_budgets(budgets: DataFrame, changes: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """New budgets need a name and a positive amount; they start unpinned.
 
-    Ids continue after the current maximum in change order (``pos``).  The
-    numbering window runs over the change set only.
+    Ids continue after the current maximum in change order (``pos``).
     """
     if "pos" not in changes.columns:
         changes = changes.withColumn("pos", F.lit(0).cast("bigint"))
     c = changes.withColumn("status", F.when(_valid(), F.lit("created")).otherwise(F.lit("invalid")))
     base = budgets.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     ok = c.filter(F.col("status") == "created").withColumn("_base", base)
-    rank = F.row_number().over(Window.orderBy("pos", "name", "amount_usd"))
+    ok = numbered(ok, ["pos", "name", "amount_usd"], "_rank")
     ts = F.lit(now).cast("timestamp_ntz")
     new_rows = ok.select(
-        (F.col("_base") + rank).cast("bigint").alias("id"),
+        (F.col("_base") + F.col("_rank")).cast("bigint").alias("id"),
         "name",
         F.col("amount_usd").cast("double").alias("amount_usd"),
         F.lit(False).alias("show_in_dashboard"),
@@ -47,12 +46,12 @@ def create_budgets(budgets: DataFrame, changes: DataFrame, now: dt.datetime) ->
 
 
 def update_budgets(budgets: DataFrame, changes: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
-    """Replace name, amount and pin of existing ids; invalid edits are rejected."""
+    """Replace name, amount and pin of existing ids; invalid edits are rejected, the last edit of an id stays."""
     st = with_status(changes, budgets, "id", "updated", "not_found")
     st = st.withColumn("status", F.when(~_valid(), F.lit("invalid")).otherwise(F.col("status")))
     created = budgets.select("id", "created_at")
     upd = (
-        st.filter(F.col("status") == "updated")
+        last_per_key(st.filter(F.col("status") == "updated"), "id")
         .join(created, "id")
         .select(
             "id",

@@ -2,9 +2,9 @@
 
 Store layout (all under one base path on a shared filesystem):
 
-    usage/        Parquet, partitioned by usage_date, append-only
-    manifest/     Parquet append log: one row per file per run that read it
-    quarantine/   Parquet append log of rejected lines
+    usage/        Parquet, partitioned by usage_date, sorted by session inside files
+    manifest/     Parquet append log: one row per file per run that read it whole
+    quarantine/   Parquet append log of rejected lines, by run
     tombstones/   Parquet append log of deleted message ids
 
 One run:
@@ -15,29 +15,45 @@ One run:
    manifest row for that path -- new, appended, truncated or rewritten
    files alike are re-read whole, so a half-written last line is picked up
    once it is complete;
-3. read, number, decode and de-duplicate those files (first wins);
-4. drop message ids already stored or tombstoned (insert-or-ignore);
-5. append the new rows, then append the manifest rows.
-
-The order makes a crash at any point safe: a rerun re-reads the files whose
-manifest row is missing and step 4 drops what already landed.  Only file
-*paths* of changed files reach the driver (the file source needs them as its
-input list); no row data does.
+3. scan the root once, without files older than the oldest change, keep the
+   changed files and decode every line once into a staged table;
+4. from the staged table: line numbers, the fact rows (first wins), the
+   rejected lines and the files that were read whole;
+5. drop message ids already stored or tombstoned (insert-or-ignore), append
+   the new rows, the rejected lines, then the manifest rows.
+
+A file that could not be read to its end adds nothing and gets no manifest row,
+so the next run tries it again; the others are not held up.  The order
+makes a crash at any point safe: a rerun re-reads the files whose manifest row is
+missing and step 5 drops what already landed.  File names and rows stay in
+DataFrames; only counters reach the driver.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import os
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import USAGE
 from ..session import scratch_dir
-from ..sources.logs import LOG_GLOB, decoded_path, read_logs
-from ..sources.tables import path_exists
+from ..sources.logs import (
+    LOG_GLOB,
+    block_totals,
+    decoded_lines,
+    decoded_path,
+    file_totals,
+    first_wins,
+    number_lines,
+    quarantine,
+    scan_lines,
+    to_usage,
+)
+from ..sources.tables import delete_path, path_exists, staged
 
 
 @dataclass(frozen=True)
@@ -62,7 +78,7 @@ class UsageStore:
 
 
 def list_files(spark: SparkSession, root: str, glob: str = LOG_GLOB) -> DataFrame:
-    """(source_file, length, modified_at) of every log file under ``root``."""
+    """(source_file, length, modified_at) of every log file under ``root`` that holds a byte."""
     listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -70,7 +86,7 @@ def list_files(spark: SparkSession, root: str, glob: str = LOG_GLOB) -> DataFram
         .load(root)
     )
     return listing.select(
-        decoded_path(F.col("path")).alias("source_file"),
+        decoded_path(F.col("_metadata.file_path")).alias("source_file"),
         F.col("length"),
         F.col("modificationTime").alias("modified_at"),
     )
@@ -82,7 +98,9 @@ def current_manifest(spark: SparkSession, store: UsageStore) -> DataFrame | None
         return None
     log = spark.read.parquet(store.manifest)
     newest = log.groupBy("source_file").agg(
-        F.max_by(F.struct("byte_offset", "last_line", "modified_at", "updated_at"), "updated_at").alias("m")
+        F.max_by(
+            F.struct("byte_offset", "last_line", "modified_at", "updated_at", "run_id"), F.struct("updated_at", "run_id")
+        ).alias("m")
     )
     return newest.select("source_file", "m.*")
 
@@ -115,30 +133,29 @@ def known_ids(spark: SparkSession, store: UsageStore) -> DataFrame | None:
     return out
 
 
-# Up to this many new rows per run, their ids are broadcast to the stored-id
-# scan (semi-join without shuffling the stored side); beyond it, shuffled.
-BATCH_IDS_BROADCAST_MAX = 5_000_000
+def drop_known(spark: SparkSession, store: UsageStore, rows: DataFrame) -> DataFrame:
+    """Insert-or-ignore: the batch rows whose message id is neither stored nor tombstoned.
 
-
-def drop_known(spark: SparkSession, store: UsageStore, rows: DataFrame,
-               max_broadcast: int = BATCH_IDS_BROADCAST_MAX) -> DataFrame:
-    """Insert-or-ignore: the batch rows whose message id is neither stored nor
-    tombstoned, materialised in the shared checkpoint folder.
-
-    The batch is cut from its lineage and counted first.  Under the bound its
-    ids are broadcast and the stored ids are semi-joined against them, so the
-    large stored column is scanned and probed but never shuffled; the batch
-    is then anti-joined with that overlap (at most one row per batch id).
+    The batch is staged, so the planner knows its bytes: while its ids are
+    small they are broadcast and the stored ids are scanned and probed where
+    they lie; a large batch is joined by a shuffle.  The batch is then
+    anti-joined with the overlap (at most one row per batch id).
     """
-    scratch_dir(spark)
-    rows = rows.select(*[f.name for f in USAGE.fields]).checkpoint(eager=True)
+    rows = staged(rows.select(*[f.name for f in USAGE.fields]), "ingest-batch")
     ids = known_ids(spark, store)
     if ids is None:
         return rows
-    batch_ids = rows.select("message_id")
-    side = F.broadcast(batch_ids) if rows.count() <= max_broadcast else batch_ids
-    seen = ids.join(side, "message_id", "left_semi")
-    return rows.join(seen, "message_id", "left_anti").checkpoint(eager=True)
+    seen = ids.join(rows.select("message_id"), "message_id", "left_semi")
+    return staged(rows.join(seen, "message_id", "left_anti"), "ingest-new")
+
+
+def append_usage(rows: DataFrame, store: UsageStore) -> None:
+    """Append fact rows: few files a day whatever the number of tasks, sorted by session for pruning.
+
+    The rebalance splits a day that is larger than a file should be.
+    """
+    days = rows.hint("rebalance", "usage_date").sortWithinPartitions("usage_date", "session_id", "ts")
+    days.write.mode("append").partitionBy("usage_date").parquet(store.usage)
 
 
 @dataclass(frozen=True)
@@ -146,38 +163,55 @@ class IngestResult:
     files_read: int
     rows_added: int
     rows_quarantined: int
+    files_incomplete: int = 0  # not read to their end: nothing loaded, tried again by the next run
+    days: DataFrame | None = field(default=None, compare=False)  # usage dates the lines fall on
+
+
+def load_lines(spark: SparkSession, lines: DataFrame, root: str, store: UsageStore, now: dt.datetime) -> IngestResult:
+    """Load scanned lines: decode once, then fact rows, quarantine and manifest from the staged result."""
+    run_id = uuid.uuid4().hex
+    decoded = staged(decoded_lines(lines), "ingest-lines")
+    blocks = staged(block_totals(decoded), "ingest-blocks")
+    files = staged(file_totals(blocks), "ingest-files")
+    whole = files.where("whole").select("source_file")
+    numbered = number_lines(decoded.where("reject_reason is null or reject_reason <> 'not_usage'"), blocks)
+    numbered = staged(numbered.join(whole, "source_file", "left_semi"), "ingest-numbered")
+
+    usage = to_usage(numbered, root)
+    days = staged(usage.select("usage_date").distinct(), "ingest-days")
+    rows = drop_known(spark, store, first_wins(usage))
+    bad = quarantine(numbered)
+    append_usage(rows, store)
+    bad.withColumns({"run_at": F.lit(now), "run_id": F.lit(run_id)}).write.mode("append").parquet(store.quarantine)
+    manifest = files.where("whole").select("source_file", "byte_offset", "last_line", "modified_at")
+    manifest = staged(manifest.withColumns({"updated_at": F.lit(now), "run_id": F.lit(run_id)}), "ingest-manifest")
+    manifest.write.mode("append").parquet(store.manifest)
+    return IngestResult(manifest.count(), rows.count(), bad.count(), files.where("not whole").count(), days)
 
 
 def ingest(spark: SparkSession, root: str, store: UsageStore, glob: str = LOG_GLOB,
            now: dt.datetime | None = None) -> IngestResult:
     """One incremental run; returns counters."""
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    scratch_dir(spark)
     listing = list_files(spark, root, glob)
-    # The listing this run acts on is pinned, so the manifest records exactly
-    # the lengths that were current when the files were selected.
-    changed = changed_files(listing, current_manifest(spark, store)).checkpoint(eager=True)
-    paths = [r.source_file for r in changed.select("source_file").collect()]
-    if not paths:
+    manifest = current_manifest(spark, store)
+    changed = staged(changed_files(listing, manifest), "ingest-changed")
+    n, oldest = changed.agg(F.count(F.lit(1)), F.min("modified_at")).first()
+    if not n:
         return IngestResult(0, 0, 0)
+    lines = scan_lines(spark, root, glob, since=oldest if manifest is not None else None)
+    if manifest is not None:  # a first run reads every file
+        lines = lines.join(changed.select("source_file"), "source_file", "left_semi")
+    return load_lines(spark, lines, root, store, now)
 
-    rows, bad = read_logs(spark, root, paths, glob)
-    # Lineage cuts in the shared checkpoint folder: the rows are computed once,
-    # then written and counted from the checkpoint, and a lost executor does
-    # not send the write back to the text scan.
-    rows = drop_known(spark, store, rows)
-    bad = bad.checkpoint(eager=True)
-    rows.write.mode("append").partitionBy("usage_date").parquet(store.usage)
-    bad.withColumn("run_at", F.lit(now)).write.mode("append").parquet(store.quarantine)
-    manifest_rows = changed.select(
-        "source_file",
-        F.col("length").alias("byte_offset"),
-        F.lit(None).cast("bigint").alias("last_line"),
-        "modified_at",
-        F.lit(now).alias("updated_at"),
-    )
-    manifest_rows.write.mode("append").parquet(store.manifest)
-    return IngestResult(len(paths), rows.count(), bad.count())
+
+def read_quarantine(spark: SparkSession, store: UsageStore) -> DataFrame:
+    """Rejected lines of the newest read of each file, one row a line."""
+    newest = current_manifest(spark, store)
+    if newest is None or not path_exists(spark, store.quarantine):
+        return spark.createDataFrame([], "source_file string, source_line bigint, reason string, line string, run_at timestamp_ntz")
+    log = spark.read.parquet(store.quarantine)
+    return log.join(newest.select("source_file", "run_id"), ["source_file", "run_id"], "left_semi").drop("run_id").distinct()
 
 
 def read_usage(spark: SparkSession, store: UsageStore) -> DataFrame:
@@ -206,29 +240,26 @@ def delete_records(spark: SparkSession, store: UsageStore, ids: DataFrame, now:
 def compact(spark: SparkSession, store: UsageStore) -> int:
     """Rewrite only the date partitions that hold tombstoned rows; returns their count.
 
-    The surviving rows of those partitions are checkpointed to the shared
-    folder first (so the overwrite never reads the path it writes) and then
-    replace exactly those partitions (dynamic partition overwrite).
+    The surviving rows of those partitions are staged in the shared folder
+    first (so the overwrite never reads the path it writes) and then replace
+    exactly those partitions (dynamic partition overwrite).  A day that has no
+    survivor is removed as a whole, so deleted rows leave storage.  Run it
+    while nothing appends to the same days.
     """
     if not (path_exists(spark, store.usage) and path_exists(spark, store.tombstones)):
         return 0
     scratch_dir(spark)
     usage = spark.read.schema(USAGE).parquet(store.usage)
     dead = spark.read.parquet(store.tombstones).select("message_id").distinct()
-    dates = usage.join(dead, "message_id", "left_semi").select("usage_date").distinct().checkpoint(eager=True)
+    dates = staged(usage.join(dead, "message_id", "left_semi").select("usage_date").distinct(), "compact-days")
     n = dates.count()
     if n == 0:
         return 0
-    keep = (
-        usage.join(F.broadcast(dates) if n <= 100_000 else dates, "usage_date", "left_semi")
-        .join(dead, "message_id", "left_anti")
-        .select(*[f.name for f in USAGE.fields])
-        .checkpoint(eager=True)
-    )
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        keep.write.mode("overwrite").partitionBy("usage_date").parquet(store.usage)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    keep = usage.join(dates, "usage_date", "left_semi").join(dead, "message_id", "left_anti")
+    keep = staged(keep.select(*[f.name for f in USAGE.fields]), "compact-rows")
+    days = keep.hint("rebalance", "usage_date").sortWithinPartitions("usage_date", "session_id", "ts")
+    days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("usage_date").parquet(store.usage)
+    emptied = dates.join(keep.select("usage_date").distinct(), "usage_date", "left_anti")
+    for r in emptied.collect():  # calendar days
+        delete_path(spark, os.path.join(store.usage, f"usage_date={r.usage_date}"))
     return n

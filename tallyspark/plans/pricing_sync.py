@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import feed as FD
-from ..operators.keyed import delete_keys, keyed_union, upsert, with_status
+from ..operators.keyed import delete_keys, keyed_union, last_per_key, upsert, with_status
 from ..schemas import PRICING, RATE_COLUMNS, SOURCE_FEED, SOURCE_MANUAL, SOURCE_SEED
 
 # --- fixed values -----------------------------------------------------------
@@ -104,8 +104,8 @@ def seed_missing(spark: SparkSession, sheet: DataFrame, now: dt.datetime) -> Dat
 
 
 def upsert_rates(sheet: DataFrame, rows: DataFrame, now: dt.datetime) -> DataFrame:
-    """Insert or replace by model; source defaults to manual, updated_at = now."""
-    r = rows.withColumn("source", F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit(SOURCE_MANUAL)))
+    """Insert or replace by model (the last row of a model wins); source defaults to manual, updated_at = now."""
+    r = last_per_key(rows, "model").withColumn("source", F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit(SOURCE_MANUAL)))
     r = r.withColumn("updated_at", _ts(now))
     return upsert(sheet.select(*SHEET_COLUMNS), r.select(*SHEET_COLUMNS), "model")
 
@@ -138,11 +138,14 @@ def create_rates(sheet: DataFrame, rows: DataFrame, now: dt.datetime) -> tuple[D
 
 
 def update_rates(sheet: DataFrame, rows: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
-    """Strict update: unknown model is not_found; source kept, fetched_at cleared."""
+    """Strict update: unknown model is not_found; source kept, fetched_at cleared.
+
+    Every edit gets its status; of several edits of a model the last stays.
+    """
     status = with_status(rows, sheet, "model", "updated", "not_found")
     old_src = sheet.select("model", F.col("source").alias("_old_source"))
     upd = (
-        status.filter(F.col("status") == "updated")
+        last_per_key(status.filter(F.col("status") == "updated"), "model")
         .join(old_src, "model")
         .withColumn("source", F.col("_old_source"))
         .withColumn("fetched_at", F.lit(None).cast("timestamp_ntz"))

@@ -1,8 +1,9 @@
 """Reports: compositions of filters, aggregates, rate lookup and ordering.
 
-Each report is one lazy DataFrame (one snapshot of its inputs).  Inputs are a
-usage DataFrame with the fact schema (a stored table or a derived view) and a
-rate sheet.  Only one-row results and bounded pages are ever broadcast; all
+Inputs are a usage DataFrame with the fact schema (a stored table or a derived
+view) and a rate sheet.  Reports with one branch are lazy DataFrames; reports
+that read their fine aggregate several times stage it once in the shared folder,
+so the facts are scanned once and every branch sees the same rows.  Only one-row results and bounded pages are ever broadcast; all
 other joins are between post-aggregation results and are planned by AQE.
 """
 
@@ -17,9 +18,10 @@ from ..functions import scalars as S
 from ..functions.cost import token_total
 from ..functions.filters import UsageFilter, month_start, page_args, previous_period, session_predicate
 from ..operators import aggregates as A
-from ..operators.rates import RateSheet, as_sheet, price_groups, price_rows, sum_tokens  # noqa: F401
+from ..operators.rates import RateSheet, as_sheet, price_groups, price_rows, sum_tokens
 from ..operators.ranking import order_top, rank_index
 from ..schemas import RATE_COLUMNS, TOKEN_COLUMNS
+from ..sources.tables import staged
 
 MEASURES = TOKEN_COLUMNS + ["messages"]
 TOP_N = 15
@@ -37,9 +39,8 @@ def _sums(prefix: str = "") -> list:
 def fine(u: DataFrame, f: UsageFilter | None, keys: list[str]) -> DataFrame:
     """The one aggregate a report reads: token sums and messages per ``keys``.
 
-    Every branch of a report rolls up from this DataFrame, so their plans
-    share the scan, the partial aggregate and the exchange below it (AQE
-    reuses the stage) instead of rescanning the input per branch.
+    Where branches of a report read different columns of it, pruning makes
+    their plans differ and each would scan the facts again: such reports stage it.
     """
     return _filtered(u, f).groupBy(*keys).agg(*sum_tokens(), F.count(F.lit(1)).alias("messages"))
 
@@ -111,15 +112,19 @@ def time_series_models(u: DataFrame, rates, f: UsageFilter | None = None, bucket
 
 
 # R-03 ----------------------------------------------------------------------
-def session_page(u: DataFrame, rates, f: UsageFilter | None = None, limit=None, offset=None) -> DataFrame:
+def session_page(u: DataFrame, rates, f: UsageFilter | None = None, limit=None, offset=None, after=None) -> DataFrame:
     """A page of session rows (last seen first) with cost and the total count.
 
-    Everything rolls up from one (session_id, project_slug, model)
-    aggregate: the session rows, the group count and the page's cost.  The
-    page is at most 500 rows by construction, so it is broadcast for the
-    semi-join that restricts pricing to its sessions.  Cost is keyed by
-    session id only: a session seen under two slugs shows the combined cost
-    on both rows.
+    Everything rolls up from one staged (session_id, project_slug, model)
+    aggregate: the session rows, the group count and the page's cost, so the
+    facts are scanned once.  The page is at most 500 rows by construction, so
+    it is broadcast for the semi-join that restricts pricing to its sessions.
+    Cost is keyed by session id only: a session seen under two slugs shows
+    the combined cost on both rows.
+
+    ``after`` -- the (last_seen, session_id, project_slug) of the last row
+    shown -- continues from there at the same cost for any depth; ``offset``
+    sorts all rows up to the page.
     """
     lim, off = page_args(limit, offset)
     sheet = as_sheet(rates)
@@ -131,6 +136,7 @@ def session_page(u: DataFrame, rates, f: UsageFilter | None = None, limit=None,
         F.max("cwd").alias("cwd"),
         F.max("git_branch").alias("git_branch"),
     )
+    g = staged(g, "session-page")
     order = [F.desc("last_seen"), F.asc("session_id"), F.asc("project_slug")]
     rows = g.groupBy("session_id", "project_slug").agg(
         F.coalesce(F.max("cwd"), F.lit("")).alias("cwd"),
@@ -140,6 +146,11 @@ def session_page(u: DataFrame, rates, f: UsageFilter | None = None, limit=None,
         F.max("last_seen").alias("last_seen"),
         *_sums(),
     )
+    if after is not None:
+        seen, sid, slug = after
+        later = (F.col("session_id") > sid) | ((F.col("session_id") == sid) & (F.col("project_slug") > slug))
+        seen = F.lit(seen).cast("timestamp_ntz")
+        rows = rows.filter((F.col("last_seen") < seen) | ((F.col("last_seen") == seen) & later))
     page = rows.orderBy(*order).offset(off).limit(lim)
     ids = page.select("session_id").distinct()
     cost = (
@@ -151,6 +162,8 @@ def session_page(u: DataFrame, rates, f: UsageFilter | None = None, limit=None,
     out = (
         page.join(cost, "session_id", "left")
         .withColumn("cost_usd", F.coalesce("cost_usd", F.lit(0.0)))
+        .withColumn("has_branch", S.has_branch(F.col("git_branch")))
+        .withColumn("cache_total", S.cache_total())
         .withColumn("total", total.scalar())
         .withColumn("page_limit", F.lit(lim).cast("bigint"))
         .withColumn("page_offset", F.lit(off).cast("bigint"))
@@ -162,10 +175,11 @@ def session_page(u: DataFrame, rates, f: UsageFilter | None = None, limit=None,
 def session_records(u: DataFrame, rates, session_id: str | None = None) -> DataFrame:
     """Message rows with per-row cost, oldest first.
 
-    With ``session_id`` this is the drill-down of one session; without it
-    every non-synthetic record is listed.
+    With ``session_id`` this is the drill-down of one session (stored files
+    are sorted by session, so their statistics prune it); without it every
+    non-synthetic record is listed.
     """
-    rows = u.filter(session_predicate(session_id)) if session_id is not None else _filtered(u, None)
+    rows = staged(u.filter(session_predicate(session_id)), "session") if session_id is not None else _filtered(u, None)
     priced = price_rows(rows, as_sheet(rates))
     return priced.select(
         "message_id",
@@ -177,6 +191,8 @@ def session_records(u: DataFrame, rates, session_id: str | None = None) -> DataF
         "source_file",
         "source_line",
         "cost_usd",
+        S.has_branch(F.col("git_branch")).alias("has_branch"),
+        S.cache_total().alias("cache_total"),
     ).orderBy("ts", "message_id")
 
 
@@ -191,7 +207,7 @@ def filter_models(u: DataFrame) -> DataFrame:
 
 # R-06 ----------------------------------------------------------------------
 def _projects_from(g: DataFrame, sheet: RateSheet) -> DataFrame:
-    """Project rows from a (project_key, model, session_id) aggregate."""
+    """Project rows from a staged (project_key, model, session_id) aggregate."""
     pm = price_groups(g.groupBy("project_key", "model").agg(*_sums()), ["project_key"], sheet)
     projects = A.project_rollup(pm)
     sessions = g.groupBy("project_key").agg(F.countDistinct("session_id").alias("sessions"))
@@ -204,14 +220,14 @@ def _projects_from(g: DataFrame, sheet: RateSheet) -> DataFrame:
 
 def project_ranking(u: DataFrame, rates, f: UsageFilter | None = None) -> DataFrame:
     """Per project key: totals, sorted model list, distinct sessions, cost."""
-    g = fine(u, f, ["project_key", "model", "session_id"])
+    g = staged(fine(u, f, ["project_key", "model", "session_id"]), "project-ranking")
     return _projects_from(g, as_sheet(rates)).orderBy(F.desc("cost_usd"), F.asc("project_key"))
 
 
 def top_projects(u: DataFrame, rates, f: UsageFilter | None = None, k: int = TOP_N) -> DataFrame:
     """The first ``k`` of the project ranking with their 1-based rank."""
     order = [F.desc("cost_usd"), F.asc("project_key")]
-    g = fine(u, f, ["project_key", "model", "session_id"])
+    g = staged(fine(u, f, ["project_key", "model", "session_id"]), "project-ranking")
     return rank_index(order_top(_projects_from(g, as_sheet(rates)), order, k), order)
 
 
@@ -255,7 +271,7 @@ def period_comparison(u: DataFrame, rates, f: UsageFilter | None, as_of: dt.date
     is the dashboard summary (its own from/to), except for "all time",
     where both sides are calendar months.  One scan: rows are flagged per
     window (a row may fall in both when the bounds overlap by a day) and a
-    single (model, session_id) aggregate sums each window conditionally.
+    single staged (model, session_id) aggregate sums each window conditionally.
     """
     f = f or UsageFilter()
     cmp = previous_period(f.date_from, f.date_to, as_of)
@@ -273,7 +289,7 @@ def period_comparison(u: DataFrame, rates, f: UsageFilter | None, as_of: dt.date
         flag = F.col("_" + side)
         aggs += [F.coalesce(F.sum(F.when(flag, F.col(c))), F.lit(0)).alias(f"{side}_{c}") for c in TOKEN_COLUMNS]
         aggs.append(F.count_if(flag).alias(f"{side}_messages"))
-    g = flagged.groupBy("model", "session_id").agg(*aggs)
+    g = staged(flagged.groupBy("model", "session_id").agg(*aggs), "comparison")
 
     def side_summary(side: str) -> DataFrame:
         part = g.filter(F.col(f"{side}_messages") > 0).select(
@@ -300,15 +316,7 @@ def period_comparison(u: DataFrame, rates, f: UsageFilter | None, as_of: dt.date
 
 
 # R-10 ----------------------------------------------------------------------
-CARD_FIELDS = {
-    "cost_usd": "cost_usd",
-    "input_tokens": "input_tokens",
-    "output_tokens": "output_tokens",
-    "cache_creation_tokens": "cache_creation_tokens",
-    "cache_read_tokens": "cache_read_tokens",
-    "sessions": "sessions",
-    "messages": "messages",
-}
+CARDS = ["cost_usd", *TOKEN_COLUMNS, "sessions", "messages"]
 
 
 def metric_breakdown(u: DataFrame, rates, metric: str, f: UsageFilter | None = None) -> DataFrame:
@@ -317,21 +325,23 @@ def metric_breakdown(u: DataFrame, rates, metric: str, f: UsageFilter | None = N
     Sessions and messages break down by project (label = project path),
     every other card by model.  The share's denominator is the card total,
     else the sum of the rows, else 1.  Rows and card roll up from the same
-    fine aggregate.
+    staged aggregate; cost and token cards need models only, and are the sum
+    of their rows.
     """
-    if metric not in CARD_FIELDS:
+    if metric not in CARDS:
         raise ValueError(f"unknown metric {metric!r}")
     sheet = as_sheet(rates)
     if metric in ("sessions", "messages"):
-        g = fine(u, f, ["project_key", "model", "session_id"])
+        g = staged(fine(u, f, ["project_key", "model", "session_id"]), "breakdown")
         src = _projects_from(g, sheet).select(
             S.slug_to_path(F.col("project_key")).alias("label"), F.col(metric).cast("double").alias("value")
         )
     else:
-        g = fine(u, f, ["model", "session_id"])
-        per_model = price_groups(g.groupBy("model").agg(*_sums()), [], sheet)
+        g = None
+        per_model = price_groups(fine(u, f, ["model"]), [], sheet)
         src = per_model.select(F.col("model").alias("label"), F.col(metric).cast("double").alias("value"))
-    card = _summary_from(g, sheet).select(F.col(CARD_FIELDS[metric]).cast("double")).scalar()
+        src = staged(src, "breakdown")
+    card = _summary_from(g, sheet).select(F.col(metric).cast("double")).scalar() if g is not None else F.lit(None).cast("double")
     row_sum = src.agg(F.coalesce(F.sum("value"), F.lit(0.0))).scalar()
     total = F.coalesce(F.nullif(card, F.lit(0.0)), F.nullif(row_sum, F.lit(0.0)), F.lit(1.0))
     top = order_top(src.filter(F.col("value") > 0), [F.desc("value"), F.asc("label")], TOP_N)
@@ -344,14 +354,16 @@ def bucket_breakdown(u: DataFrame, rates, f: UsageFilter | None = None, bucket:
                      bucket_value: str | None = None) -> DataFrame:
     """Per bucket: each model's cost and share of the bucket, plus counts.
 
-    Drilling into a bucket filters on the bucket value itself.  Without
+    Drilling into a bucket filters on the bucket value itself and on its
+    date, which prunes a stored table to one partition.  Without
     ``bucket_value`` every bucket is broken down at once; the share window
     is partitioned by bucket and runs on the small priced result.  Costs and
     counts roll up from one (bucket, model, session_id) aggregate.
     """
     fu = A.with_bucket(_filtered(u, f), bucket)
     if bucket_value is not None:
-        fu = fu.filter(F.col("bucket") == F.lit(bucket_value))
+        day = F.try_to_date(F.lit(bucket_value[:10]))
+        fu = fu.filter((F.col("bucket") == F.lit(bucket_value)) & (F.col("usage_date") == day))
     g = fu.groupBy("bucket", "model", "session_id").agg(*sum_tokens(), F.count(F.lit(1)).alias("messages"))
     bm = price_groups(g.groupBy("bucket", "model").agg(*_sums()), ["bucket"], as_sheet(rates))
     w = Window.partitionBy("bucket")
@@ -369,10 +381,6 @@ def bucket_breakdown(u: DataFrame, rates, f: UsageFilter | None = None, bucket:
     )
 
 
-def token_total_sum():
-    return F.coalesce(F.sum(token_total()), F.lit(0)).cast("bigint")
-
-
 # R-12 ----------------------------------------------------------------------
 def bucket_detail(u: DataFrame, rates, f: UsageFilter | None = None, bucket: str = "day") -> DataFrame:
     """Per bucket: token mix ratios and the bucket's share of the period."""

@@ -101,16 +101,6 @@ BUDGETS = T.StructType(
     ]
 )
 
-MANIFEST = T.StructType(
-    [
-        T.StructField("source_file", T.StringType(), False),
-        T.StructField("byte_offset", T.LongType(), False),
-        T.StructField("last_line", T.LongType(), False),
-        T.StructField("modified_at", T.TimestampType()),
-        T.StructField("updated_at", T.TimestampNTZType()),
-    ]
-)
-
 FEED_PRICING = T.StructType(
     [
         T.StructField("prompt", T.StringType()),

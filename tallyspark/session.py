@@ -5,7 +5,7 @@ session their platform built.  ``local_session`` exists for tests, the bench
 and the smoke entry point.  ``scratch_dir`` resolves the shared folder that
 lineage cuts and intermediate tables are written to: it is read from the
 session's ``spark.checkpoint.dir`` and only set (to a fresh folder under
-/tmp) when the session has none, which is the local-test case.
+/tmp) when a session with a local master has none; on a cluster it must be set.
 """
 
 from __future__ import annotations
@@ -55,14 +55,17 @@ def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     On a cluster this is whatever the platform put in ``spark.checkpoint.dir``
-    (a shared filesystem / object store path).  Only when it is unset -- local
-    tests -- a new folder under /tmp is created and registered.
+    (a shared filesystem / object store path).  Where it is unset, a session
+    with a local master gets a new folder under /tmp; on a cluster that folder
+    would be another one on every machine, so the call fails.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         configured = sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tallyspark-ckpt-", dir="/tmp")
         try:
             spark.conf.set("spark.checkpoint.dir", configured)
@@ -76,6 +79,4 @@ def scratch_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the scratch folder."""
     base = scratch_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")

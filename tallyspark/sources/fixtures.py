@@ -14,11 +14,11 @@ size allows, sort-merge with skew splitting otherwise).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import project_key
-from ..schemas import PRICING, SOURCE_FEED, SOURCE_MANUAL, SOURCE_SEED, SYNTHETIC_MODEL, USAGE
+from ..schemas import PRICING, RATE_COLUMNS, SOURCE_FEED, SOURCE_MANUAL, SOURCE_SEED, SYNTHETIC_MODEL, USAGE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,10 +175,12 @@ def budgets(spark: SparkSession) -> DataFrame:
 # line next to it.
 LOG_PARTITION = "p"
 REPLAY_DIR = "~replay"
+# Added to folder names by write_odd_names; the writer escapes some of it with "%".
+ODD_NAME = " a+b [1]{x}%41"
 
 
-def event_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+def event_log_lines(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    ev = table(spark, sf_dir, "events").where(where)
     uid, eid = F.col("user_id"), F.col("event_id")
     usage = F.struct(
         F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.lit(0)).alias("input_tokens"),
@@ -213,8 +215,33 @@ def event_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main.unionByName(replay).unionByName(junk)
 
 
-def write_event_logs(spark: SparkSession, sf_dir: str, root: str) -> None:
-    event_log_lines(spark, sf_dir).write.partitionBy(LOG_PARTITION).text(root)
+def write_event_logs(spark: SparkSession, sf_dir: str, root: str, where: str = "true") -> None:
+    event_log_lines(spark, sf_dir, where).write.mode("append").partitionBy(LOG_PARTITION).text(root)
+
+
+def write_odd_names(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """The same logs in folders whose names hold spaces, signs and percent escapes."""
+    name = F.concat(F.col(LOG_PARTITION), F.lit(ODD_NAME))
+    event_log_lines(spark, sf_dir).withColumn(LOG_PARTITION, name).write.partitionBy(LOG_PARTITION).text(root)
+
+
+def write_numbered_logs(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """One file a slug, its lines in event order; a line's request id is its number in the file."""
+    uid, eid = F.col("user_id"), F.col("event_id")
+    ev = table(spark, sf_dir, "events").select((uid % 7).alias(LOG_PARTITION), eid, "ts")
+    n = F.row_number().over(Window.partitionBy(LOG_PARTITION).orderBy("event_id"))
+    usage = F.struct(F.lit(1).alias("input_tokens"))
+    line = F.to_json(
+        F.struct(
+            F.lit("assistant").alias("type"),
+            _s(n).alias("requestId"),
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+            F.struct(_s(eid).alias("id"), F.lit("m-1").alias("model"), usage.alias("usage")).alias("message"),
+        )
+    )
+    lines = ev.select(LOG_PARTITION, n.alias("n"), line.alias("value"))
+    files = lines.repartition(LOG_PARTITION).sortWithinPartitions(LOG_PARTITION, "n").drop("n")
+    files.write.partitionBy(LOG_PARTITION).text(root)
 
 
 # --- provider feed derived from the part table ------------------------------
@@ -249,3 +276,29 @@ def feed_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(size % 3 == 0, F.lit("")).otherwise(F.concat(_s(F.col("hi") % 7), F.lit("e-8"))).alias("input_cache_read"),
         F.when(size % 4 == 0, F.lit("")).otherwise(F.concat(_s(F.col("hi") % 9 + 1), F.lit("e-7"))).alias("input_cache_write"),
     ).select(*FEED_COLUMNS)
+
+
+def write_feed_document(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The part-derived feed as the provider's JSON document, entries in feed order."""
+    price = F.struct("prompt", "completion", "input_cache_read", "input_cache_write")
+    entry = F.struct("id", price.alias("pricing"), "pos")
+    feed = feed_from_part(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("pos", "id", entry.alias("e")))).alias("x"))
+    feed.select(F.transform("x", lambda e: e["e"].dropFields("pos")).alias("data")).write.json(path)
+
+
+# Layouts that stored times are written in, by event_id % 6 (the last is no time).
+def stored_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One price row an event, its updated_at as text in one of the stored layouts."""
+    ts = F.col("ts").cast("timestamp_ntz")
+    t, d = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    kind = F.col("event_id") % 6
+    text = (
+        F.when(kind == 0, F.concat(t, F.lit("789Z")))
+        .when(kind == 1, F.concat(t, F.lit("Z")))
+        .when(kind == 2, F.concat(d, F.lit("7+02:00")))
+        .when(kind == 3, F.concat(d, F.lit("789")))
+        .when(kind == 4, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+        .otherwise(F.lit("yesterday"))
+    )
+    rates = [F.lit(1.0).alias(c) for c in RATE_COLUMNS]
+    return table(spark, sf_dir, "events").select(_s(F.col("event_id")).alias("model"), *rates, text.alias("updated_at"))

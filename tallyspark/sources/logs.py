@@ -4,7 +4,11 @@ Layout: ``<root>/<project_slug>/.../<name>.jsonl``; one JSON object per line.
 
 * Scan: the text source over the root (recursive, ``*.jsonl``), one row per
   ``\\n``-terminated line, blank lines included, with the file path and the
-  start of the split (block) each line was read from.
+  start of the split (block) each line was read from.  File names never go
+  through the driver or back into a path, so any name is read.
+* A file that cannot be read, or only in part, does not stop the others.
+  ``file_totals`` compares the bytes of the lines with the file's size; files
+  that were not read whole are left out of the load and tried again.
 * Line numbers (1-based per file, blanks counted) without sending a file to
   one task: lines are counted per (file, block) -- a map-side combined
   aggregate with one row per block -- a prefix sum over each file's blocks
@@ -20,6 +24,7 @@ Layout: ``<root>/<project_slug>/.../<name>.jsonl``; one JSON object per line.
 
 from __future__ import annotations
 
+import datetime as dt
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,60 +63,79 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(pos > 0, F.substring(path, pos + len(rp) + 1, 1 << 30)).otherwise(path)
 
 
-def scan_lines(spark: SparkSession, paths: str | list[str], glob: str = LOG_GLOB) -> DataFrame:
-    """Raw lines with (source_file, block_start, row_id, modified_at, file_size)."""
-    reader = (
+def scan_lines(spark: SparkSession, root: str, glob: str = LOG_GLOB, since: dt.datetime | None = None) -> DataFrame:
+    """Raw lines with (source_file, block_start, row_id, modified_at, file_size).
+
+    ``since`` prunes files modified before it when the scan is planned.
+    """
+    df = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .option("lineSep", LINE_SEPARATOR)
         .option("ignoreMissingFiles", True)
         .option("ignoreCorruptFiles", True)
+        .text(root)
     )
-    df = reader.text(paths if isinstance(paths, list) else [paths])
+    if since is not None:
+        df = df.where(F.col("_metadata.file_modification_time") >= F.lit(since))
+    return with_file_columns(df).withColumn("row_id", F.monotonically_increasing_id())
+
+
+def with_file_columns(df: DataFrame) -> DataFrame:
+    """The line and the scan's metadata of its file."""
     return df.select(
         F.col("value"),
         decoded_path(F.col("_metadata.file_path")).alias("source_file"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_modification_time").alias("modified_at"),
-        F.monotonically_increasing_id().alias("row_id"),
     )
 
 
-# One row per file split; up to this many the block table is broadcast to the
-# lines (about 100 bytes a row), beyond it the join is shuffled.
-BLOCKS_BROADCAST_MAX = 2_000_000
+def block_totals(lines: DataFrame) -> DataFrame:
+    """Per (file, split): first row id, number of lines, bytes of lines with their separators."""
+    size = F.col("n_bytes") if "n_bytes" in lines.columns else F.octet_length("value")
+    return lines.groupBy("source_file", "block_start").agg(
+        F.min("row_id").alias("first_id"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum(size + 1).alias("n_bytes"),
+        F.max("file_size").alias("file_size"),
+        F.max("modified_at").alias("modified_at"),
+    )
 
 
-def number_lines(lines: DataFrame, max_broadcast_blocks: int = BLOCKS_BROADCAST_MAX) -> DataFrame:
+def file_totals(blocks: DataFrame) -> DataFrame:
+    """Per file: lines, size, and whether every byte was read (a last line may lack its separator)."""
+    files = blocks.groupBy("source_file").agg(
+        F.sum("n").alias("last_line"),
+        F.sum("n_bytes").alias("n_bytes"),
+        F.max("file_size").alias("byte_offset"),
+        F.max("modified_at").alias("modified_at"),
+    )
+    whole = (F.col("n_bytes") == F.col("byte_offset")) | (F.col("n_bytes") == F.col("byte_offset") + 1)
+    return files.withColumn("whole", whole).drop("n_bytes")
+
+
+def number_lines(lines: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """Add the 1-based per-file ``source_line`` (blank lines counted).
 
-    Pass 1 counts lines per (file, split) -- one row per split -- and turns
-    the counts into "lines before this split" with a prefix sum per file.
-    That small table is cut from its lineage in the shared checkpoint folder
-    and counted; it is broadcast to the lines only under the row bound, so
-    the text itself is never shuffled for numbering.
+    The table of splits has one row a split; its join carries no hint, so its
+    known size decides whether it is broadcast.
     """
-    from ..session import scratch_dir
-
-    scratch_dir(lines.sparkSession)
-    blocks = lines.groupBy("source_file", "block_start").agg(
-        F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("n")
-    )
+    blocks = block_totals(lines) if blocks is None else blocks
     w = Window.partitionBy("source_file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("lines_before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
-    blocks = blocks.checkpoint(eager=True)
-    side = F.broadcast(blocks) if blocks.count() <= max_broadcast_blocks else blocks
-    out = lines.join(side, ["source_file", "block_start"])
+    before = blocks.select(
+        "source_file", "block_start", "first_id", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("lines_before")
+    )
+    out = lines.join(before, ["source_file", "block_start"])
     return out.withColumn("source_line", F.col("lines_before") + (F.col("row_id") - F.col("first_id")) + 1).drop(
         "first_id", "lines_before"
     )
 
 
 def decode(lines: DataFrame) -> DataFrame:
-    """Parse non-blank lines; adds ``j`` (the struct) and ``reject_reason``."""
-    body = lines.filter(F.length("value") > 0)
-    parsed = body.withColumn(
+    """Parse lines; adds ``j`` (the struct) and ``reject_reason`` (blank lines are no usage)."""
+    parsed = lines.withColumn(
         "j", F.from_json("value", LOG_LINE_WITH_CORRUPT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     )
     is_usage = (
@@ -122,13 +146,36 @@ def decode(lines: DataFrame) -> DataFrame:
     )
     bad_ts = F.col("j.timestamp").isNotNull() & rfc3339_to_utc(F.col("j.timestamp")).isNull()
     reason = (
-        F.when(F.col("j").isNull() | F.col("j._corrupt").isNotNull(), F.lit("malformed_json"))
+        F.when(F.length("value") == 0, F.lit("not_usage"))
+        .when(F.col("j").isNull() | F.col("j._corrupt").isNotNull(), F.lit("malformed_json"))
         .when(is_usage & bad_ts, F.lit("bad_timestamp"))
         .when(~is_usage, F.lit("not_usage"))
     )
     return parsed.withColumn("reject_reason", reason)
 
 
+KEPT_REASONS = ["malformed_json", "bad_timestamp"]
+
+
+def decoded_lines(lines: DataFrame) -> DataFrame:
+    """One row a line, decoded once: what numbering, the fact rows, the quarantine and the manifest need of it.
+
+    Only usage lines carry the struct and only rejected lines their text.
+    """
+    dec = decode(lines)
+    return dec.select(
+        "source_file",
+        "block_start",
+        "row_id",
+        "file_size",
+        "modified_at",
+        F.octet_length("value").cast("bigint").alias("n_bytes"),
+        "reject_reason",
+        F.when(F.col("reject_reason").isNull(), F.col("j").dropFields("_corrupt")).alias("j"),
+        F.when(F.col("reject_reason").isin(KEPT_REASONS), F.col("value")).alias("value"),
+    )
+
+
 def to_usage(decoded: DataFrame, root: str) -> DataFrame:
     """Good usage lines -> fact rows (empty request/cwd/branch -> null)."""
     good = decoded.filter(F.col("reject_reason").isNull())
@@ -159,7 +206,7 @@ def to_usage(decoded: DataFrame, root: str) -> DataFrame:
 
 def quarantine(decoded: DataFrame) -> DataFrame:
     """Rejected lines with their reason (JSON that is simply not usage is not kept)."""
-    return decoded.filter(F.col("reject_reason").isin("malformed_json", "bad_timestamp")).select(
+    return decoded.filter(F.col("reject_reason").isin(KEPT_REASONS)).select(
         "source_file", "source_line", F.col("reject_reason").alias("reason"), F.col("value").alias("line")
     )
 
@@ -178,10 +225,3 @@ def first_wins(usage_with_parts: DataFrame) -> DataFrame:
         F.min_by(F.struct(*[F.col(c) for c in cols if c != "message_id"]), key).alias("r")
     )
     return picked.select("message_id", "r.*").select(*cols)
-
-
-def read_logs(spark: SparkSession, root: str, paths: list[str] | None = None, glob: str = LOG_GLOB):
-    """(usage rows de-duplicated within the read, quarantine rows)."""
-    lines = number_lines(scan_lines(spark, paths if paths is not None else root, glob))
-    dec = decode(lines)
-    return first_wins(to_usage(dec, root)), quarantine(dec)

@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import stored_time
 from ..schemas import BUDGETS, PRICING, SOURCE_MANUAL
+from ..session import fresh_path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, and its size is known to the planner."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -17,6 +26,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of a table (one partition) with everything in it."""
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def with_default(df: DataFrame, name: str, default, dtype: str) -> DataFrame:
     """Add a column added to the table later, or fill its nulls, with a default."""
     if name in df.columns:

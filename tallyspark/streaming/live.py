@@ -11,10 +11,13 @@ or rotation); append-style logs go through the manifest batch job
   insert-or-ignore against the stored ids inside ``foreachBatch``, so a
   replayed batch after a failure adds nothing (exactly-once effect on the
   table, at-least-once delivery).
-* ``live_bucket_totals`` -- rolling per-bucket, per-model token sums with
-  an event-time watermark and de-duplication of message ids within it.
-  Rows later than the watermark are dropped by the stream; the batch path
-  accepts any age and remains the system of record.
+* ``stream_ingest(..., totals=path)`` -- the same, and after each micro-batch
+  the per-bucket, per-model totals of the days it touched are computed anew
+  from the fact table and replace those days in the totals table.  Rows of any
+  age count, however late, and a replayed batch changes nothing.
+* ``live_bucket_totals`` -- rolling sums from the stream alone, with an
+  event-time watermark and de-duplication of message ids within it, for a
+  display that needs no stored table.  It leaves out rows later than the watermark.
 
 Triggers: ``available_now=True`` processes everything present and stops (an
 initial full load, a forced refresh); otherwise ``processingTime`` runs a
@@ -23,6 +26,7 @@ periodic reconcile (60 s by default).
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import bucket_key, rfc3339_to_utc, zero_time
-from ..plans.ingest import UsageStore, drop_known
+from ..operators.aggregates import with_bucket
+from ..operators.rates import sum_tokens
+from ..plans.ingest import UsageStore, load_lines, read_usage
 from ..schemas import ASSISTANT_TYPE, LOG_LINE_WITH_CORRUPT, TOKEN_COLUMNS
-from ..sources.logs import LINE_SEPARATOR, LOG_GLOB, decode, first_wins, number_lines, quarantine, to_usage
+from ..sources.logs import LINE_SEPARATOR, LOG_GLOB, with_file_columns
 
 RECONCILE_INTERVAL = "60 seconds"
 
@@ -48,39 +54,42 @@ def landing_stream(spark: SparkSession, landing: str, glob: str = LOG_GLOB,
     )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    from ..sources.logs import decoded_path
-
-    return reader.load(landing).select(
-        F.col("value"),
-        decoded_path(F.col("_metadata.file_path")).alias("source_file"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.col("_metadata.file_size").alias("file_size"),
-        F.col("_metadata.file_modification_time").alias("modified_at"),
+    return with_file_columns(reader.load(landing))
+
+
+def refresh_totals(spark: SparkSession, store: UsageStore, days: DataFrame, path: str, bucket: str = "hour") -> None:
+    """Replace the totals of the given days (usage_date, bucket, model) by those of the fact table."""
+    usage = read_usage(spark, store).join(days, "usage_date", "left_semi")
+    totals = with_bucket(usage, bucket).groupBy("usage_date", "bucket", "model").agg(
+        *sum_tokens(), F.count(F.lit(1)).alias("messages")
     )
+    totals.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("usage_date").parquet(path)
+
 
+def _batch_writer(spark: SparkSession, root: str, store: UsageStore, totals: str | None, bucket: str):
+    """The batch load on each micro-batch; a replayed batch adds no row and hides its earlier quarantine rows."""
 
-def _batch_writer(spark: SparkSession, root: str, store: UsageStore):
     def write(batch: DataFrame, epoch_id: int) -> None:
-        lines = number_lines(batch.withColumn("row_id", F.monotonically_increasing_id()))
-        dec = decode(lines)
-        rows = drop_known(spark, store, first_wins(to_usage(dec, root)))
-        rows.write.mode("append").partitionBy("usage_date").parquet(store.usage)
-        quarantine(dec).withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(store.quarantine)
+        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        loaded = load_lines(spark, batch.withColumn("row_id", F.monotonically_increasing_id()), root, store, now)
+        if totals:
+            refresh_totals(spark, store, loaded.days, totals, bucket)
 
     return write
 
 
 def stream_ingest(spark: SparkSession, landing: str, store: UsageStore, checkpoint: str,
                   glob: str = LOG_GLOB, available_now: bool = True,
-                  interval: str = RECONCILE_INTERVAL) -> StreamingQuery:
-    """Start the landing -> fact table stream (insert-or-ignore per batch)."""
-    w = landing_stream(spark, landing, glob).writeStream.foreachBatch(_batch_writer(spark, landing, store))
+                  interval: str = RECONCILE_INTERVAL, totals: str | None = None, bucket: str = "hour") -> StreamingQuery:
+    """Start the landing -> fact table stream (insert-or-ignore per batch), with live totals at ``totals`` if given."""
+    writer = _batch_writer(spark, landing, store, totals, bucket)
+    w = landing_stream(spark, landing, glob).writeStream.foreachBatch(writer)
     w = w.option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 
 
-def parsed_usage_stream(lines: DataFrame, root: str) -> DataFrame:
+def parsed_usage_stream(lines: DataFrame) -> DataFrame:
     """Streaming decode: usage rows without line numbers (not needed live)."""
     j = F.from_json("value", LOG_LINE_WITH_CORRUPT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     p = lines.filter(F.length("value") > 0).withColumn("j", j)
@@ -116,18 +125,5 @@ def live_bucket_totals(usage_stream: DataFrame, bucket: str = "hour", watermark:
     )
 
 
-def run_available_now(df: DataFrame, sink_path: str, checkpoint: str, mode: str = "append") -> None:
-    """Drive a streaming DataFrame to completion into Parquet (append) files."""
-    q = (
-        df.writeStream.format("parquet")
-        .option("path", sink_path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode(mode)
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-
-
 def checkpoint_path(store: UsageStore, name: str) -> str:
     return os.path.join(store.base, "_streams", name)

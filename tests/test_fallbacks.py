@@ -28,22 +28,32 @@ def test_rate_sheet_beyond_bound(spark):
     assert a == b and len(a) > 0
 
 
-def test_line_numbers_beyond_bound(spark, tmp_dir):
+def test_line_numbers_by_shuffled_join(spark, tmp_dir, monkeypatch):
     path = f"{tmp_dir}/logs/x.jsonl"
     os.makedirs(os.path.dirname(path))
     with open(path, "w") as fh:
         fh.write("\n".join(json.dumps({"n": i}) for i in range(1, 501)) + "\n")
-    rows = number_lines(scan_lines(spark, f"{tmp_dir}/logs"), max_broadcast_blocks=0).collect()
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = number_lines(scan_lines(spark, f"{tmp_dir}/logs")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert sorted((json.loads(r.value)["n"], r.source_line) for r in rows) == [(i, i) for i in range(1, 501)]
 
 
-def test_insert_or_ignore_beyond_bound(spark, tmp_dir):
+def test_insert_or_ignore_by_shuffled_join(spark, tmp_dir):
     store = I.UsageStore(f"{tmp_dir}/store")
     u = fx.usage_from_events(spark, SF)
     first = u.filter("event_type = 'click'")
     first.write.partitionBy("usage_date").parquet(store.usage)
     kept_small = I.drop_known(spark, store, u)
-    kept_big = I.drop_known(spark, store, u, max_broadcast=0)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept_big = I.drop_known(spark, store, u)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     ids_small = {r.message_id for r in kept_small.select("message_id").collect()}
     ids_big = {r.message_id for r in kept_big.select("message_id").collect()}
     assert ids_small == ids_big

@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from tallyspark.plans.ingest import UsageStore, compact, delete_records, ingest, read_usage
+from tallyspark.plans.ingest import UsageStore, compact, current_manifest, delete_records, ingest, read_quarantine, read_usage
 from tallyspark.sources.logs import number_lines, scan_lines
 
 
@@ -108,3 +108,76 @@ def test_line_numbers_across_blocks(spark, tmp_dir):
         if r.value:
             assert json.loads(r.value)["n"] == r.source_line
     assert sorted(r.source_line for r in rows) == list(range(1, 3001))
+
+
+def test_odd_file_names_do_not_stop_a_run(spark, tmp_dir):
+    root, store = f"{tmp_dir}/logs", UsageStore(f"{tmp_dir}/store")
+    names = ["a[1].jsonl", "{x}.jsonl", "50%.jsonl", "a%20b.jsonl", "p+q r.jsonl", "ü#?.jsonl"]
+    for i, name in enumerate(names):
+        write(f"{root}/-p [{i}]%2F/{name}", [usage_line(f"m{i}")])
+    r = ingest(spark, root, store)
+    assert (r.files_read, r.rows_added, r.files_incomplete) == (len(names), len(names), 0)
+    got = rows_by_id(spark, store)
+    assert {x.source_file.rsplit("/", 1)[1] for x in got.values()} == set(names)
+    assert got["m2"].project_slug == "-p [2]%2F"
+    assert ingest(spark, root, store).files_read == 0
+
+
+def test_a_file_that_fails_is_tried_again(spark, tmp_dir):
+    root, store = f"{tmp_dir}/logs", UsageStore(f"{tmp_dir}/store")
+    bad = f"{root}/-p/bad.jsonl"
+    write(bad, [usage_line(f"b{i}") for i in range(400)])
+    write(f"{root}/-p/good.jsonl", [usage_line("g")])
+    data = open(bad, "rb").read()
+    # A checksum beside the file that does not fit it makes the read fail.
+    with open(f"{root}/-p/.bad.jsonl.crc", "wb") as fh:
+        fh.write(b"crc\x00\x00\x00\x02\x00" + b"\x01\x02\x03\x04" * (len(data) // 512 + 1))
+    r1 = ingest(spark, root, store)
+    assert r1.files_read == 1 and set(rows_by_id(spark, store)) == {"g"}
+    os.remove(f"{root}/-p/.bad.jsonl.crc")
+    r2 = ingest(spark, root, store)
+    assert r2.files_read == 1 and r2.rows_added == 400
+    assert ingest(spark, root, store).files_read == 0
+
+
+def test_quarantine_has_one_row_a_bad_line(spark, tmp_dir):
+    root, store = f"{tmp_dir}/logs", UsageStore(f"{tmp_dir}/store")
+    path = f"{root}/-p/x.jsonl"
+    write(path, [usage_line("a"), "not json", '{"type":"assist'], end="")
+    ingest(spark, root, store)
+    assert read_quarantine(spark, store).count() == 2
+    with open(path, "a") as fh:
+        fh.write('ant"}\n' + usage_line("b") + "\n")
+    ingest(spark, root, store)
+    rows = read_quarantine(spark, store).collect()
+    assert [(r.source_line, r.line) for r in rows] == [(2, "not json")]
+    m = current_manifest(spark, store).collect()
+    assert len(m) == 1 and m[0].last_line == 4 and m[0].byte_offset == os.path.getsize(path)
+
+
+def test_empty_files_do_no_harm(spark, tmp_dir):
+    root, store = f"{tmp_dir}/logs", UsageStore(f"{tmp_dir}/store")
+    write(f"{root}/-p/empty.jsonl", [], end="")
+    write(f"{root}/-p/x.jsonl", [usage_line("a")])
+    assert ingest(spark, root, store).files_read == 1
+    assert ingest(spark, root, store).files_read == 0
+
+
+def test_compaction_removes_emptied_days(spark, tmp_dir):
+    root, store = f"{tmp_dir}/logs", UsageStore(f"{tmp_dir}/store")
+    write(f"{root}/-p/x.jsonl", [usage_line("a", ts="2024-01-01T00:00:00Z"), usage_line("b", ts="2024-01-02T00:00:00Z"),
+                                 usage_line("c", ts="2024-01-02T00:00:00Z")])
+    ingest(spark, root, store)
+    delete_records(spark, store, spark.createDataFrame([("a",), ("b",)], "message_id string"))
+    assert compact(spark, store) == 2 and compact(spark, store) == 0
+    assert [r.message_id for r in spark.read.parquet(store.usage).collect()] == ["c"]
+
+
+def test_one_scan_and_few_files(spark, tmp_dir):
+    root, store = f"{tmp_dir}/logs", UsageStore(f"{tmp_dir}/store")
+    for i in range(30):
+        write(f"{root}/-p/{i}.jsonl", [usage_line(f"{i}-{d}", ts=f"2024-01-{d:02d}T00:00:00Z") for d in range(1, 6)])
+    ingest(spark, root, store)
+    days = [d for d in os.listdir(store.usage) if d.startswith("usage_date=")]
+    assert len(days) == 5
+    assert all(len([f for f in os.listdir(f"{store.usage}/{d}") if f.endswith(".parquet")]) <= 2 for d in days)

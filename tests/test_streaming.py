@@ -41,7 +41,7 @@ def test_live_bucket_totals(spark, tmp_dir):
     landing = f"{tmp_dir}/landing"
     land(landing, "a.jsonl", [line("1", "2024-01-01T00:10:00Z", 1), line("2", "2024-01-01T00:20:00Z", 2),
                               line("2", "2024-01-01T00:20:00Z", 2), line("3", "2024-01-01T01:05:00Z", 4)])
-    usage = L.parsed_usage_stream(L.landing_stream(spark, landing), landing)
+    usage = L.parsed_usage_stream(L.landing_stream(spark, landing))
     totals = L.live_bucket_totals(usage, "hour", "2 hours")
     q = (totals.writeStream.format("memory").queryName("live_totals").outputMode("update")
          .option("checkpointLocation", f"{tmp_dir}/ck").trigger(availableNow=True).start())
