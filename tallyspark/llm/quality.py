@@ -31,7 +31,7 @@ BAG, CLASSES, STATS = 256, 16, 9
 FEATURES = BAG + 2 * CLASSES * CLASSES + STATS
 HIDDEN, GATE = 24, 12
 #: Bounds of the training sample: documents of either class, bytes of a text.
-PER_CLASS, MAX_BYTES = 1500, 1 << 16
+PER_CLASS, MAX_BYTES = 1000, 1 << 16
 
 
 def _byte_classes() -> np.ndarray:
@@ -144,7 +144,13 @@ def train(texts: list[str], y: list[int], epochs: int = 12, batch: int = 64, see
         p["c"][:] = 0
         p["d"][:] = np.log((target.sum() + 1) / (len(y) - target.sum() + 1))
         return p
-    x, at = passage_features(pa.array(texts, pa.string()))
+    column = pa.array(texts, pa.string())
+    parts = []
+    for lo, hi in text_chunks(column):
+        features, bounds = passage_features(column.slice(lo, hi - lo))
+        parts.append((features.astype(np.float16), bounds))  # all values are between 0 and 3
+    x = np.concatenate([p for p, _ in parts])
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in parts]))])
     r = np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     step = 0
@@ -156,7 +162,7 @@ def train(texts: list[str], y: list[int], epochs: int = 12, batch: int = 64, see
             rows = np.concatenate([np.arange(at[d], at[d + 1]) for d in pick])
             sub = np.zeros(len(pick) + 1, np.int64)
             np.cumsum(sizes, out=sub[1:])
-            g = gradients(p, x[rows], sub, target[pick])
+            g = gradients(p, x[rows].astype(np.float32), sub, target[pick])
             step += 1
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
