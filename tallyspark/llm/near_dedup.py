@@ -282,13 +282,13 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k:
 def deduplicate(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """The rows of ``docs`` (all their columns) whose doc_id is the least of its group."""
     groups = written(near_duplicate_groups(docs, k, threshold).select("doc_id", "component_id"), "near-row")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     twice = written(
-        groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")),
+        groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")),
         "near-twice",
     )
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, kept["doc_id"] == twice["_twice"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, kept["doc_id"] == twice["_twice"], "left_anti").union(again)
+    again = kept.join(twice, kept["doc_id"] == twice["__twice"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, kept["doc_id"] == twice["__twice"], "left_anti").union(again)
