@@ -8,7 +8,7 @@ never loses an intermediate result.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.session import apply_required_conf, scratch_dir
+from tallyspark.sources.tables import delete_path
 
 #: Rows of an Arrow batch handed to Python; texts can be long, so batches are short.
 BATCH_ROWS = 1000
@@ -35,22 +36,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Tables written by this driver, in order.
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def written_alone(build: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """``build()`` written, and the tables it wrote on the way removed."""
+    first = len(_tables)
+    out = written(build(), name)
+    for path in _tables[first:-1]:
+        delete_path(spark, path)
+    del _tables[first:-1]
+    return out
 
 
-def clean_names(df: DataFrame, reserved: Iterable[str]) -> DataFrame:
-    """Drop extra columns whose names (in any case) clash with an operator's own output columns."""
-    taken = {c.lower() for c in reserved}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # ---- Arrow batches -----------------------------------------------------------------------------

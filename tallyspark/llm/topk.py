@@ -1,10 +1,10 @@
 """Exact top-k inner products with an impact-ordered, score-at-a-time index.
 
-Components are quantised to integers.  The index deals the vectors into blocks of
-bounded size; a block keeps its postings (dimension, vector, value) in segments of
-equal quantised impact, the bit length of ``|value|``, with the whole vectors for
-rescoring.  Queries are taken in blocks too, and every pair of blocks is a
-task of its own.
+Components are quantised to integers.  The index, a written table, deals the
+vectors into blocks of bounded size and has a row for each segment of a block: its
+postings (vector, dimension, value) of equal quantised impact, the bit length of
+``|value|``.  Queries are taken in blocks too, and every pair of blocks is a
+task of its own that meets the segments in order of falling impact.
 
 Segments are processed by descending impact: each adds its part of the scores.
 What is still unread of a vector bounds the rest of its score by
@@ -66,15 +66,22 @@ def _matrix(rows: pa.Table, width: int) -> np.ndarray:
 
 
 class ImpactIndex:
-    """A block of vectors with its postings in segments by descending quantised impact."""
+    """A block of vectors as posting segments by descending quantised impact: (impact, vector, dimension, value)."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, segments: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], width: int):
+        self.ids, self.segments = ids, segments
+        self.vectors = np.zeros((len(ids), width), np.int64)  # for rescoring
+        for _, vector, dim, value in segments:
+            self.vectors[vector, dim] = value
+
+    @staticmethod
+    def segments_of(vectors: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         level = np.frexp(np.abs(vectors).astype(np.float64))[1]
-        self.segments = []
+        out = []
         for impact in sorted(np.unique(level[vectors != 0]).tolist(), reverse=True):
             vector, dim = np.nonzero((level == impact) & (vectors != 0))
-            self.segments.append((impact, vector, dim, vectors[vector, dim]))
+            out.append((impact, vector, dim, vectors[vector, dim]))
+        return out
 
     def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
         """The k best (query_id, vec_id, score) of the block for each query."""
@@ -119,37 +126,78 @@ class ImpactIndex:
         return [(int(query_id), int(self.ids[members[o]]), int(score[o])) for o in order]
 
 
+INDEX = T.StructType(
+    [
+        T.StructField("block", T.IntegerType()),
+        T.StructField("impact", T.IntegerType()),  # HEAD: the block's vec_ids, in ``value``
+        *[T.StructField(c, T.BinaryType()) for c in ("vector", "dim", "value")],
+    ]
+)
+HEAD = 1 << 20
+
+
+def build_index(vectors: DataFrame, width: int, blocks: int) -> DataFrame:
+    """INDEX rows of ``vectors(vec_id, v)``: for each block its vec_ids, then its segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in grouped(batches, "block"):
+            found = [(HEAD, b"", b"", rows.column("vec_id").to_numpy().astype("<i8").tobytes())]
+            for impact, vector, dim, value in ImpactIndex.segments_of(_matrix(rows, width)):
+                found.append((impact, vector.astype("<u4").tobytes(), dim.astype("<u4").tobytes(), value.astype("<i8").tobytes()))
+            impacts, *data = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block] * len(found), pa.int32()), pa.array(impacts, pa.int32()), *(pa.array(d, pa.binary()) for d in data)],
+                names=INDEX.names,
+            )
+
+    dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
+    return written(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, INDEX), "topk-index")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k highest inner products of each query with the other rows."""
     tune(vectors.sparkSession)
-    index = written(quantised(vectors), "topk-vectors")
+    rows = written(quantised(vectors), "topk-vectors")
     asked = written(quantised(queries), "topk-queries")
-    n, width = index.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     m, also = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     width = max(width, also, 1)
     blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_BLOCK))
+    index = build_index(rows, width, blocks)
 
-    def tiles(rows: DataFrame, own: int, others: int, side: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("vec_id"), F.lit(own)).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-        pair = ("block", "other") if side else ("other", "block")
-        return rows.select("vec_id", "v", block.alias("block"), other.alias("other")).select(
-            (F.col(pair[0]) * F.lit(query_blocks).cast("long") + F.col(pair[1])).alias("tile"), F.lit(side).alias("side"), "vec_id", "v"
-        )
+    def tile(block, query_block):
+        return (block * F.lit(query_blocks).cast("long") + query_block).alias("tile")
 
-    both = tiles(index, blocks, query_blocks, 1).union(tiles(asked, query_blocks, blocks, 0))
+    nothing = [F.lit(None).cast("binary").alias(c) for c in ("vector", "dim", "value")]
+    every = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
+    stored = index.select("*", every.alias("q")).select(
+        tile(F.col("block"), F.col("q")), F.lit(1).alias("side"), "impact", "vector", "dim", "value",
+        F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<long>").alias("v"),
+    )
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")
+    wanted = asked.select("vec_id", "v", own.alias("q"), every.alias("block")).select(
+        tile(F.col("block"), F.col("q")), F.lit(0).alias("side"), F.lit(0).alias("impact"), *nothing, "vec_id", "v"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches, "tile"):
             side = rows.column("side").to_numpy()
-            ids, matrix = rows.column("vec_id").to_numpy(), _matrix(rows, width)
-            if not (side == 1).any() or not (side == 0).any():
+            block, mine = rows.filter(pa.array(side == 1)), rows.filter(pa.array(side == 0))
+            if not block.num_rows or not mine.num_rows:
                 continue
-            found = ImpactIndex(ids[side == 1], matrix[side == 1]).top(ids[side == 0], matrix[side == 0], k)
+            ids, segments = np.zeros(0, np.int64), []
+            for impact, vector, dim, value in zip(*(block.column(c).to_pylist() for c in ("impact", "vector", "dim", "value")), strict=True):
+                if impact == HEAD:
+                    ids = np.frombuffer(value, "<i8")
+                else:
+                    segments.append((impact, *(np.frombuffer(x, "<u4").astype(np.int64) for x in (vector, dim)), np.frombuffer(value, "<i8")))
+            found = ImpactIndex(ids, segments, width).top(mine.column("vec_id").to_numpy(), _matrix(mine, width), k)
             if found:
                 cols = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=HITS.names)
 
-    hits = both.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, HITS)
+    order = ["tile", "side", F.desc("impact")]
+    hits = stored.unionByName(wanted).repartition("tile").sortWithinPartitions(*order).mapInArrow(run, HITS)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

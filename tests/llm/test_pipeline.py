@@ -64,3 +64,16 @@ def test_stages_equal_brute_force(spark):
     assert set(kept["decontamination"]) == {i for i, _ in kept["decontamination in"]} - held
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == set(kept["decontamination"])
     assert decontaminate.MATCH.names[0] == "doc_id"
+
+
+def test_run_equals_the_stages_and_leaves_their_outputs_only(spark):
+    from tallyspark.llm import common
+
+    before = len(common._tables)
+    out = E.queries()["pipeline"](spark, SMALL)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _, stage in C.STAGES[:-1]:
+        docs = written(stage(spark, docs, SMALL), "test-stage")
+    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+    names = [p.rsplit("/", 1)[1] for p in common._tables[before:]]
+    assert [n for n in names if n.startswith("pipeline-")] == names[: len(C.STAGES)]

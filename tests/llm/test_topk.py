@@ -50,7 +50,8 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block, queries, k):
 def test_early_stops_happen_and_stay_exact(monkeypatch):
     r = np.random.default_rng(1)
     x = np.floor(r.normal(0, 1, (3000, 32)) ** 5 * 40).astype(np.int64)  # heavy tails: few segments decide
-    index = K.ImpactIndex(np.arange(3000), x)
+    index = K.ImpactIndex(np.arange(3000), K.ImpactIndex.segments_of(x), 32)
+    assert (index.vectors == x).all() and [s[0] for s in index.segments] == sorted({s[0] for s in index.segments}, reverse=True)
     read = []
     best = index._best
     monkeypatch.setattr(index, "_best", lambda q, v, members, k: (read.append(len(members)), best(q, v, members, k))[1])
