@@ -169,6 +169,17 @@ WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, x[i] AS line
      s AS (SELECT DISTINCT x AS id FROM p WHERE 5 * k >= 4 * (xn + yn - k))
 SELECT doc_id, line_no, 'copy' AS reason FROM r WHERE nth > 1
 UNION ALL SELECT doc_id, line_no, 'similar' AS reason FROM c JOIN s USING (id)
+""",
+    # All pairs that share a shingle, exact Jaccard, then everything reachable over the links.
+    "op4_minhash_near_dedup": f"""
+WITH RECURSIVE s AS ({_shingles("documents", "doc_id", 2)}),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+     l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+     e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+     r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id, d.doc_id = c.root AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) c USING (doc_id)
 """,
     "op7_benchmark_decontamination": f"""
 WITH d AS ({_shingles("documents", "doc_id", 5)}),
