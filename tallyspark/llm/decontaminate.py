@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.llm import shingles as S
-from tallyspark.llm.common import text_chunks, tune
+from tallyspark.llm.common import in_task, text_chunks, tune
 
 COORDS = 96
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
@@ -165,7 +165,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
 
         return run
 
-    parts = [docs.mapInArrow(search(block), MATCH) for block in item_blocks(items, k)]
+    parts = [docs.mapInArrow(in_task(search(block)), MATCH) for block in item_blocks(items, k)]
     return reduce(DataFrame.union, parts)
 
 
@@ -185,5 +185,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, threshold: floa
         return run
 
     for block in item_blocks(items, k):
-        docs = docs.mapInArrow(drop(block), docs.schema)
+        docs = docs.mapInArrow(in_task(drop(block)), docs.schema)
     return docs

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.llm import shingles as S
-from tallyspark.llm.common import components, grouped, tune, written
+from tallyspark.llm.common import components, grouped, in_task, tune, written
 
 BINS, ROWS = 512, 8
 #: A block of a cluster holds about this many members, or this many text bytes.
@@ -131,7 +131,7 @@ def sketch_table(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
                     names=SKETCH.names,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
+    return docs.select("doc_id", "text").mapInArrow(in_task(run), SKETCH)
 
 
 def link_forest(sets: list[np.ndarray], side: np.ndarray, threshold: Fraction) -> list[tuple[int, int]]:
@@ -275,7 +275,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k:
     texts = written(tiled, "near-tile").join(docs.hint("merge"), F.col("rep") == F.col("doc_id"))
     texts = texts.select("tile", "side", "cls", "rep", "text")
     return written(
-        texts.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verify(k, threshold), FOREST), "near-forest"
+        texts.repartition("tile").sortWithinPartitions("tile").mapInArrow(in_task(_verify(k, threshold)), FOREST), "near-forest"
     )
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.llm import tokens
-from tallyspark.llm.common import tune
+from tallyspark.llm.common import in_task, tune
 
 WINDOW, END_ID = 2048, 1
 SENTENCE_PENALTY, TRUNCATION_PENALTY = 4, 16
@@ -162,4 +162,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         if pieces := packer.solve(True):
             yield batch_of(pieces)
 
-    return ranged.mapInArrow(run, PIECES)
+    return ranged.mapInArrow(in_task(run), PIECES)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.llm import shingles as S
-from tallyspark.llm.common import text_bytes, text_chunks, tune
+from tallyspark.llm.common import in_task, text_bytes, text_chunks, tune
 from tallyspark.llm.labels import class_shift, training_sample
 
 PASSAGE = 64
@@ -201,4 +201,4 @@ def with_scores(docs: DataFrame, model: dict[str, np.ndarray], scorer=score_colu
             scores = scorer(model, batch.column(at).cast(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, column])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(in_task(run), schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import tokens
-from tallyspark.llm.common import text_bytes, text_chunks, tune
+from tallyspark.llm.common import in_task, text_bytes, text_chunks, tune
 from tallyspark.llm.shingles import run_spans, word_spans
 
 KEYS = ("source", "lang", "tokenizer_version")
@@ -162,4 +162,4 @@ def counted(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             )
 
     schema = "doc_id long, source string, lang string, text_name string, words long, runs long, bpe long"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(in_task(run), schema)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tallyspark.llm.common import grouped, tune, written
+from tallyspark.llm.common import grouped, in_task, tune, written
 
 SCALE = 256
 BLOCK, QUERY_BLOCK = 8192, 512
@@ -151,7 +151,7 @@ def build_index(vectors: DataFrame, width: int, blocks: int) -> DataFrame:
             )
 
     dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
-    return written(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, INDEX), "topk-index")
+    return written(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(in_task(run), INDEX), "topk-index")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -198,6 +198,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=HITS.names)
 
     order = ["tile", "side", F.desc("impact")]
-    hits = stored.unionByName(wanted).repartition("tile").sortWithinPartitions(*order).mapInArrow(run, HITS)
+    hits = stored.unionByName(wanted).repartition("tile").sortWithinPartitions(*order).mapInArrow(in_task(run), HITS)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import shared_path, tune, written
+from tallyspark.llm.common import in_task, shared_path, tune, written
 
 BLOCK_LINES, MIN_REVISIT = 256, 100
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -222,7 +222,7 @@ def write_archives(pages: DataFrame, captured_at: str = "1970-01-01T00:00:00Z")
     base = shared_path(spark, "warc")
     rows = with_roles(pages).select("key", "page_id", "url", "payload", "digest", "refers_to")
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key")
-    return written(ordered.mapInArrow(_write_shards(base, captured_at), SHARD), "warc-manifest")
+    return written(ordered.mapInArrow(in_task(_write_shards(base, captured_at)), SHARD), "warc-manifest")
 
 
 class Reader:
@@ -289,7 +289,7 @@ def read_captures(manifest: DataFrame, keys: DataFrame) -> DataFrame:
                     )
 
     wanted = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
-    return wanted.mapInArrow(run, CAPTURE)
+    return wanted.mapInArrow(in_task(run), CAPTURE)
 
 
 _TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
