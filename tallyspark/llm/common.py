@@ -31,6 +31,8 @@ def tune(spark: SparkSession) -> None:
     """Session settings the operators rely on (idempotent)."""
     apply_required_conf(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # Plans that hold a table of fixed size as a constant would be kept in full text by the driver's listeners.
+    spark.conf.set("spark.sql.maxPlanStringLength", "100000")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -65,14 +67,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def in_task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``run`` for ``mapInArrow``; gives freed memory back at the end, as Python workers stay beside the next stages' tasks."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
+        release_memory()
 
     return task
 

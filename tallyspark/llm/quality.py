@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.llm import shingles as S
-from tallyspark.llm.common import in_task, text_bytes, text_chunks, tune
+from tallyspark.llm.common import in_task, release_memory, text_bytes, text_chunks, tune
 from tallyspark.llm.labels import class_shift, training_sample
 
 PASSAGE = 64
@@ -187,6 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1)
     rows = training_sample(docs, labels, "quality", modulus, held_out, PER_CLASS, MAX_BYTES)
     model = train([t for _, t, _ in rows], [y for _, _, y in rows])
     model["d"] = model["d"] + np.float32(class_shift(labels, "quality", modulus, held_out, [y for _, _, y in rows]))
+    release_memory()
     return model
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tallyspark.llm import shingles as S
-from tallyspark.llm.common import text_bytes, text_chunks, tune
+from tallyspark.llm.common import release_memory, text_bytes, text_chunks, tune
 from tallyspark.llm.labels import class_shift, training_sample
 
 WINDOW, STRIDE, PIECE = 64, 32, 24
@@ -266,4 +266,5 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
     rows = training_sample(docs, labels, "toxic", modulus, held_out, PER_CLASS, MAX_BYTES)
     model = train([t for _, t, _ in rows], [y for _, _, y in rows])
     model["d"] = model["d"] + np.float32(class_shift(labels, "toxic", modulus, held_out, [y for _, _, y in rows]))
+    release_memory()
     return model
