@@ -17,7 +17,9 @@ exact integers (float32 only where all sums stay below 2^24, else float64).
 Vectors that are null or hold null or non-finite components take no part, nor do
 rows without a vec_id; a shorter vector's missing components count as 0.  A query
 is never its own neighbour: rows with its vec_id are left out.  Ties go to
-the smaller vec_id.
+the smaller vec_id.  Every row counts: a repeated vec_id is as many candidates as it
+has rows, and as a query its rows share the k places of the one query_id.  Equal
+rows beyond the k-th could fill no further place and are not kept.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -52,6 +54,18 @@ def quantised(vectors: DataFrame) -> DataFrame:
     )
 
 
+def numbered(vectors: DataFrame, k: int) -> DataFrame:
+    """(vec_id, v, nth) of quantised rows, equal ones numbered from 1 to at most k."""
+    # Equal rows are counted before the shuffle, so a row that fills a third of the table is no hot key.
+    n = vectors.groupBy("vec_id", "v").agg(F.count("*").alias("n"))
+    return n.select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.least(F.lit(k).cast("long"), F.col("n")))).alias("nth"))
+
+
+def _dealt(parts: int) -> Column:
+    """One of ``parts`` by the whole row: neither a repeated vec_id nor a repeated row lands in one part."""
+    return F.pmod(F.xxhash64("vec_id", "v", "nth"), F.lit(parts)).cast("int")
+
+
 def _matrix(rows: pa.Table, width: int) -> np.ndarray:
     column = rows.column("v").combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -91,11 +105,12 @@ class ImpactIndex:
         kind = np.float32 if norms.max(initial=0) * longest < 1 << 23 else np.float64
         q = queries.astype(kind)
         acc = np.zeros((len(q), n), kind)
+        acc[query_ids[:, None] == self.ids[None, :]] = -np.inf  # rows of the query's own id take no place
         rest = (self.vectors.astype(np.float64) ** 2).sum(1)
         whole = rest.sum()
         active = np.arange(len(q))
         out: list[tuple[int, int, int]] = []
-        need = min(n, k + 1)  # the query itself may be in the block
+        need = min(n, k)
         for i, (_, vector, dim, value) in enumerate(self.segments):
             part = np.zeros(self.vectors.shape, kind)
             part[vector, dim] = value
@@ -137,7 +152,7 @@ HEAD = 1 << 20
 
 
 def build_index(vectors: DataFrame, width: int, blocks: int) -> DataFrame:
-    """INDEX rows of ``vectors(vec_id, v)``: for each block its vec_ids, then its segments."""
+    """INDEX rows of ``vectors(vec_id, v, nth)``: for each block its vec_ids, then its segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in grouped(batches, "block"):
@@ -150,15 +165,15 @@ def build_index(vectors: DataFrame, width: int, blocks: int) -> DataFrame:
                 names=INDEX.names,
             )
 
-    dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
+    dealt = vectors.select(_dealt(blocks).alias("block"), "vec_id", "v")
     return written(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(in_task(run), INDEX), "topk-index")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k highest inner products of each query with the other rows."""
     tune(vectors.sparkSession)
-    rows = written(quantised(vectors), "topk-vectors")
-    asked = written(quantised(queries), "topk-queries")
+    rows = written(numbered(quantised(vectors), k), "topk-vectors")
+    asked = written(numbered(quantised(queries), k), "topk-queries")
     n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     m, also = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     width = max(width, also, 1)
@@ -175,8 +190,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<long>").alias("v"),
     )
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    own = F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")
-    wanted = asked.select("vec_id", "v", own.alias("q"), every.alias("block")).select(
+    wanted = asked.select("vec_id", "v", _dealt(query_blocks).alias("q"), every.alias("block")).select(
         tile(F.col("block"), F.col("q")), F.lit(0).alias("side"), F.lit(0).alias("impact"), *nothing, "vec_id", "v"
     )
 
@@ -200,4 +214,4 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     order = ["tile", "side", F.desc("impact")]
     hits = stored.unionByName(wanted).repartition("tile").sortWithinPartitions(*order).mapInArrow(in_task(run), HITS)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

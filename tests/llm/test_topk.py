@@ -68,3 +68,33 @@ def test_few_rows_and_empty_tables(spark):
     assert [tuple(r) for r in K.top_k(df, df.where("vec_id = 0"), 5).collect()] == [(0, 1, 1, 128 * 64)]
     none = df.limit(0)
     assert K.top_k(none, none, 5).count() == 0 and K.top_k(df, none, 5).count() == 0
+
+
+def every_row(rows, k):
+    """As the SQL twin: pairs of rows with other ids, the k best a query_id."""
+    q = [(i, [math.floor(256 * a) for a in v]) for i, v, *_ in rows]
+    out = []
+    for i in sorted({i for i, _ in q if i % 50 == 0}):
+        hits = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), j) for h, x in q if h == i for j, y in q if j != i)
+        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(hits[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block", "queries"), [(8192, 512), (16, 2)])
+def test_repeated_rows_and_ids_count_as_the_sql_twin_says(spark, monkeypatch, block, queries):
+    monkeypatch.setattr(K, "BLOCK", block)
+    monkeypatch.setattr(K, "QUERY_BLOCK", queries)
+    r = np.random.default_rng(3)
+    x = [(int(i), [float(a) for a in v], 0, "s", 1, 2) for i, v in enumerate(r.normal(0, 0.2, (120, 8)).astype(np.float32))]
+    rows = [*x, *[(50, [4.0] * 8, 0, "s", 1, 2)] * 9, *[(50, [a + 5.0 for a in x[7][1]], 0, "s", 1, 2)] * 2]  # a query's own id
+    rows += [(100, [3.0 + i] * 8, 0, "s", 1, 2) for i in range(12)]  # its id with other vectors
+    rows += [x[33]] * 7 + [(34, [2.0] * 8, 0, "s", 1, 2)] * 3  # candidates
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = sorted(tuple(t) for t in K.top_k(df, df.where("vec_id % 50 = 0"), 5).collect())
+    assert got == every_row(rows, 5)
+
+
+def test_rows_of_the_query_take_no_place_in_a_block():
+    x = np.array([[9]] * 8 + [[5], [4], [3], [2], [1], [6]])
+    index = K.ImpactIndex(np.array([0] * 8 + [1, 2, 3, 4, 5, 6]), K.ImpactIndex.segments_of(x), 1)
+    assert [t[1] for t in index.top(np.array([0]), x[:1], 5)] == [6, 1, 2, 3, 4]
