@@ -7,11 +7,14 @@ tokenizer version may change with it).  A batch of changes is pre-aggregated to
 one delta row a key and committed under its batch id; totals are the sums of
 all committed deltas, so a batch costs what it changes, not what is stored.
 
-Commit: an attempt writes its delta rows under a name of its own, then creates the
-batch's commit folder, which fails if it exists.  Readers take only the
-attempt named in the commit, so a batch applied twice, or again after a lost
-driver, counts once, and half-written attempts count never.  ``compact`` folds all
-committed deltas into one and names the batches it holds, under the same protocol.
+Commit: an attempt writes its delta rows, then its commit row, both under a name
+of its own.  A commit counts once its write has finished (_SUCCESS), and readers
+take one attempt of each batch, the least name of the finished ones.  So a
+batch applied twice, again after a driver lost at any point, or by two drivers at once
+counts once (a batch id stands for the same changes each time), and attempts that
+did not finish count never and stop nobody.  ``compact`` folds all committed deltas
+into one and names the batches it holds, under the same protocol; one
+compaction runs at a time.
 
 Null source, language and tokenizer version are keys of their own; changes with
 null counts count as 0; keys whose documents and tokens are both 0 are not reported.
@@ -25,13 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import tokens
 from tallyspark.llm.common import in_task, text_bytes, text_chunks, tune
 from tallyspark.llm.shingles import run_spans, word_spans
+from tallyspark.sources.tables import finished_paths
 
 KEYS = ("source", "lang", "tokenizer_version")
 _DELTAS = "source string, lang string, tokenizer_version string, documents long, tokens long, batch_id string, attempt string"
@@ -70,12 +73,13 @@ class Rollup:
         self.spark, self.path = spark, path
 
     def _commits(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(_COMMITS).parquet(f"{self.path}/commits/*")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        """Commit rows whose write finished, one attempt a batch."""
+        finished = finished_paths(self.spark, f"{self.path}/commits")
+        if not finished:
             return self.spark.createDataFrame([], _COMMITS)
+        rows = self.spark.read.schema(_COMMITS).parquet(*finished)
+        least = F.min(F.struct("attempt", "folded")).alias("c")
+        return rows.groupBy("batch_id").agg(least).select("batch_id", "c.attempt", "c.folded")
 
     def committed(self, batch_id: str) -> bool:
         """Whether the batch counts already, by its own commit or inside a compaction."""
@@ -88,13 +92,10 @@ class Rollup:
         commit = self.spark.range(1).select(
             F.lit(batch_id).alias("batch_id"), F.lit(attempt).alias("attempt"), F.array(*[F.lit(b) for b in folded]).cast("array<string>").alias("folded")
         )
-        try:
-            commit.coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/commits/{batch_id}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_ALREADY_EXISTS":
-                raise
+        if self.committed(batch_id):  # by another driver meanwhile
             return False
-        return True
+        commit.coalesce(1).write.parquet(f"{self.path}/commits/{attempt}")
+        return not self._commits().where(F.col("attempt") == attempt).isEmpty()
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Commit a batch of signed changes; False if that batch was committed before."""

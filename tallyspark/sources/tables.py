@@ -80,6 +80,12 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def finished_paths(spark: SparkSession, base: str) -> list[str]:
+    """The folders in ``base`` whose write finished (_SUCCESS present)."""
+    p, fs = _fs(spark, f"{base}/*/_SUCCESS")
+    return sorted(st.getPath().getParent().toString() for st in fs.globStatus(p) or [])
+
+
 def committed_versions(spark: SparkSession, base: str) -> list[int]:
     p, fs = _fs(spark, base)
     if not fs.exists(p):

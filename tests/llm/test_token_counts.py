@@ -68,3 +68,47 @@ def test_empty_and_null_batches(spark):
     df = spark.createDataFrame([(None, None, None), ("s", "en", 4)], "source string, lang string, n int")
     assert rollup.apply("nulls", K.inserts(df, "n", None))
     assert totals(rollup) == {(None, None, None): (1, 0), ("s", "en", None): (1, 4)}
+
+
+CHANGES = "source string, lang string, n int"
+
+
+def test_a_commit_that_did_not_finish_does_not_block_its_batch(spark):
+    path = shared_path(spark, "rollup-test")
+    rollup = K.Rollup(spark, path)
+    changes = K.inserts(spark.createDataFrame([("s", "en", 4)], CHANGES), "n", "v")
+    # What a driver leaves that dies in the commit's write: a folder without rows, under the batch's or any name.
+    for name in ("a", "0" * 32):
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits/{name}/_temporary")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+    assert not rollup.committed("a") and totals(rollup) == {}
+    assert rollup.apply("a", changes) and totals(rollup) == {("s", "en", "v"): (1, 4)}
+    assert not rollup.apply("a", changes) and totals(rollup) == {("s", "en", "v"): (1, 4)}
+
+
+def test_a_commit_row_of_an_unfinished_write_does_not_count(spark):
+    path = shared_path(spark, "rollup-test")
+    rollup = K.Rollup(spark, path)
+    changes = K.inserts(spark.createDataFrame([("s", "en", 4)], CHANGES), "n", "v")
+    assert rollup.apply("a", changes)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits/*/_SUCCESS")
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in fs.globStatus(fs_path):
+        fs.delete(s.getPath(), False)
+    assert totals(rollup) == {}
+    assert rollup.apply("a", changes) and totals(rollup) == {("s", "en", "v"): (1, 4)}
+
+
+def test_two_drivers_that_commit_one_batch_count_once(spark, monkeypatch):
+    path = shared_path(spark, "rollup-test")
+    one, two = K.Rollup(spark, path), K.Rollup(spark, path)
+    changes = K.inserts(spark.createDataFrame([("s", "en", 4), ("t", "en", 2)], CHANGES), "n", "v")
+    want = {("s", "en", "v"): (1, 4), ("t", "en", "v"): (1, 2)}
+    # Both look before either has committed, and neither write fails.
+    for r in (one, two):
+        monkeypatch.setattr(r, "committed", lambda b: False)
+        r.apply("a", changes)
+    assert spark.read.schema(K._COMMITS).parquet(f"{path}/commits/*").count() == 2
+    assert totals(one) == totals(two) == want
+    assert one.apply("b", changes) and one.compact()
+    assert totals(two) == {k: (2 * d, 2 * n) for k, (d, n) in want.items()}
