@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontaminate, line_dedup, near_dedup, packing, quality, sharding, token_counts, topk, toxicity, warc
+from tallyspark.llm import (
+    conversation_repair,
+    decontaminate,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality,
+    sharding,
+    token_counts,
+    topk,
+    toxicity,
+    warc,
+)
 from tallyspark.llm.common import shared_path, table, tune, written
 from tallyspark.llm.labels import is_held_out
 
@@ -124,6 +136,22 @@ def op10_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def repaired_conversations(conversations: DataFrame) -> DataFrame:
+    """Every conversation damaged, then repaired; one of which no row is left has nothing to report."""
+    tune(conversations.sparkSession)
+    found = conversation_repair.repaired(conversation_repair.damaged(conversations)).withColumnRenamed("conv_id", "conv")
+    every = conversations.select("conv_id").distinct()
+    none = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    return every.join(found, every.conv_id.eqNullSafe(found.conv), "left").select(
+        "conv_id", *[F.coalesce(F.col(c), none.get(c, F.lit(0).cast("long"))).alias(c) for c in found.columns if c != "conv"]
+    )
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations and their cheapest repair."""
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_capture_index": op1_warc_capture_index,
     "op2_toxicity_bigru": op2_toxicity_bigru,
@@ -135,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kd_sharding": op8_kd_sharding,
     "op9_quality_mil": op9_quality_mil,
     "op10_impact_topk": op10_impact_topk,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 #: DuckDB twins.  Words are split at ASCII white space and lower-cased A-Z only, as in the operators.
