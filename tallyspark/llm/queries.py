@@ -15,6 +15,7 @@ from tallyspark.llm import (
     near_dedup,
     packing,
     quality,
+    repeats,
     sharding,
     token_counts,
     topk,
@@ -152,6 +153,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op13_deep_shallow_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents under 100-byte strings that start earlier."""
+    return repeats.removed(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_capture_index": op1_warc_capture_index,
     "op2_toxicity_bigru": op2_toxicity_bigru,
@@ -164,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_mil": op9_quality_mil,
     "op10_impact_topk": op10_impact_topk,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_deep_shallow_repeats": op13_deep_shallow_repeats,
 }
 
 #: DuckDB twins.  Words are split at ASCII white space and lower-cased A-Z only, as in the operators.
