@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm import (
     conversation_repair,
     decontaminate,
+    hard_negatives,
     line_dedup,
     near_dedup,
     packing,
@@ -153,6 +154,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op12_cover_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vec_id divisible by 100; a seventh of the labels is moved on first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_deep_shallow_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents under 100-byte strings that start earlier."""
     return repeats.removed(table(spark, sf_dir, "documents")).drop("spans")
@@ -170,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_mil": op9_quality_mil,
     "op10_impact_topk": op10_impact_topk,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_cover_tree_negatives": op12_cover_tree_negatives,
     "op13_deep_shallow_repeats": op13_deep_shallow_repeats,
 }
 
@@ -235,6 +244,21 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * C
            FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
      r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op12_cover_tree_negatives": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same,
+                  CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+           FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+     p AS (SELECT a, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS nth
+           FROM s WHERE same),
+     n AS (SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score,
+                  CAST(row_number() OVER (PARTITION BY a, nth ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+           FROM p JOIN s USING (a) WHERE nth <= 5 AND NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
 """,
     "op1_warc_capture_index": """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
