@@ -21,6 +21,10 @@ equal places.  Strings that follow each other mostly share theirs, so a text has
    directly; sets too large for a trie stay with the quicksort);
 5. of equal strings all but the earliest mark their bytes.  Marks, not texts, travel back.
 
+Hot anchors and segments are thinned before they are shuffled: of the texts a task works on at
+once one row of an anchor and the earliest of equal segments go by the anchor; the
+others, whose fate is known, are dealt out evenly.
+
 Texts move once, into a table bucketed by a hash of the text, to which anchors and
 marks are joined without moving it again.  An anchor of more than ``HOT`` different
 segments is not gathered: its strings are dealt out one by one, by the string itself,
@@ -111,6 +115,17 @@ def packed(start: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 ANCHORS = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "t", "at")])
+#: Within the texts worked on at once an anchor came once; it came again and this is its one row
+#: that is shuffled by hash; this is another one of it, known to be shared.
+ONCE, AGAIN, KNOWN = range(3)
+FOUND = T.StructType([*ANCHORS.fields, T.StructField("state", T.IntegerType())])
+
+
+def _states(found: np.ndarray) -> np.ndarray:
+    _, first, back, times = np.unique(found, return_index=True, return_inverse=True, return_counts=True)
+    state = np.where(times[back] > 1, KNOWN, ONCE)
+    state[first[times > 1]] = AGAIN
+    return state
 
 
 def _run_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,33 +136,38 @@ def _run_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(found):
                 row = np.searchsorted(offsets, start, "right") - 1
                 at = packed(start - offsets[row] + shift[row], n, place)
-                cols = [pa.array(found.view(np.int64)), pa.array(t[rows[row]]), pa.array(at)]
-                yield pa.RecordBatch.from_arrays(cols, names=ANCHORS.names)
+                cols = [pa.array(found.view(np.int64)), pa.array(t[rows[row]]), pa.array(at), pa.array(_states(found), pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=FOUND.names)
 
 
 def _run_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors, sorted by hash, whose hash comes again."""
+    """Anchors, sorted by hash, whose hash comes again, and those known to be shared."""
     held: pa.RecordBatch | None = None
     again = False  # whether the held row's hash came before
     for batch in batches:
+        state = batch.column("state").to_numpy()
+        yield batch.filter(pa.array(state == KNOWN)).select(ANCHORS.names)
+        batch = batch.filter(pa.array(state != KNOWN))
         if not batch.num_rows:
             continue
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         h = batch.column("anchor").to_numpy()
         same = h[1:] == h[:-1]
-        keep = np.append(same, False)
+        keep = batch.column("state").to_numpy() == AGAIN
+        keep[:-1] |= same
         keep[1:] |= same
         keep[0] |= again
         again = bool(keep[-1])
         held = batch.slice(batch.num_rows - 1)
-        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1])).select(ANCHORS.names)
     if held is not None and again:
-        yield held
+        yield held.select(ANCHORS.names)
 
 
 # ---- Segments ---------------------------------------------------------------------------------
 
+#: No bytes: an equal segment starts earlier.
 SEGMENTS = T.StructType(
     [*ANCHORS.fields, T.StructField("doc", T.LongType()), T.StructField("segment", T.BinaryType())]
 )
@@ -161,6 +181,14 @@ def slices(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(taken)])
 
 
+def _later(code: np.ndarray, t: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which rows are not the earliest of their code."""
+    by = np.lexsort((at, t, doc, code))
+    out = np.zeros(len(code), bool)
+    out[by[1:]] = code[by][1:] == code[by][:-1]
+    return out
+
+
 def _run_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         t, doc, marks = batch.column("t").to_numpy(), batch.column("doc").to_numpy(), batch.column("marks")
@@ -175,8 +203,12 @@ def _run_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             anchor, at, row, start, size = (x[inside] for x in (anchor, at, row, start, size))
             for a in range(0, len(row), 1 << 14):
                 x = slice(a, a + (1 << 14))
-                cols = [pa.array(anchor[x]), pa.array(t[lo + row[x]]), pa.array(at[x]), pa.array(doc[lo + row[x]])]
-                yield pa.RecordBatch.from_arrays([*cols, slices(data, offsets[row[x]] + start[x], size[x])], names=SEGMENTS.names)
+                mine = [t[lo + row[x]], at[x], doc[lo + row[x]]]
+                segment = slices(data, offsets[row[x]] + start[x], size[x])
+                later = _later(segment.dictionary_encode().indices.to_numpy(), *mine)
+                segment = pc.if_else(pa.array(later), pa.scalar(None, pa.binary()), segment)
+                cols = [pa.array(c) for c in (anchor[x], *mine)]
+                yield pa.RecordBatch.from_arrays([*cols, segment], names=SEGMENTS.names)
 
 
 # ---- Deep-shallow sorting ---------------------------------------------------------------------
@@ -350,20 +382,25 @@ def _same_as_before(batch: pa.RecordBatch, column: str, before: object) -> np.nd
     return same
 
 
+def _repeated(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Marks of whole segments."""
+    t, doc, at = (rows.column(c).to_numpy() for c in ("t", "doc", "at"))
+    return _marks(t, doc, at >> 16, (at >> 16) + (at >> 8 & 255) + WINDOW - 1)
+
+
 def _run_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments by (anchor, segment, doc, t, at): equal ones repeat, groups of different ones are suffix-sorted."""
     kept: list[pa.RecordBatch] = []
     size, last, segment, hot = 0, None, None, None
     for batch in batches:
+        none = pc.is_null(batch.column("segment"))
+        yield _repeated(batch.filter(none))
+        batch = batch.filter(pc.invert(none))
         if not batch.num_rows:
             continue
         repeats = _same_as_before(batch, "anchor", last) & _same_as_before(batch, "segment", segment)
         last, segment = batch.column("anchor")[batch.num_rows - 1].as_py(), batch.column("segment")[batch.num_rows - 1].as_py()
-        rest = batch.filter(pa.array(repeats))
-        if rest.num_rows:
-            at = rest.column("at").to_numpy()
-            start = at >> 16
-            yield _marks(rest.column("t").to_numpy(), rest.column("doc").to_numpy(), start, start + (at >> 8 & 255) + WINDOW - 1)
+        yield _repeated(batch.filter(pa.array(repeats)))
         kept.append(batch.filter(pa.array(~repeats)))
         size += kept[-1].num_rows
         if size < SORTED:
@@ -457,12 +494,14 @@ def removed(documents: DataFrame) -> DataFrame:
     doc = F.coalesce(F.col("first.doc_id").cast("long"), F.lit(FIRST))
     texts, table_name, path = _bucketed(texts.select("t", doc.alias("doc"), "name", "text"), "t")
 
-    found = texts.select("t", "text").mapInArrow(in_task(_run_anchors), ANCHORS)
-    shared = found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(in_task(_run_shared), ANCHORS)
+    found = texts.select("t", "text").mapInArrow(in_task(_run_anchors), FOUND)
+    where = F.when(F.col("state") == KNOWN, F.xxhash64("t", "at")).otherwise(F.col("anchor"))
+    shared = found.repartition(where).sortWithinPartitions("anchor").mapInArrow(in_task(_run_shared), ANCHORS)
     marks = shared.groupBy("t").agg(F.collect_list(F.struct("anchor", "at")).alias("marks"))
     cut = texts.select("t", "doc", "text").join(marks, "t").select("t", "doc", "text", "marks").mapInArrow(in_task(_run_cut), SEGMENTS)
     order = ["anchor", "segment", "doc", "t", "at"]
-    repeats = written(cut.repartition("anchor").sortWithinPartitions(*order).mapInArrow(in_task(_run_sorted), MARKS), "repeat-marks")
+    where = F.when(F.col("segment").isNull(), F.xxhash64("t", "at")).otherwise(F.col("anchor"))
+    repeats = written(cut.repartition(where).sortWithinPartitions(*order).mapInArrow(in_task(_run_sorted), MARKS), "repeat-marks")
     dealt = repeats.where("string is not null").repartition("string").sortWithinPartitions("string", "doc", "t", "lo")
     spans = repeats.where("string is null").select("t", "doc", "lo", "hi").unionByName(
         dealt.mapInArrow(in_task(_run_equal_strings), MARKS).select("t", "doc", "lo", "hi")
