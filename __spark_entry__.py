@@ -250,17 +250,73 @@ def _ingest_late_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATE_FIRST = ("ts >= '2024-01-15'", "ts < '2024-01-15'")
 
 
-def _live_bucket_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly totals kept by the stream; the second micro-batch brings rows that are days late."""
+def _streamed_late_first(spark: SparkSession, sf_dir: str) -> I.UsageStore:
+    """Events streamed into a fresh store; the second micro-batch brings rows that are days late."""
     from tallyspark.streaming import live as L
 
     apply_required_conf(spark)
     landing, store = fresh_path(spark, "landing"), I.UsageStore(fresh_path(spark, "stream-store"))
-    totals = fresh_path(spark, "live-totals")
     for where in LATE_FIRST:
         fx.write_event_logs(spark, sf_dir, landing, where)
-        L.stream_ingest(spark, landing, store, L.checkpoint_path(store, "live"), glob="*.txt", totals=totals).awaitTermination()
-    return present(spark.read.parquet(totals).drop("usage_date"))
+        L.stream_ingest(spark, landing, store, L.checkpoint_path(store, "live"), glob="*.txt").awaitTermination()
+    return store
+
+
+def _live_bucket_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly totals kept by the stream."""
+    return present(I.live_totals(spark, _streamed_late_first(spark, sf_dir)).drop("usage_date"))
+
+
+def _live_totals_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly totals after every record of the 'click' branch is deleted and storage and totals are compacted."""
+    store = _streamed_late_first(spark, sf_dir)
+    I.delete_records(spark, store, I.read_usage(spark, store).where("git_branch = 'click'"))
+    I.compact(spark, store)
+    return present(I.live_totals(spark, store).drop("usage_date"))
+
+
+def _grown_logs(spark: SparkSession, sf_dir: str, write: Callable, shares: tuple[float, ...]) -> I.UsageStore:
+    """Log files at several lengths of theirs, an ingest after each."""
+    apply_required_conf(spark)
+    whole, root = fresh_path(spark, "whole-logs"), fresh_path(spark, "growing-logs")
+    write(spark, sf_dir, whole)
+    store = I.UsageStore(fresh_path(spark, "usage-store"))
+    for share in shares:
+        fx.copy_logs(spark, whole, root, share)
+        I.ingest(spark, root, store, glob="*.txt")
+    return store
+
+
+def _ingest_grown_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files cut within a line, then whole: the second run reads from the offsets of the first."""
+    store = _grown_logs(spark, sf_dir, fx.write_event_logs, (0.6, 1.0))
+    return present(I.read_usage(spark, store).drop("source_file", "source_line"))
+
+
+def _ingest_grown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers of files read in three ranges."""
+    store = _grown_logs(spark, sf_dir, fx.write_numbered_logs, (0.31, 0.77, 1.0))
+    return present(I.read_usage(spark, store).select("message_id", "source_line"))
+
+
+def _ingest_truncated_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that shrink are read from their start; what was stored stays, and nothing counts twice."""
+    store = _grown_logs(spark, sf_dir, fx.write_event_logs, (0.8, 0.3, 1.0))
+    return present(I.read_usage(spark, store).drop("source_file", "source_line"))
+
+
+def _tail_event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appended lines through the tail stream: three AvailableNow runs from one checkpoint, an append before two of them."""
+    from tallyspark.streaming import live as L
+
+    apply_required_conf(spark)
+    whole, root = fresh_path(spark, "whole-logs"), fresh_path(spark, "growing-logs")
+    fx.write_event_logs(spark, sf_dir, whole)
+    store = I.UsageStore(fresh_path(spark, "tail-store"))
+    for share in (0.5, 1.0, 1.0):
+        fx.copy_logs(spark, whole, root, share)
+        L.tail_ingest(spark, root, store, L.checkpoint_path(store, "tail"), glob="*.txt").awaitTermination()
+    return present(I.read_usage(spark, store).drop("source_file", "source_line"))
 
 
 def _ingest_odd_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,6 +500,14 @@ def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bucket_drilldown_day": _report("events", R.bucket_breakdown, bucket="day", bucket_value="2024-01-10"),
         "bucket_drilldown_hour": _report("events", R.bucket_breakdown, bucket="hour", bucket_value="2024-01-10 05:00:00"),
         "live_bucket_totals": _live_bucket_totals,
+        # T-06, M-11: totals follow deletes
+        "live_totals_after_delete": _live_totals_after_delete,
+        # S-09, S-10: reading from saved offsets; truncation
+        "ingest_grown_logs": _ingest_grown_logs,
+        "ingest_grown_lines": _ingest_grown_lines,
+        "ingest_truncated_logs": _ingest_truncated_logs,
+        # T-01: appended lines through a stream
+        "tail_event_logs": _tail_event_logs,
         "ingest_late_batch": _ingest_late_batch,
         "ingest_odd_names": _ingest_odd_names,
         "ingest_lines": _ingest_lines,
@@ -523,6 +587,11 @@ def _report_sql() -> dict[str, str]:
         "bucket_drilldown_day": O.bucket_breakdown("events", "day", O.where("2024-01-10", "2024-01-11")),
         "bucket_drilldown_hour": O.bucket_breakdown("events", "hour", O.where(extra="strftime(ts, '%Y-%m-%d %H') = '2024-01-10 05'")),
         "live_bucket_totals": O.live_totals(),
+        "live_totals_after_delete": O.live_totals("git_branch <> 'click'"),
+        "ingest_grown_logs": O.ingested_event_logs(),
+        "ingest_grown_lines": O.numbered_lines(),
+        "ingest_truncated_logs": O.ingested_event_logs(),
+        "tail_event_logs": O.ingested_event_logs(),
         "ingest_late_batch": O.ingested_event_logs(),
         "ingest_odd_names": O.odd_names(),
         "ingest_lines": O.numbered_lines(),

@@ -611,10 +611,10 @@ def top_projects(view: str, k: int = 15) -> str:
 # --- ingest, edits and stored tables -------------------------------------------
 
 
-def live_totals() -> str:
+def live_totals(where: str = "true") -> str:
     return (
         f"SELECT substr(ts, 1, 13) || ':00:00' AS bucket, model, {', '.join(f'CAST(SUM({t}) AS BIGINT) AS {t}' for t in TOK)}, "
-        f"COUNT(*) AS messages FROM ({ingested_event_logs()}) GROUP BY 1, 2"
+        f"COUNT(*) AS messages FROM ({ingested_event_logs()}) WHERE {where} GROUP BY 1, 2"
     )
 
 

@@ -244,6 +244,35 @@ def write_numbered_logs(spark: SparkSession, sf_dir: str, root: str) -> None:
     files.write.partitionBy(LOG_PARTITION).text(root)
 
 
+def copy_logs(spark: SparkSession, source: str, target: str, share: float, glob: str = "*.txt") -> None:
+    """The first ``share`` of each log file's bytes, under the same name below ``target``: files as a writer leaves them while they grow.
+
+    Replays come with the whole files only: of two runs the earlier one's copy of a message stays.
+    """
+    import pyarrow as pa
+
+    from ..plans.ingest import list_files
+    from ..sources.logs import root_path
+    from ..sources.ranges import filesystem
+
+    source, target = root_path(source), root_path(target)
+
+    def run(batches):
+        for batch in batches:
+            for path, size in zip(batch.column("source_file").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                where, name = filesystem(path)
+                copy = target + name.removeprefix(source)
+                where.create_dir(copy.rsplit("/", 1)[0])
+                with where.open_input_file(name) as old, where.open_output_stream(copy) as new:
+                    new.write(old.read(int(size * share)))
+                yield pa.RecordBatch.from_arrays([pa.array([path])], names=["source_file"])
+
+    files = list_files(spark, source, glob).select("source_file", "length")
+    if share < 1:
+        files = files.where(~F.col("source_file").contains(f"/{LOG_PARTITION}={REPLAY_DIR}/"))
+    files.repartition("source_file").mapInArrow(run, "source_file string").write.format("noop").mode("overwrite").save()
+
+
 # --- provider feed derived from the part table ------------------------------
 # One feed entry per (p_type, p_size) group; pos = p_size decides which of
 # two entries meeting on one model id is later.  Sizes pick the edge cases:

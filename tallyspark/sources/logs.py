@@ -93,31 +93,57 @@ def with_file_columns(df: DataFrame) -> DataFrame:
 
 
 def block_totals(lines: DataFrame) -> DataFrame:
-    """Per (file, split): first row id, number of lines, bytes of lines with their separators."""
-    size = F.col("n_bytes") if "n_bytes" in lines.columns else F.octet_length("value")
+    """Per (file, split): first row id, number of lines, bytes of lines with their separators, the last line's
+    bytes, and the bytes and checksum of the file's first line."""
+    if "n_bytes" not in lines.columns:
+        lines = lines.withColumn("n_bytes", F.octet_length("value").cast("bigint"))
+    lines = _resumed(lines)
     return lines.groupBy("source_file", "block_start").agg(
         F.min("row_id").alias("first_id"),
         F.count(F.lit(1)).alias("n"),
-        F.sum(size + 1).alias("n_bytes"),
+        F.sum(F.col("n_bytes") + 1).alias("n_bytes"),
+        F.max_by("n_bytes", "row_id").alias("last_bytes"),
+        F.min_by(F.struct("n_bytes", "line_crc"), "row_id").alias("head"),
         F.max("file_size").alias("file_size"),
         F.max("modified_at").alias("modified_at"),
+        F.max("base_offset").alias("base_offset"),
+        F.max("base_line").alias("base_line"),
     )
 
 
+def _resumed(lines: DataFrame) -> DataFrame:
+    """Lines with the offset and line that their range resumes at; a whole file starts at 0."""
+    defaults = {"base_offset": F.lit(0).cast("bigint"), "base_line": F.lit(0).cast("bigint"), "line_crc": F.lit(None).cast("bigint")}
+    return lines.withColumns({c: v for c, v in defaults.items() if c not in lines.columns})
+
+
 def file_totals(blocks: DataFrame) -> DataFrame:
-    """Per file: lines, size, and whether every byte was read (a last line may lack its separator)."""
+    """Per file: lines, size, whether every byte was read (a last line may lack its separator), and where to resume.
+
+    ``resume_offset`` and ``resume_line`` stand behind the last line that has its separator:
+    a line still being written is read now and again when it is whole.
+    """
     files = blocks.groupBy("source_file").agg(
-        F.sum("n").alias("last_line"),
-        F.sum("n_bytes").alias("n_bytes"),
+        (F.sum("n") + F.max("base_line")).alias("last_line"),
+        (F.sum("n_bytes") + F.max("base_offset")).alias("n_bytes"),
+        F.max_by("last_bytes", "block_start").alias("last_bytes"),
+        F.min_by("head", "block_start").alias("head"),
         F.max("file_size").alias("byte_offset"),
         F.max("modified_at").alias("modified_at"),
+        F.max("base_offset").alias("base_offset"),
+    )
+    open_tail = F.col("n_bytes") == F.col("byte_offset") + 1
+    return files.select(
+        "source_file", "last_line", "byte_offset", "modified_at", "base_offset", open_tail.alias("open_tail"),
+        ((F.col("n_bytes") == F.col("byte_offset")) | open_tail).alias("whole"),
+        (F.col("byte_offset") - F.when(open_tail, F.col("last_bytes")).otherwise(0)).alias("resume_offset"),
+        (F.col("last_line") - F.when(open_tail, 1).otherwise(0)).alias("resume_line"),
+        F.col("head.n_bytes").alias("head_bytes"), F.col("head.line_crc").alias("head_crc"),
     )
-    whole = (F.col("n_bytes") == F.col("byte_offset")) | (F.col("n_bytes") == F.col("byte_offset") + 1)
-    return files.withColumn("whole", whole).drop("n_bytes")
 
 
 def number_lines(lines: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
-    """Add the 1-based per-file ``source_line`` (blank lines counted).
+    """Add the 1-based per-file ``source_line`` (blank lines counted); ranges go on from the line they resume at.
 
     The table of splits has one row a split; its join carries no hint, so its
     known size decides whether it is broadcast.
@@ -125,7 +151,7 @@ def number_lines(lines: DataFrame, blocks: DataFrame | None = None) -> DataFrame
     blocks = block_totals(lines) if blocks is None else blocks
     w = Window.partitionBy("source_file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.select(
-        "source_file", "block_start", "first_id", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("lines_before")
+        "source_file", "block_start", "first_id", (F.coalesce(F.sum("n").over(w), F.lit(0)) + F.col("base_line")).alias("lines_before")
     )
     out = lines.join(before, ["source_file", "block_start"])
     return out.withColumn("source_line", F.col("lines_before") + (F.col("row_id") - F.col("first_id")) + 1).drop(
@@ -162,14 +188,20 @@ def decoded_lines(lines: DataFrame) -> DataFrame:
 
     Only usage lines carry the struct and only rejected lines their text.
     """
-    dec = decode(lines)
+    if "n_bytes" not in lines.columns:
+        lines = lines.withColumn("n_bytes", F.octet_length("value").cast("bigint"))
+    dec = decode(_resumed(lines))
     return dec.select(
         "source_file",
         "block_start",
         "row_id",
         "file_size",
         "modified_at",
-        F.octet_length("value").cast("bigint").alias("n_bytes"),
+        "n_bytes",
+        "base_offset",
+        "base_line",
+        # Of the split a file begins with: its first line tells whether the file is still the same.
+        F.when(F.col("block_start") == 0, F.crc32("value")).alias("line_crc"),
         "reject_reason",
         F.when(F.col("reject_reason").isNull(), F.col("j").dropFields("_corrupt")).alias("j"),
         F.when(F.col("reject_reason").isin(KEPT_REASONS), F.col("value")).alias("value"),
@@ -204,10 +236,10 @@ def to_usage(decoded: DataFrame, root: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType) for f in USAGE.fields], "path_parts")
 
 
-def quarantine(decoded: DataFrame) -> DataFrame:
+def quarantine(decoded: DataFrame, *more: Column | str) -> DataFrame:
     """Rejected lines with their reason (JSON that is simply not usage is not kept)."""
     return decoded.filter(F.col("reject_reason").isin(KEPT_REASONS)).select(
-        "source_file", "source_line", F.col("reject_reason").alias("reason"), F.col("value").alias("line")
+        "source_file", "source_line", F.col("reject_reason").alias("reason"), F.col("value").alias("line"), *more
     )
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +14,33 @@ from ..schemas import BUDGETS, PRICING, SOURCE_MANUAL
 from ..session import fresh_path
 
 
+#: Tables staged by the runs under way in a thread, innermost last.
+_runs = threading.local()
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Removes what is staged inside once it is done."""
+    open_runs = _runs.__dict__.setdefault("open", [])
+    open_runs.append([])
+    try:
+        yield
+    finally:
+        for path in open_runs.pop():
+            delete_path(spark, path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, and its size is known to the planner."""
+    """Write ``df`` to the shared folder and read it back: computed once, and its size is known to the planner.
+
+    Inside ``staging`` the table goes with it.  A report that returns a DataFrame cannot know when its
+    rows were read: its tables stay until the platform clears the folder.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    if open_runs := getattr(_runs, "open", None):
+        open_runs[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,20 +1,19 @@
 """Structured Streaming paths.
 
 The built-in file stream delivers each *file* once and never re-reads a path
-it has seen, so lines appended to a known file are not delivered.  The
-streaming paths therefore serve immutable landing files (one file per flush
-or rotation); append-style logs go through the manifest batch job
-(``plans.ingest``), re-run on a schedule.
+it has seen; it serves immutable landing files (one file per flush or rotation).
+Append-style logs have a source of their own, which delivers appended lines.
 
 * ``stream_ingest`` -- landing JSONL -> fact table.  Each micro-batch runs
   the batch pipeline (line numbers, decode, first-wins) and an
   insert-or-ignore against the stored ids inside ``foreachBatch``, so a
   replayed batch after a failure adds nothing (exactly-once effect on the
   table, at-least-once delivery).
-* ``stream_ingest(..., totals=path)`` -- the same, and after each micro-batch
-  the per-bucket, per-model totals of the days it touched are computed anew
-  from the fact table and replace those days in the totals table.  Rows of any
-  age count, however late, and a replayed batch changes nothing.
+* ``tail_ingest`` -- the same for logs that grow: the stream's offset is what was
+  consumed of each file, in whole lines, so each run reads the bytes that were appended.
+* Live totals come with both: each load and each delete commits signed deltas once
+  (``plans.totals``), so rows of any age count, however late, deletes are
+  taken away, and a replayed batch changes nothing.  ``plans.ingest.live_totals`` reads them.
 * ``live_bucket_totals`` -- rolling sums from the stream alone, with an
   event-time watermark and de-duplication of message ids within it, for a
   display that needs no stored table.  It leaves out rows later than the watermark.
@@ -28,17 +27,18 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import bucket_key, rfc3339_to_utc, zero_time
-from ..operators.aggregates import with_bucket
-from ..operators.rates import sum_tokens
-from ..plans.ingest import UsageStore, load_lines, read_usage
+from ..plans.ingest import UsageStore, load_lines, manifest_log, recover
 from ..schemas import ASSISTANT_TYPE, LOG_LINE_WITH_CORRUPT, TOKEN_COLUMNS
 from ..sources.logs import LINE_SEPARATOR, LOG_GLOB, with_file_columns
+from ..sources.ranges import LogTail
+from ..sources.tables import staged, staging
 
 RECONCILE_INTERVAL = "60 seconds"
 
@@ -57,36 +57,61 @@ def landing_stream(spark: SparkSession, landing: str, glob: str = LOG_GLOB,
     return with_file_columns(reader.load(landing))
 
 
-def refresh_totals(spark: SparkSession, store: UsageStore, days: DataFrame, path: str, bucket: str = "hour") -> None:
-    """Replace the totals of the given days (usage_date, bucket, model) by those of the fact table."""
-    usage = read_usage(spark, store).join(days, "usage_date", "left_semi")
-    totals = with_bucket(usage, bucket).groupBy("usage_date", "bucket", "model").agg(
-        *sum_tokens(), F.count(F.lit(1)).alias("messages")
-    )
-    totals.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("usage_date").parquet(path)
+def _now() -> dt.datetime:
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+
+
+def _started(lines: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool, interval: str) -> StreamingQuery:
+    w = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
+    return w.start()
+
 
+def stream_ingest(spark: SparkSession, landing: str, store: UsageStore, checkpoint: str,
+                  glob: str = LOG_GLOB, available_now: bool = True, interval: str = RECONCILE_INTERVAL) -> StreamingQuery:
+    """Start the landing -> fact table stream (insert-or-ignore per batch).
 
-def _batch_writer(spark: SparkSession, root: str, store: UsageStore, totals: str | None, bucket: str):
-    """The batch load on each micro-batch; a replayed batch adds no row and hides its earlier quarantine rows."""
+    A replayed batch adds no row and hides its earlier quarantine rows.
+    """
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        loaded = load_lines(spark, batch.withColumn("row_id", F.monotonically_increasing_id()), root, store, now)
-        if totals:
-            refresh_totals(spark, store, loaded.days, totals, bucket)
+        load_lines(spark, batch.withColumn("row_id", F.monotonically_increasing_id()), landing, store, _now())
 
-    return write
+    return _started(landing_stream(spark, landing, glob), write, checkpoint, available_now, interval)
 
 
-def stream_ingest(spark: SparkSession, landing: str, store: UsageStore, checkpoint: str,
-                  glob: str = LOG_GLOB, available_now: bool = True,
-                  interval: str = RECONCILE_INTERVAL, totals: str | None = None, bucket: str = "hour") -> StreamingQuery:
-    """Start the landing -> fact table stream (insert-or-ignore per batch), with live totals at ``totals`` if given."""
-    writer = _batch_writer(spark, landing, store, totals, bucket)
-    w = landing_stream(spark, landing, glob).writeStream.foreachBatch(writer)
-    w = w.option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
-    return w.start()
+def resolved(spark: SparkSession, store: UsageStore, lines: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Tailed lines with the line number each range resumes at, and what is known of the files it resumes in.
+
+    Both come from the manifest row whose run ended at the range's offset, so a replayed
+    batch finds what it found the first time.
+    """
+    log = manifest_log(spark, store)
+    if log is None:
+        return lines.withColumn("base_line", F.lit(0).cast("bigint")), None
+    files = lines.where("base_offset > 0").select("source_file", "base_offset").distinct()
+    at = log.withColumnRenamed("resume_offset", "base_offset").join(files, ["source_file", "base_offset"], "left_semi")
+    row = F.struct("resume_line", "generation", "head_bytes", "head_crc")
+    at = staged(at.groupBy("source_file", "base_offset").agg(F.max_by(row, F.struct("updated_at", "run_id")).alias("r")), "tail-resumed")
+    lost = F.raise_error(F.concat(F.lit("the store has no run that ends where the checkpoint resumes: "), F.col("source_file")))
+    base = F.when(F.col("base_offset") == 0, 0).otherwise(F.coalesce("r.resume_line", lost.cast("bigint")))
+    out = lines.drop("base_line").join(at, ["source_file", "base_offset"], "left").withColumn("base_line", base).drop("r")
+    return out, at.select("source_file", "r.generation", "r.head_bytes", "r.head_crc")
+
+
+def tail_ingest(spark: SparkSession, root: str, store: UsageStore, checkpoint: str,
+                glob: str = LOG_GLOB, available_now: bool = True, interval: str = RECONCILE_INTERVAL) -> StreamingQuery:
+    """Start the stream of lines appended below ``root`` into the fact table."""
+    spark.dataSource.register(LogTail)
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        with staging(spark):
+            recover(spark, store)
+            lines, known = resolved(spark, store, staged(batch, "tail-lines"))
+            load_lines(spark, lines, root, store, _now(), known)
+
+    lines = spark.readStream.format(LogTail.name()).option("glob", glob).load(root)
+    return _started(lines, write, checkpoint, available_now, interval)
 
 
 def parsed_usage_stream(lines: DataFrame) -> DataFrame:
