@@ -84,6 +84,21 @@ def in_task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return task
 
 
+def rowwise(x: np.ndarray, w: np.ndarray, bound: float = 16.0) -> np.ndarray:
+    """``x @ w`` in float32, with each row's result a function of that row alone.
+
+    A matrix product rounds a row differently with the rows beside it and the threads at work.
+    Here both sides are rounded to whole numbers, small enough that all their products and sums
+    are exact in float64, in any order.  ``x`` is clipped to ``+-bound``.  Float64 input is multiplied as it is.
+    """
+    if x.dtype == np.float64:
+        return x @ w
+    bits = 52 - np.log2(bound) - np.log2(max(float(np.abs(w).max(initial=0)), 1e-6)) - np.log2(x.shape[1])
+    scale = 2.0 ** int(bits / 2)
+    whole = np.rint(np.clip(x, -bound, bound).astype(np.float64) * scale) @ np.rint(w.astype(np.float64) * scale)
+    return (whole / (scale * scale)).astype(np.float32)
+
+
 # ---- Arrow batches -----------------------------------------------------------------------------
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.llm import shingles as S
-from tallyspark.llm.common import in_task, release_memory, text_bytes, text_chunks, tune
+from tallyspark.llm.common import in_task, release_memory, rowwise, text_bytes, text_chunks, tune
 from tallyspark.llm.labels import class_shift, training_sample
 
 PASSAGE = 64
@@ -57,6 +57,7 @@ def passage_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(passages, out=at[1:])
     total = int(at[-1])
     x = np.zeros((total, FEATURES), np.float32)
+    x[:, -1] = 1
     if not len(starts):
         return x, at
     owner = np.repeat(np.arange(len(n)), n)
@@ -93,7 +94,6 @@ def passage_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (place[order][1:] != place[order][:-1])
     stats[:, 6] = np.bincount(place[order], new, total) * scale
     stats[:, 7] = np.log1p(count) / 5
-    stats[:, 8] = 1
     return x, at
 
 
@@ -115,11 +115,12 @@ def initial(seed: int = 7) -> dict[str, np.ndarray]:
 
 def forward(p: dict[str, np.ndarray], x: np.ndarray, at: np.ndarray):
     owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    h = np.tanh(x @ p["W"] + p["b"])
-    t, g = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
-    a = _softmax((t * g) @ p["w"], at, owner)
+    # A bag's score does not depend on the other bags of the batch, not even in its last bit.
+    h = np.tanh(rowwise(x, p["W"]) + p["b"])
+    t, g = np.tanh(rowwise(h, p["V"])), _sigmoid(rowwise(h, p["U"]))
+    a = _softmax((t * g * p["w"]).sum(axis=1), at, owner)
     z = np.add.reduceat(a[:, None] * h, at[:-1])
-    return z @ p["c"] + p["d"][0], (owner, h, t, g, a, z)
+    return (z * p["c"]).sum(axis=1) + p["d"][0], (owner, h, t, g, a, z)
 
 
 def gradients(p, x, at, y):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tallyspark.llm import shingles as S
-from tallyspark.llm.common import release_memory, text_bytes, text_chunks, tune
+from tallyspark.llm.common import release_memory, rowwise, text_bytes, text_chunks, tune
 from tallyspark.llm.labels import class_shift, training_sample
 
 WINDOW, STRIDE, PIECE = 64, 32, 24
@@ -32,6 +32,8 @@ WORD_ROWS, CHAR_ROWS, DIM, HIDDEN, ATTEND = 1 << 12, 1 << 14, 8, 10, 8
 PER_CLASS, MAX_BYTES = 1500, 1 << 15
 #: Text bytes and windows worked on at once.
 CHUNK, SLICE = 2 << 20, 4096
+#: Windows worked on at least: numpy sums a lone column in another order than columns side by side.
+LEAST = 8
 
 _GRAM = np.random.default_rng(0xC4A2).integers(1, 1 << 63, (5, 256), dtype=np.uint64)
 _GRAM[:, 65:91] = _GRAM[:, 97:123]
@@ -127,7 +129,7 @@ def _recur(p, side: str, gates: np.ndarray, ids: np.ndarray, keep: bool):
             states[t] = h
             continue
         x = gates[step]
-        u = h @ rec
+        u = h @ rec if keep else rowwise(h, rec)
         rz = _sigmoid(x[:, :h2] + u[:, :h2])
         reset, update = rz[:, :HIDDEN], rz[:, HIDDEN:]
         un = u[:, h2:] + bias
@@ -141,21 +143,25 @@ def _recur(p, side: str, gates: np.ndarray, ids: np.ndarray, keep: bool):
 
 
 def _pool(p, states: np.ndarray, ids: np.ndarray):
-    u = np.tanh(states @ p["A"])
-    s = np.where((ids >= 0).T, u @ p["v"], -30.0)
+    u = np.tanh(rowwise(states.reshape(-1, 2 * HIDDEN), p["A"]).reshape(*states.shape[:2], -1))
+    s = np.where((ids >= 0).T, (u * p["v"]).sum(axis=2), -30.0)
     e = np.exp(s - s.max(axis=0))
     a = (e / e.sum(axis=0)).astype(states.dtype)
     z = np.einsum("tn,tnh->nh", a, states)
-    return z @ p["o"] + p["d"][0], (u, a, z)
+    return (z * p["o"]).sum(axis=1) + p["d"][0], (u, a, z)
 
 
 def window_logits(p, inputs: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    gates = {side: inputs @ p["W" + side] + p["i" + side] for side in "fb"}
+    """Logit of each window, to the last bit whatever windows are beside it."""
+    gates = {side: rowwise(inputs, p["W" + side]) + p["i" + side] for side in "fb"}
     out = np.zeros(len(ids), np.float64)
     for i in range(0, len(ids), SLICE):
         part = ids[i : i + SLICE]
+        size = len(part)
+        if size < LEAST:
+            part = np.vstack([part, np.full((LEAST - size, part.shape[1]), -1)])
         states = np.concatenate([_recur(p, side, gates[side], part, False)[0] for side in "fb"], axis=2)
-        out[i : i + SLICE] = _pool(p, states, part)[0]
+        out[i : i + size] = _pool(p, states, part)[0][:size]
     return out
 
 

@@ -139,3 +139,15 @@ def test_odd_tables(spark, module):
     assert empty.count() == 0 and empty.columns == [c for c in docs.columns if c != "score"] + ["score"]
     held = docs.select(labels.is_held_out(5, 0).alias("h"), "doc_id").collect()
     assert all(r.h == (r.doc_id is not None and crc(str(r.doc_id)) % 5 == 0) for r in held)
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_a_score_is_a_function_of_the_text_alone(module):
+    r = np.random.default_rng(3)
+    model = {k: (a + r.normal(0, 0.3, a.shape)).astype(np.float32) for k, a in module.initial().items()}
+    texts = [x[1] for x in corpus(n=120)]
+    together = module.score_column(model, pa.array(texts))
+    turned = module.score_column(model, pa.array(texts[::-1]))[::-1]
+    alone = np.concatenate([module.score_column(model, pa.array([t], pa.string())) for t in texts])
+    assert (together == alone).all() and (together == turned).all()
+    assert len(np.unique(together)) > 100
