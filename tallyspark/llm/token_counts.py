@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 from tallyspark.llm import tokens
 from tallyspark.llm.common import in_task, text_bytes, text_chunks, tune
 from tallyspark.llm.shingles import run_spans, word_spans
-from tallyspark.sources.tables import finished_paths
+from tallyspark.sources.tables import delete_path, finished_paths
 
 KEYS = ("source", "lang", "tokenizer_version")
 _DELTAS = "source string, lang string, tokenizer_version string, documents long, tokens long, batch_id string, attempt string"
-_COMMITS = "batch_id string, attempt string, folded array<string>"
+#: A batch's own row, or (``folded``) a batch that the compaction of that attempt holds.
+_COMMITS = "batch_id string, attempt string, folded boolean"
 
 
 def _signed(rows: DataFrame, count: str, version: str, sign: int) -> DataFrame:
@@ -73,28 +74,30 @@ class Rollup:
         self.spark, self.path = spark, path
 
     def _commits(self) -> DataFrame:
-        """Commit rows whose write finished, one attempt a batch."""
+        """(batch_id, attempt, folded) of commits whose write finished: one attempt a batch, and what those attempts fold."""
         finished = finished_paths(self.spark, f"{self.path}/commits")
         if not finished:
             return self.spark.createDataFrame([], _COMMITS)
         rows = self.spark.read.schema(_COMMITS).parquet(*finished)
-        least = F.min(F.struct("attempt", "folded")).alias("c")
-        return rows.groupBy("batch_id").agg(least).select("batch_id", "c.attempt", "c.folded")
+        own = rows.where("not folded").groupBy("batch_id").agg(F.min("attempt").alias("attempt"))
+        held = rows.where("folded").join(own.select("attempt"), "attempt", "left_semi").select("batch_id").distinct()
+        return own.withColumn("folded", F.lit(False)).unionByName(
+            held.select("batch_id", F.lit(None).cast("string").alias("attempt"), F.lit(True).alias("folded"))
+        )
 
     def committed(self, batch_id: str) -> bool:
         """Whether the batch counts already, by its own commit or inside a compaction."""
-        c = self._commits()
-        return not c.where((F.col("batch_id") == batch_id) | F.array_contains("folded", batch_id)).isEmpty()
+        return not self._commits().where(F.col("batch_id") == batch_id).isEmpty()
 
-    def _commit(self, batch_id: str, deltas: DataFrame, folded: list[str]) -> bool:
+    def _commit(self, batch_id: str, deltas: DataFrame, folded: DataFrame | None = None) -> bool:
         attempt = uuid.uuid4().hex
         deltas.withColumns({"batch_id": F.lit(batch_id), "attempt": F.lit(attempt)}).write.parquet(f"{self.path}/deltas/{attempt}")
-        commit = self.spark.range(1).select(
-            F.lit(batch_id).alias("batch_id"), F.lit(attempt).alias("attempt"), F.array(*[F.lit(b) for b in folded]).cast("array<string>").alias("folded")
-        )
+        commit = self.spark.range(1).select(F.lit(batch_id).alias("batch_id"), F.lit(False).alias("folded"))
+        if folded is not None:
+            commit = commit.unionByName(folded.select("batch_id", F.lit(True).alias("folded")))
         if self.committed(batch_id):  # by another driver meanwhile
             return False
-        commit.coalesce(1).write.parquet(f"{self.path}/commits/{attempt}")
+        commit.withColumn("attempt", F.lit(attempt)).coalesce(1).write.parquet(f"{self.path}/commits/{attempt}")
         return not self._commits().where(F.col("attempt") == attempt).isEmpty()
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
@@ -103,30 +106,47 @@ class Rollup:
             return False
         # Summed on the map side first: a source that brings a third of all rows is one row a task.
         deltas = changes.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        return self._commit(batch_id, deltas.where("documents <> 0 or tokens <> 0"), [])
-
-    def _live(self) -> DataFrame:
-        """Delta rows of committed attempts that no compaction has folded in."""
-        commits = self._commits().collect()  # one row a batch since the last compaction
-        gone = {b for c in commits for b in c.folded or []}
-        live = [c for c in commits if c.batch_id not in gone]
-        if not live:
-            return self.spark.createDataFrame([], _DELTAS)
-        return self.spark.read.schema(_DELTAS).parquet(*[f"{self.path}/deltas/{c.attempt}" for c in live])
+        return self._commit(batch_id, deltas.where("documents <> 0 or tokens <> 0"))
+
+    def _live(self) -> list[tuple[str, str]]:
+        """(batch_id, attempt) of committed batches that no compaction has folded in: those since the last one, and it."""
+        commits = self._commits()
+        held = commits.where("folded").select("batch_id")
+        return [(c.batch_id, c.attempt) for c in commits.where("not folded").join(held, "batch_id", "left_anti").collect()]
+
+    def _sums(self, live: list[tuple[str, str]]) -> DataFrame:
+        rows = self.spark.createDataFrame([], _DELTAS)
+        if live:
+            rows = self.spark.read.schema(_DELTAS).parquet(*[f"{self.path}/deltas/{attempt}" for _, attempt in live])
+        sums = rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+        return sums.where("documents <> 0 or tokens <> 0")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer_version, documents, tokens) over all committed batches."""
-        sums = self._live().groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        return sums.where("documents <> 0 or tokens <> 0")
+        return self._sums(self._live())
 
     def compact(self) -> bool:
-        """Fold every committed batch into one delta."""
-        commits = self._commits().collect()
-        gone = {b for c in commits for b in c.folded or []}
-        names = sorted({c.batch_id for c in commits} | gone)
-        if sum(c.batch_id not in gone for c in commits) < 2:
+        """Fold every committed batch into one delta and remove what it folds.
+
+        The batches are listed once, so one that is committed meanwhile is neither folded nor summed here.  One
+        driver compacts at a time, while no other reads totals it planned before.
+        """
+        live = self._live()
+        if len(live) < 2:
+            return False
+        names = self.spark.createDataFrame([(batch,) for batch, _ in live], "batch_id string")
+        folded = names.union(self._commits().where("folded").select("batch_id"))
+        old = finished_paths(self.spark, f"{self.path}/commits")
+        if not self._commit(f"compaction-{uuid.uuid4().hex[:12]}", self._sums(live), folded):
             return False
-        return self._commit(f"compaction-{uuid.uuid4().hex[:12]}", self.totals(), names)
+        # All that was committed before is named by the new commit, but for batches that came after the listing.
+        kept = {attempt for _, attempt in self._live()}
+        for path in old:
+            attempt = path.rsplit("/", 1)[1]
+            if attempt not in kept:
+                delete_path(self.spark, path)
+                delete_path(self.spark, f"{self.path}/deltas/{attempt}")
+        return True
 
 
 def counted(docs: DataFrame, tokenizer_path: str) -> DataFrame:

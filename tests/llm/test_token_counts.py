@@ -57,7 +57,7 @@ def test_uncommitted_attempts_do_not_count(spark):
     rollup.apply("a", K.inserts(rows, "words", "w1"))
     before = totals(rollup)
     # Deltas of an attempt that lost the race for its commit.
-    assert not rollup._commit("a", K.inserts(rows, "words", "w1"), [])
+    assert not rollup._commit("a", K.inserts(rows, "words", "w1"))
     assert totals(rollup) == before
 
 
@@ -112,3 +112,23 @@ def test_two_drivers_that_commit_one_batch_count_once(spark, monkeypatch):
     assert totals(one) == totals(two) == want
     assert one.apply("b", changes) and one.compact()
     assert totals(two) == {k: (2 * d, 2 * n) for k, (d, n) in want.items()}
+
+
+def test_a_commit_during_a_compaction_counts_once(spark, monkeypatch):
+    rollup = K.Rollup(spark, shared_path(spark, "rollup-test"))
+    for name, n in (("a", 1), ("b", 10)):
+        rollup.apply(name, K.inserts(spark.createDataFrame([("s", "en", n)], CHANGES), "n", "v"))
+    real = K.Rollup._sums
+
+    def meanwhile(self, live):  # between the listing of a compaction and its sums
+        monkeypatch.setattr(K.Rollup, "_sums", real)
+        self.apply("c", K.inserts(spark.createDataFrame([("s", "en", 100)], CHANGES), "n", "v"))
+        return real(self, live)
+
+    monkeypatch.setattr(K.Rollup, "_sums", meanwhile)
+    assert rollup.compact()
+    assert totals(rollup) == {("s", "en", "v"): (3, 111)}
+    assert rollup.compact() and totals(rollup) == {("s", "en", "v"): (3, 111)}
+    # What is folded is removed: one commit and one delta are left, and old batches still count once.
+    assert len(K.finished_paths(spark, f"{rollup.path}/commits")) == len(K.finished_paths(spark, f"{rollup.path}/deltas")) == 1
+    assert not any(rollup.apply(b, K.inserts(spark.createDataFrame([("s", "en", 5)], CHANGES), "n", "v")) for b in "abc")
