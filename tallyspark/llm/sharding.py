@@ -158,6 +158,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
     """Rows (doc_id, size, text_crc32, shard, slot): shards of nearly equal bytes, slots gapless from 0 in each."""
     tune(docs.sparkSession)
     rows = written(measured(docs), "shard-rows")
+    # Repeated rows are told apart by their place in the table.
+    place = F.xxhash64("_metadata.file_name", "_metadata.row_index")
+    rows = rows.select("*", place.alias("place"))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     most = max(1.0, total / shards * GROUP_SHARE)
     # Groups over the bound: at most shards / GROUP_SHARE of them, whatever the input.
@@ -168,7 +171,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
         .select("g1", "g2", F.least(F.col("n"), F.ceil(F.col("w") / F.lit(most / 2))).alias("parts"))
     )
     dealt = rows.join(F.broadcast(heavy), ["g1", "g2"], "left").withColumn(
-        "sub", F.coalesce(F.pmod(F.xxhash64("doc_id", "size"), F.col("parts")), F.lit(0)).cast("long")
+        "sub", F.coalesce(F.pmod(F.col("place"), F.col("parts")), F.lit(0)).cast("long")
     )
     points = dealt.groupBy("g1", "g2", "sub").agg(
         F.sum("size").alias("weight"),
@@ -183,14 +186,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
     leaf = written(placed.select("g1", "g2", "sub", _expression(tree, lambda n: F.lit(n.first)).alias("shard")), "shard-leaf")
     # A group is light or dealt into light parts, so no key of this join is heavy.
     sharded = dealt.join(leaf, ["g1", "g2", "sub"]).select(
-        "doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "g1", "size"), F.lit(SLOT_BUCKETS)).alias("bucket")
+        "doc_id", "size", "text_crc32", "shard", "place", F.pmod(F.xxhash64("place"), F.lit(SLOT_BUCKETS)).alias("bucket")
     )
     sharded = written(sharded, "shard-placed")
     # Slots: rows are numbered inside SLOT_BUCKETS parts of a shard, after the counts of the parts before.
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = sharded.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32")
+    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "place")
     return sharded.join(F.broadcast(starts), ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("base") + F.row_number().over(inside) - 1).alias("slot")
     )

@@ -51,3 +51,18 @@ def test_tables_smaller_than_the_shards(spark):
     assert len(got) == 3 and len({(g.shard, g.slot) for g in got}) == 3
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")  # no metadata columns
     assert K.shard_by_bytes(df, 3).count() == 1
+
+
+def test_repeated_rows_are_dealt_evenly(spark):
+    r = random.Random(12)
+    rows = [row(i, sentence(r, 20)) for i in range(2000)] + [row(7, "the same row " * 6)] * 2000
+    rows += [row(None, "no id, the same text " * 4)] * 1000
+    got = K.shard_by_bytes(frame(spark, rows), 40).collect()
+    size, slots = {}, {}
+    for g in got:
+        size[g.shard] = size.get(g.shard, 0) + g["size"]
+        slots.setdefault(g.shard, []).append(g.slot)
+    mean, largest = sum(size.values()) / 40, max(g["size"] for g in got)
+    assert len(got) == len(rows) and len(size) == 40
+    assert max(size.values()) <= 1.1 * mean + 2 * largest
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
