@@ -204,7 +204,7 @@ ORACLE: dict[str, str] = {
 WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, x[i] AS line
            FROM (SELECT doc_id, string_split(text, chr(10)) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
                  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
-           WHERE strlen(x[i]) >= 20),
+           WHERE regexp_matches(x[i], '[^ \t\x0B\f\r]')),
      r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, line_no) AS nth FROM l),
      c AS (SELECT doc_id, line_no, row_number() OVER (ORDER BY doc_id, line_no) AS id, {_LINE_WORDS} AS w FROM r WHERE nth = 1),
      n AS (SELECT id, len(w) AS n FROM c),
