@@ -68,7 +68,10 @@ def _parse_rfc3339(text: str) -> tuple[dt.date, dt.datetime] | None:
         tz = dt.timezone(sign * dt.timedelta(hours=oh, minutes=om))
     micros = int((frac[1:] + "000000")[:6]) if frac else 0
     local = dt.datetime(day.year, day.month, day.day, int(hh), int(mi), int(ss), micros, tzinfo=tz)
-    return day, local.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    try:
+        return day, local.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    except OverflowError:  # the instant lies before year 1 or after year 9999
+        return day, dt.datetime.min if day.year == 1 else dt.datetime.max
 
 
 def from_date(text: str | None) -> dt.date | None:
@@ -91,7 +94,9 @@ def to_date_exclusive(text: str | None) -> dt.date | None:
         return parsed[0]
     m = DATE_PATTERN.match(text)
     day = _valid_date(*m.groups()) if m else None
-    return day + dt.timedelta(days=1) if day else None
+    if day is None or day == dt.date.max:  # nothing lies behind the last day
+        return None
+    return day + dt.timedelta(days=1)
 
 
 def ascii_fold(c: Column) -> Column:
@@ -214,7 +219,8 @@ def previous_period(cur_from: str | None, cur_to: str | None, as_of: dt.datetime
     """Window of the same length right before the current one.
 
     Without a current start ("all time") the comparison is this calendar
-    month against the previous one.  None when the window has no length.
+    month against the previous one.  None when the window has no length, or
+    when the one before it would begin before year 1.
     """
     if not cur_from:
         this_month = month_start(as_of)
@@ -231,6 +237,8 @@ def previous_period(cur_from: str | None, cur_to: str | None, as_of: dt.datetime
         return None
     days = math.floor(length.total_seconds() / 86400.0 + 0.5)  # half rounds up
     label = "vs previous 24 hours" if days <= 1 else f"vs previous {days} days"
+    if start - dt.datetime.min < length:  # it would begin before year 1
+        return None
     return Comparison(cur_from, cur_to, _iso(start - length), _iso(start), label)
 
 

@@ -629,7 +629,7 @@ def odd_names() -> str:
 def numbered_lines() -> str:
     return (
         "SELECT CAST(event_id AS VARCHAR) AS message_id, "
-        "row_number() OVER (PARTITION BY user_id % 7 ORDER BY event_id) AS source_line FROM events"
+        "row_number() OVER (PARTITION BY event_id // 5000 ORDER BY event_id) AS source_line FROM events"
     )
 
 
@@ -649,9 +649,9 @@ SELECT slug, CAST(SUM(n) AS BIGINT) AS lines FROM (
 
 
 def rate_change_set() -> str:
-    """Rates created from nation rows, region 2 edited twice (the last stays), region 4 deleted; with each edit's status."""
+    """Rates created from parts, a fifth of them edited twice (the last stays), a fifth deleted; with each edit's status."""
     return f"""
-WITH n AS (SELECT 'n-' || lower(n_name) AS model, n_nationkey AS k, n_regionkey AS r FROM nation)
+WITH n AS (SELECT 'n-' || CAST(p_partkey AS VARCHAR) AS model, p_partkey AS k, p_partkey % 5 AS r FROM part)
 SELECT 'sheet' AS kind, model, CAST(CASE WHEN r = 2 THEN k * 3 ELSE k END AS DOUBLE) AS input_per_mtok_usd, 'manual' AS state
 FROM n WHERE r <> 4
 UNION ALL SELECT 'create', model, NULL, 'created' FROM n
@@ -663,8 +663,8 @@ UNION ALL SELECT 'upsert', model, CAST(k * 5 AS DOUBLE), 'manual' FROM n WHERE r
 
 def stored_budgets() -> str:
     return (
-        "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(n_nationkey * 2.5 AS DOUBLE) AS amount_usd, "
-        "FALSE AS show_in_dashboard, '2024-01-02 03:04:05.123456' AS created_at, CAST(NULL AS VARCHAR) AS updated_at FROM nation"
+        "SELECT CAST(c_custkey AS BIGINT) AS id, c_name AS name, CAST(c_custkey * 2.5 AS DOUBLE) AS amount_usd, "
+        "FALSE AS show_in_dashboard, '2024-01-02 03:04:05.123456' AS created_at, CAST(NULL AS VARCHAR) AS updated_at FROM customer"
     )
 
 

@@ -226,9 +226,9 @@ def write_odd_names(spark: SparkSession, sf_dir: str, root: str) -> None:
 
 
 def write_numbered_logs(spark: SparkSession, sf_dir: str, root: str) -> None:
-    """One file a slug, its lines in event order; a line's request id is its number in the file."""
-    uid, eid = F.col("user_id"), F.col("event_id")
-    ev = table(spark, sf_dir, "events").select((uid % 7).alias(LOG_PARTITION), eid, "ts")
+    """One file for 5000 event ids, its lines in event order; a line's request id is its number in the file."""
+    eid = F.col("event_id")
+    ev = table(spark, sf_dir, "events").select(F.floor(eid / 5000).alias(LOG_PARTITION), eid, "ts")
     n = F.row_number().over(Window.partitionBy(LOG_PARTITION).orderBy("event_id"))
     usage = F.struct(F.lit(1).alias("input_tokens"))
     line = F.to_json(

@@ -25,6 +25,15 @@ def test_to_bounds():
     assert to_date_exclusive("nope") is None
 
 
+def test_first_and_last_years():
+    assert to_date_exclusive("9999-12-31") is None and to_date_exclusive("9999-12-30") == D(9999, 12, 31)
+    assert from_date("0001-01-01T00:00:00+01:00") == D(1, 1, 1)
+    assert to_date_exclusive("9999-12-31T23:00:00-05:00") == D(9999, 12, 31)
+    as_of = dt.datetime(2024, 1, 20)
+    assert previous_period("0001-01-01T00:00:00+01:00", None, as_of) is None  # no such window lies before
+    assert previous_period("2024-01-01", "9999-12-31", as_of) is None
+
+
 def test_filter_rows(spark):
     u = make_usage(spark, [
         dict(ts="2024-01-04 23:59:59.999999"), dict(ts="2024-01-05 00:00:00"), dict(ts="2024-01-05 23:59:59"),
