@@ -431,6 +431,30 @@ def _day_rollup(report: str, **kw) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+# Paths of odd users, found by a gram and a wildcard; one project's slug inside a window.
+EV_SEARCH_PATH = UsageFilter(search="/U/_/1")
+EV_SEARCH_PATH_SQL = O.where(extra=O.search_filter_sql("/U/_/1"))
+EV_SEARCH_WINDOW = UsageFilter(date_from="2024-01-04", date_to="2024-01-16", search="U-3")
+EV_SEARCH_WINDOW_SQL = O.where("2024-01-04", "2024-01-17", extra=O.search_filter_sql("U-3"))
+
+
+def _indexed_search(report: Callable, f: UsageFilter) -> Callable[[SparkSession, str], DataFrame]:
+    """A report over stored events whose search is answered by the index, refreshed after each of two loads."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tallyspark.plans.search import SearchIndex
+
+        u, rates = _ctx(spark, sf_dir, "events")
+        store, index = I.UsageStore(fresh_path(spark, "usage-store")), SearchIndex(spark, fresh_path(spark, "search-index"))
+        for where in LATE_FIRST:
+            load = u.where(where)
+            load.write.mode("append").partitionBy("usage_date").parquet(store.usage)
+            index.refresh(load)
+        return present(report(*index.narrowed(I.read_usage(spark, store), f), rates))
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return _report_queries() | _corpus_queries()
 
@@ -468,6 +492,9 @@ def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "model_ranking_date_range": _report("lineitem", R.model_ranking, f=LI_RANGE),
         "model_ranking_rfc3339_bounds": _report("lineitem", R.model_ranking, f=LI_RFC),
         "model_ranking_search": _report("events", R.model_ranking, f=EV_SEARCH),
+        # F-06: search from a trigram index of the distinct texts
+        "model_ranking_indexed_search": _indexed_search(lambda u, f, rates: R.model_ranking(u, rates, f), EV_SEARCH_PATH),
+        "summary_indexed_search": _indexed_search(lambda u, f, rates: R.summary(u, rates, f), EV_SEARCH_WINDOW),
         # O-05 / W-01 top-15 rankings with rank position
         "top_models": _report("lineitem", R.top_models),
         "top_projects": _report("lineitem", R.top_projects),
@@ -563,6 +590,8 @@ def _report_sql() -> dict[str, str]:
         "model_ranking_date_range": O.model_ranking("lineitem", LI_RANGE_SQL),
         "model_ranking_rfc3339_bounds": O.model_ranking("lineitem", LI_RFC_SQL),
         "model_ranking_search": O.model_ranking("events", EV_SEARCH_SQL),
+        "model_ranking_indexed_search": O.model_ranking("events", EV_SEARCH_PATH_SQL),
+        "summary_indexed_search": O.summary("events", EV_SEARCH_WINDOW_SQL),
         "top_models": O.top_models("lineitem"),
         "top_projects": O.top_projects("lineitem"),
         "top_projects_events": O.top_projects("events"),

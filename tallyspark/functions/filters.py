@@ -112,16 +112,27 @@ def like_pattern(search: str) -> str:
     return "%" + search.replace("\\", "\\\\") + "%"
 
 
+def fold(text: str) -> str:
+    return text.translate(str.maketrans(ASCII_UPPER, ASCII_LOWER))
+
+
+def search_fields() -> dict[str, Column]:
+    """The searched columns; a missing path or branch counts as empty."""
+    return {
+        "project_slug": F.col("project_slug"),
+        "cwd": F.coalesce(F.col("cwd"), F.lit("")),
+        "git_branch": F.coalesce(F.col("git_branch"), F.lit("")),
+        "model": F.col("model"),
+        "session_id": F.col("session_id"),
+    }
+
+
+def text_matches(text: Column, search: str) -> Column:
+    return ascii_fold(text).like(fold(like_pattern(search)))
+
+
 def search_predicate(search: str) -> Column:
-    needle = like_pattern(search).translate(str.maketrans(ASCII_UPPER, ASCII_LOWER))
-    fields = [
-        F.col("project_slug"),
-        F.coalesce(F.col("cwd"), F.lit("")),
-        F.coalesce(F.col("git_branch"), F.lit("")),
-        F.col("model"),
-        F.col("session_id"),
-    ]
-    return functools.reduce(operator.or_, [ascii_fold(f).like(needle) for f in fields])
+    return functools.reduce(operator.or_, [text_matches(c, search) for c in search_fields().values()])
 
 
 def not_synthetic() -> Column:
