@@ -38,6 +38,8 @@ from pyspark.sql import types as T
 from tallyspark.llm.common import in_task, shared_path, tune, written
 
 BLOCK_LINES, MIN_REVISIT = 256, 100
+#: Stored records for each task that reads captures back.
+READ_RECORDS = 2048
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = "urn:capture:page:"
 
@@ -236,6 +238,7 @@ class Reader:
     def _load_shard(self, i: int) -> None:
         if self.shard == i:
             return
+        self.close()
         _, _, base, offset, length, _ = self.shards[i]
         files, path = _open(base)
         self.index, self.warc = files.open_input_file(f"{path}.cdx"), files.open_input_file(f"{path}.warc.gz")
@@ -244,6 +247,12 @@ class Reader:
         self.places = [(d[1], d[2]) for d in directory]
         self.shard, self.block = i, None
 
+    def close(self) -> None:
+        if self.shard is not None:
+            self.index.close()
+            self.warc.close()
+            self.shard = None
+
     def _load_block(self, i: int) -> None:
         if self.block == i:
             return
@@ -272,7 +281,8 @@ class Reader:
 def read_captures(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     """CAPTURE rows of all records stored under the entry keys of ``keys(key)``, found through the index.
 
-    The keys are sorted by ranges, so neighbouring look-ups meet the same block.  The
+    The keys are sorted by ranges, so neighbouring look-ups meet the same block.  Keys are small and
+    records are not, so the number of ranges follows from the stored records.  The
     manifest has one row for each range of the writing shuffle; tasks read it from there.
     """
     shards = [tuple(r) for r in manifest.select(*SHARD.names).collect()]  # one row a written file
@@ -287,8 +297,10 @@ def read_captures(manifest: DataFrame, keys: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=CAPTURE.names
                     )
+        reader.close()
 
-    wanted = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    tasks = max(1, -(-sum(s[-1] for s in shards) // READ_RECORDS))
+    wanted = keys.select("key").distinct().repartitionByRange(tasks, "key").sortWithinPartitions("key")
     return wanted.mapInArrow(in_task(run), CAPTURE)
 
 

@@ -81,3 +81,12 @@ def test_empty_table(spark):
     manifest = W.write_archives(df)
     assert manifest.count() == 0
     assert W.read_captures(manifest, spark.createDataFrame([("x",)], "key string")).count() == 0
+
+
+def test_reading_is_spread_by_the_stored_records(spark, monkeypatch):
+    monkeypatch.setattr(W, "READ_RECORDS", 50)
+    df = spark.createDataFrame(pages(), PAGES).repartition(3)
+    manifest = W.write_archives(df)
+    keys = df.select(W.entry_key(F.col("url"), F.col("page_id")).alias("key"))
+    tasks = W.read_captures(manifest, keys).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) > 5 and sum(r["count"] for r in tasks) == len(pages())
