@@ -17,10 +17,13 @@ Plan, all in Spark jobs:
 3. classes sharing a band hash are tied to the least class of that bucket and
    the ties' connected components are candidate clusters (linear in the band
    rows, however large a bucket is);
-4. every cluster is verified on full shingle sets: members are dealt into
-   blocks of bounded size and every pair of blocks is a tile of its own, so a
-   huge cluster is many bounded tasks.  A tile compares what its links have not
-   joined yet and returns a spanning forest, never all pairs;
+4. every cluster is verified on full shingle sets.  Its members are dealt into
+   blocks of bounded size.  In a cluster of several blocks every member first
+   meets one head, the member that most ties name; members that the head links
+   are joined already.  Then every pair of blocks with a member that is still open
+   is a tile of its own, so a crowd around one text costs about two rows a
+   member and other huge clusters are many bounded tasks.  A tile compares what its
+   links have not joined yet and returns a spanning forest, never all pairs;
 5. components of the forests give the groups.
 
 Missing a pair at exactly the threshold 0.8 needs all 64 bands of 8 to differ:
@@ -39,7 +42,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -224,7 +227,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, threshold: Fraction = Fra
     clusters = written(
         components(ties, "near-cc").select(F.col("node").alias("rep"), F.col("root").alias("cluster")), "near-cluster"
     )
-    links = verified_links(docs, classes, clusters, k, threshold)
+    links = verified_links(docs, classes, clusters, ties, k, threshold)
 
     # A doc_id that several rows carry joins the classes of all of them.
     twice = written(
@@ -249,34 +252,66 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, threshold: Fraction = Fra
     )
 
 
-def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+def _blocks(which: str) -> Column:
+    """Blocks that the members for which ``which`` holds are dealt into."""
+    n, size = F.count(F.expr(f"if({which}, 1, null)")), F.sum(F.expr(f"if({which}, n_bytes, 0)"))
+    return F.ceil(F.greatest(n / BLOCK_MEMBERS, size / BLOCK_BYTES)).cast("int")
+
+
+def _forest(docs: DataFrame, tiled: DataFrame, name: str, k: int, threshold: Fraction) -> DataFrame:
+    """Spanning forest of the exact links inside each tile of ``tiled(cls, rep, side, tile)``."""
+    # A sort-merge join at every size: the tiles grow with the documents, so they are never broadcast.
+    texts = written(tiled, f"near-{name}").join(docs.hint("merge"), F.col("rep") == F.col("doc_id"))
+    texts = texts.select("tile", "side", "cls", "rep", "text")
+    verify = in_task(_verify(k, threshold))
+    return written(texts.repartition("tile").sortWithinPartitions("tile").mapInArrow(verify, FOREST), f"near-{name}-forest")
+
+
+def _head_links(docs: DataFrame, members: DataFrame, ties: DataFrame, k: int, threshold: Fraction) -> DataFrame | None:
+    """Exact links ``(head, member)`` in clusters of several blocks; the head is the member most ties name.
+
+    A member is one row, a head one row a block of its cluster.
+    """
+    crowds = written(members.groupBy("cluster").agg(_blocks("true").alias("n_blocks")).where("n_blocks > 1"), "near-crowd")
+    if crowds.isEmpty():
+        return None
+    named = ties.groupBy(F.col("b").alias("rep")).agg(F.count("*").alias("n")).join(members.select("rep", "cluster"), "rep")
+    heads = named.join(crowds, "cluster").groupBy("cluster", "n_blocks")
+    heads = written(heads.agg(F.max_by("rep", F.struct("n", -F.col("rep"))).alias("head")), "near-head")
+    crowd = members.join(heads, "cluster")
+    block = F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    first = crowd.where("rep = head").select("cls", "rep", F.lit(0).alias("side"), "cluster", every.alias("block"))
+    rest = crowd.where("rep <> head").select("cls", "rep", F.lit(1).alias("side"), "cluster", block.alias("block"))
+    tiled = first.union(rest).select("cls", "rep", "side", F.xxhash64("cluster", "block").alias("tile"))
+    return _forest(docs, tiled, "star", k, threshold)
+
+
+def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, ties: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     """Spanning forest ``(a, b)`` over class representatives of the exact links inside each cluster."""
     members = clusters.join(classes.select("cls", "rep", "n_bytes"), "rep")
-    blocks = (
-        members.groupBy("cluster")
-        .agg(F.count("*").alias("m"), F.sum("n_bytes").alias("mb"))
-        .select(
-            "cluster",
-            F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("mb") / BLOCK_BYTES)).cast("int").alias("n_blocks"),
-        )
-    )
-    placed = members.join(written(blocks, "near-block"), "cluster").withColumn(
-        "block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int")
-    )
-    # Tile (i, j), i <= j, of a cluster compares block i with block j; (i, i) a block with itself.
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    tiled = placed.select("cls", "rep", "cluster", "block", other.alias("other")).select(
+    star = _head_links(docs, members, ties, k, threshold)
+    if star is None:
+        members = members.withColumn("joined", F.lit(False))
+    else:
+        joined = star.select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("joined", F.lit(True))
+        members = members.join(joined, "rep", "left").withColumn("joined", F.coalesce("joined", F.lit(False)))
+    blocks = members.groupBy("cluster").agg(_blocks("not joined").alias("n_open"), _blocks("joined").alias("n_joined"))
+    placed = members.join(written(blocks.where("n_open > 0"), "near-block"), "cluster")
+    # Blocks of open members come first.  Tile (i, j), i <= j, compares block i with block j, (i, i) a block
+    # with itself; two blocks of members that a head has joined have nothing left to find.
+    last = F.when(F.col("joined"), F.col("n_open")).otherwise(F.col("n_open") + F.col("n_joined")) - 1
+    h = F.xxhash64("cls")
+    block = F.when(F.col("joined"), F.col("n_open") + F.pmod(h, F.col("n_joined"))).otherwise(F.pmod(h, F.col("n_open")))
+    other = F.explode(F.sequence(F.lit(0), last))
+    tiled = placed.select("cls", "rep", "cluster", block.cast("int").alias("block"), other.alias("other")).select(
         "cls",
         "rep",
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
         F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("tile"),
     )
-    # A sort-merge join at every size: the tiles grow with the documents, so they are never broadcast.
-    texts = written(tiled, "near-tile").join(docs.hint("merge"), F.col("rep") == F.col("doc_id"))
-    texts = texts.select("tile", "side", "cls", "rep", "text")
-    return written(
-        texts.repartition("tile").sortWithinPartitions("tile").mapInArrow(in_task(_verify(k, threshold)), FOREST), "near-forest"
-    )
+    links = _forest(docs, tiled, "tile", k, threshold)
+    return links if star is None else links.union(star)
 
 
 def deduplicate(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:

@@ -103,3 +103,33 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(5, x) for x in range(300, 400)] + [(7, 7)]
     got = {(r.node, r.root) for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     assert got == {(i, 100) for i in range(100, 141)} | {(x, 5) for x in (5, *range(300, 400))}
+
+
+def test_a_crowd_meets_its_head_first(spark, monkeypatch):
+    """Near copies of one text, a few that only near copies resemble, and others: about two text rows a member."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+
+    def changed(words, n):
+        out = list(words)
+        for i in r.sample(range(60), n):
+            out[i] = f"z{r.randrange(10**9)}"
+        return out
+
+    crowd = [base] + [changed(base, 1) for _ in range(300)]
+    crowd += [changed(w, 2) for w in crowd[1:8]]  # further from the base than from what they copy
+    rows = [(i, " ".join(w)) for i, w in enumerate(crowd)] + [(900 + i, f"alone {i} here") for i in range(5)]
+    monkeypatch.setattr(N, "BLOCK_MEMBERS", 32)
+    sizes, write = {}, N.written
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(N, "written", counted)
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x.component_id for x in N.near_duplicate_groups(df, 2).collect()}
+    want = near_components([(i, t) for i, t in rows], 2)
+    assert got == want and len(set(want.values())) < 20
+    assert sizes["near-star"] + sizes["near-tile"] <= 2.5 * len(crowd)
