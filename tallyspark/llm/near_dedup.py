@@ -258,16 +258,15 @@ def _blocks(which: str) -> Column:
     return F.ceil(F.greatest(n / BLOCK_MEMBERS, size / BLOCK_BYTES)).cast("int")
 
 
-def _forest(docs: DataFrame, tiled: DataFrame, name: str, k: int, threshold: Fraction) -> DataFrame:
-    """Spanning forest of the exact links inside each tile of ``tiled(cls, rep, side, tile)``."""
+def _forest(texts: DataFrame, tiled: DataFrame, name: str, k: int, threshold: Fraction) -> DataFrame:
+    """Spanning forest of the exact links inside each tile of ``tiled(rep, side, tile)``."""
     # A sort-merge join at every size: the tiles grow with the documents, so they are never broadcast.
-    texts = written(tiled, f"near-{name}").join(docs.hint("merge"), F.col("rep") == F.col("doc_id"))
-    texts = texts.select("tile", "side", "cls", "rep", "text")
+    rows = written(tiled, f"near-{name}").join(texts.hint("merge"), "rep").select("tile", "side", "cls", "rep", "text")
     verify = in_task(_verify(k, threshold))
-    return written(texts.repartition("tile").sortWithinPartitions("tile").mapInArrow(verify, FOREST), f"near-{name}-forest")
+    return written(rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(verify, FOREST), f"near-{name}-forest")
 
 
-def _head_links(docs: DataFrame, members: DataFrame, ties: DataFrame, k: int, threshold: Fraction) -> DataFrame | None:
+def _head_links(texts: DataFrame, members: DataFrame, ties: DataFrame, k: int, threshold: Fraction) -> DataFrame | None:
     """Exact links ``(head, member)`` in clusters of several blocks; the head is the member most ties name.
 
     A member is one row, a head one row a block of its cluster.
@@ -281,16 +280,19 @@ def _head_links(docs: DataFrame, members: DataFrame, ties: DataFrame, k: int, th
     crowd = members.join(heads, "cluster")
     block = F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    first = crowd.where("rep = head").select("cls", "rep", F.lit(0).alias("side"), "cluster", every.alias("block"))
-    rest = crowd.where("rep <> head").select("cls", "rep", F.lit(1).alias("side"), "cluster", block.alias("block"))
-    tiled = first.union(rest).select("cls", "rep", "side", F.xxhash64("cluster", "block").alias("tile"))
-    return _forest(docs, tiled, "star", k, threshold)
+    first = crowd.where("rep = head").select("rep", F.lit(0).alias("side"), "cluster", every.alias("block"))
+    rest = crowd.where("rep <> head").select("rep", F.lit(1).alias("side"), "cluster", block.alias("block"))
+    tiled = first.union(rest).select("rep", "side", F.xxhash64("cluster", "block").alias("tile"))
+    return _forest(texts, tiled, "star", k, threshold)
 
 
 def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, ties: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     """Spanning forest ``(a, b)`` over class representatives of the exact links inside each cluster."""
     members = clusters.join(classes.select("cls", "rep", "n_bytes"), "rep")
-    star = _head_links(docs, members, ties, k, threshold)
+    # The documents are shuffled once, for the texts of the members; heads and tiles then shuffle those alone.
+    texts = members.select("rep", "cls").join(docs.hint("merge"), F.col("rep") == F.col("doc_id"))
+    texts = written(texts.select("rep", "cls", "text"), "near-text")
+    star = _head_links(texts, members, ties, k, threshold)
     if star is None:
         members = members.withColumn("joined", F.lit(False))
     else:
@@ -304,13 +306,12 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, tie
     h = F.xxhash64("cls")
     block = F.when(F.col("joined"), F.col("n_open") + F.pmod(h, F.col("n_joined"))).otherwise(F.pmod(h, F.col("n_open")))
     other = F.explode(F.sequence(F.lit(0), last))
-    tiled = placed.select("cls", "rep", "cluster", block.cast("int").alias("block"), other.alias("other")).select(
-        "cls",
+    tiled = placed.select("rep", "cluster", block.cast("int").alias("block"), other.alias("other")).select(
         "rep",
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
         F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("tile"),
     )
-    links = _forest(docs, tiled, "tile", k, threshold)
+    links = _forest(texts, tiled, "tile", k, threshold)
     return links if star is None else links.union(star)
 
 
