@@ -431,6 +431,27 @@ def _day_rollup(report: str, **kw) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _prefixes(build):
+    """Running totals of the events, first without the rows of a day, which come late; then ``build(prefixes, rates)``."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tallyspark.plans.prefixes import PrefixTotals
+        from tallyspark.plans.rollups import DayRollup
+
+        u, rates = _ctx(spark, sf_dir, "events")
+        late = dt.date(2024, 1, 12)
+        base = fresh_path(spark, "prefix-totals")
+        rollup = DayRollup(spark, base)
+        prefixes = PrefixTotals(spark, base, rollup)
+        rollup.refresh(u.where(F.col("usage_date") != F.lit(late)))
+        prefixes.refresh()
+        rollup.refresh(u, u.where(F.col("usage_date") == F.lit(late)).select("usage_date").distinct())
+        prefixes.refresh(late)
+        return present(build(prefixes, rates))
+
+    return run
+
+
 # Paths of odd users, found by a gram and a wildcard; one project's slug inside a window.
 EV_SEARCH_PATH = UsageFilter(search="/U/_/1")
 EV_SEARCH_PATH_SQL = O.where(extra=O.search_filter_sql("/U/_/1"))
@@ -508,6 +529,9 @@ def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # A-01, A-09: distinct sessions from stored day bitmaps
         "summary_30d_bitmaps": _day_rollup("summary", f=EV_30D),
         "project_ranking_bitmaps": _day_rollup("project_ranking"),
+        # F-09, R-09: windows as differences of running totals, kept up with late rows
+        "summary_30d_prefixes": _prefixes(lambda p, rates: p.summary(rates, EV_30D)),
+        "period_comparison_7d_prefixes": _prefixes(lambda p, rates: p.period_comparison(rates, EV_7D, _as_of("events"))),
         # R-02 time series
         "time_series_day": _report("lineitem", R.time_series),
         "time_series_hour": _report("events", R.time_series, bucket="hour"),
@@ -602,6 +626,10 @@ def _report_sql() -> dict[str, str]:
         "summary_models": O.model_ranking("lineitem"),
         "summary_30d_bitmaps": O.summary("events", EV_30D_SQL),
         "project_ranking_bitmaps": O.project_ranking("events"),
+        "summary_30d_prefixes": O.summary("events", EV_30D_SQL),
+        "period_comparison_7d_prefixes": O.period_comparison(
+            "events", ("2024-01-13", None), ("2024-01-06", "2024-01-13"), "vs previous 7 days"
+        ),
         "time_series_day": O.time_series("lineitem", "day"),
         "time_series_hour": O.time_series("events", "hour"),
         "time_series_by_model": O.time_series_models("events", "day"),

@@ -297,9 +297,14 @@ def period_comparison(u: DataFrame, rates, f: UsageFilter | None, as_of: dt.date
         )
         return _summary_from(part, sheet)
 
+    return compared(side_summary("cur"), side_summary("prev"), cmp.label)
+
+
+def compared(current: DataFrame, previous: DataFrame, label: str) -> DataFrame:
+    """One row a metric from the one-row summaries of two windows."""
     # Each side is one row; read as struct-valued scalar subqueries.
-    cur = side_summary("cur").select(F.struct(*COMPARED)).scalar()
-    prev = side_summary("prev").select(F.struct(*COMPARED)).scalar()
+    cur = current.select(F.struct(*COMPARED)).scalar()
+    prev = previous.select(F.struct(*COMPARED)).scalar()
     metrics = F.array(
         *[
             F.struct(
@@ -310,9 +315,9 @@ def period_comparison(u: DataFrame, rates, f: UsageFilter | None, as_of: dt.date
             for c in COMPARED
         ]
     )
-    both = g.sparkSession.range(1)
+    both = current.sparkSession.range(1)
     out = both.select(F.inline(metrics)).withColumn("pct_change", S.pct_change(F.col("current"), F.col("previous")))
-    return out.withColumn("direction", S.change_direction(F.col("pct_change"))).withColumn("label", F.lit(cmp.label))
+    return out.withColumn("direction", S.change_direction(F.col("pct_change"))).withColumn("label", F.lit(label))
 
 
 # R-10 ----------------------------------------------------------------------

@@ -28,6 +28,18 @@ from ..sources.tables import finished_paths, staged, staging
 
 #: Sessions are ranked inside this many hash slots; the slots' counts give each its first number.
 SLOTS = 4096
+SCHEMAS = {
+    "tokens": "project_key string, model string, " + "".join(f"{c} bigint, " for c in [*TOKEN_COLUMNS, "messages"]) + "usage_date date",
+    "bitmaps": "project_key string, part bigint, sessions binary, usage_date date",
+}
+
+
+def summary_of(models: DataFrame, sessions: DataFrame, rates) -> DataFrame:
+    """The summary report from the totals by model and a one-row session count."""
+    priced = price_groups(models, [], as_sheet(rates))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in [*TOKEN_COLUMNS, "messages"]]
+    cost = F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd")
+    return priced.agg(*sums, cost).select(*TOKEN_COLUMNS, sessions.scalar().alias("sessions"), "messages", "cost_usd")
 
 
 class DayRollup:
@@ -81,12 +93,19 @@ class DayRollup:
         rows = rows.unionByName(empty, allowMissingColumns=True)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("usage_date").parquet(path)
 
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.base}/{name}")
+
+    def tokens(self) -> DataFrame:
+        """All stored day totals; a day that lost its rows has one without a project and model."""
+        return self._read("tokens")
+
     def _days(self, name: str, f: UsageFilter | None) -> DataFrame:
         """Stored rows of a window; the filter may name days and a project."""
         f = f or UsageFilter()
         if f.model or f.search:
             raise ValueError("the stored days know no model of a session and no text")
-        rows = self.spark.read.parquet(f"{self.base}/{name}").where("project_key is not null")
+        rows = self._read(name).where("project_key is not null")
         lo, hi = from_date(f.date_from), to_date_exclusive(f.date_to)
         if lo:
             rows = rows.where(F.col("usage_date") >= F.lit(lo))
@@ -104,11 +123,7 @@ class DayRollup:
         """The summary report (R-01) of a window of days."""
         measures = [*TOKEN_COLUMNS, "messages"]
         models = self._days("tokens", f).groupBy("model").agg(*[F.sum(c).cast("bigint").alias(c) for c in measures])
-        priced = price_groups(models, [], as_sheet(rates))
-        sums = {c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in measures}
-        cost = F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd")
-        sessions = self.sessions(f).scalar().alias("sessions")
-        return priced.agg(*sums.values(), cost).select(*TOKEN_COLUMNS, sessions, "messages", "cost_usd")
+        return summary_of(models, self.sessions(f), rates)
 
     def project_ranking(self, rates, f: UsageFilter | None = None) -> DataFrame:
         """The project ranking (R-06) of a window of days."""

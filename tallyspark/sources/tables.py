@@ -112,6 +112,13 @@ def finished_paths(spark: SparkSession, base: str) -> list[str]:
     return sorted(st.getPath().getParent().toString() for st in fs.globStatus(p) or [])
 
 
+def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """The values of a table's partition column, in order, from its folders' names."""
+    p, fs = _fs(spark, f"{path}/{column}=*")
+    names = (st.getPath().getName().split("=", 1)[1] for st in fs.globStatus(p) or [])
+    return sorted(v for v in names if not v.startswith("__"))
+
+
 def committed_versions(spark: SparkSession, base: str) -> list[int]:
     p, fs = _fs(spark, base)
     if not fs.exists(p):
