@@ -58,7 +58,7 @@ from ..sources.logs import (
     to_usage,
 )
 from ..sources.ranges import read_ranges, unbroken
-from ..sources.tables import committed_versions, delete_path, finished_paths, path_exists, staged, staging
+from ..sources.tables import committed_versions, delete_path, finished_paths, path_exists, short_splits, staged, staging
 from .totals import TotalsLog, deltas
 
 #: Ids of a batch up to which they are looked up by value, so that only their buckets are read.
@@ -312,7 +312,7 @@ def load_lines(spark: SparkSession, lines: DataFrame, root: str, store: UsageSto
     ``generations`` has (source_file, generation, head_bytes, head_crc) of files read from an offset.
     """
     run_id = uuid.uuid4().hex
-    with staging(spark):
+    with staging(spark), short_splits(lines.sparkSession):
         decoded = staged(decoded_lines(lines), "ingest-lines")
         blocks = staged(block_totals(decoded), "ingest-blocks")
         files = file_totals(blocks).withColumns({"updated_at": F.lit(now), "run_id": F.lit(run_id)})

@@ -94,7 +94,10 @@ def with_file_columns(df: DataFrame) -> DataFrame:
 
 def block_totals(lines: DataFrame) -> DataFrame:
     """Per (file, split): first row id, number of lines, bytes of lines with their separators, the last line's
-    bytes, and the bytes and checksum of the file's first line."""
+    bytes, and the bytes and checksum of the file's first line.
+
+    All are plain numbers, so the lines are aggregated by hash and not sorted first.
+    """
     if "n_bytes" not in lines.columns:
         lines = lines.withColumn("n_bytes", F.octet_length("value").cast("bigint"))
     lines = _resumed(lines)
@@ -103,7 +106,8 @@ def block_totals(lines: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("n_bytes") + 1).alias("n_bytes"),
         F.max_by("n_bytes", "row_id").alias("last_bytes"),
-        F.min_by(F.struct("n_bytes", "line_crc"), "row_id").alias("head"),
+        F.min_by("n_bytes", "row_id").alias("head_bytes"),
+        F.min_by("line_crc", "row_id").alias("head_crc"),
         F.max("file_size").alias("file_size"),
         F.max("modified_at").alias("modified_at"),
         F.max("base_offset").alias("base_offset"),
@@ -127,7 +131,8 @@ def file_totals(blocks: DataFrame) -> DataFrame:
         (F.sum("n") + F.max("base_line")).alias("last_line"),
         (F.sum("n_bytes") + F.max("base_offset")).alias("n_bytes"),
         F.max_by("last_bytes", "block_start").alias("last_bytes"),
-        F.min_by("head", "block_start").alias("head"),
+        F.min_by("head_bytes", "block_start").alias("head_bytes"),
+        F.min_by("head_crc", "block_start").alias("head_crc"),
         F.max("file_size").alias("byte_offset"),
         F.max("modified_at").alias("modified_at"),
         F.max("base_offset").alias("base_offset"),
@@ -138,7 +143,7 @@ def file_totals(blocks: DataFrame) -> DataFrame:
         ((F.col("n_bytes") == F.col("byte_offset")) | open_tail).alias("whole"),
         (F.col("byte_offset") - F.when(open_tail, F.col("last_bytes")).otherwise(0)).alias("resume_offset"),
         (F.col("last_line") - F.when(open_tail, 1).otherwise(0)).alias("resume_line"),
-        F.col("head.n_bytes").alias("head_bytes"), F.col("head.line_crc").alias("head_crc"),
+        "head_bytes", "head_crc",
     )
 
 

@@ -29,6 +29,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 #: Bytes of a range that one task reads; bytes read at once beyond a block to end its last line.
 BLOCK, STEP = 8 << 20, 1 << 16
+#: Bytes of files that one task gets to read or copy.
+TASK_BYTES = 32 << 20
 
 RANGE_LINES = T.StructType(
     [
@@ -116,6 +118,16 @@ def _batch(lines: list[bytes], path: str, lo: int, size: int, modified_at, start
 # --- batch --------------------------------------------------------------------
 
 
+def dealt(rows: DataFrame, n_rows: int, n_bytes: int) -> DataFrame:
+    """``rows`` that stand for ``n_bytes`` of files, dealt to tasks of about ``TASK_BYTES``, at least one a core.
+
+    The number is given: adaptive execution knows only the size of the rows, would
+    find them few and put them into one task.
+    """
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(n_rows, max(least, -(-n_bytes // TASK_BYTES)))))
+
+
 def unbroken(candidates: DataFrame, open_file: Callable = opened) -> DataFrame:
     """The rows (source_file, resume_offset, head_bytes, head_crc, ...) whose file is the one that was read, grown."""
 
@@ -139,7 +151,10 @@ def read_ranges(ranges: DataFrame, open_file: Callable = opened) -> DataFrame:
     A file that fails gives no line, so that its bytes do not add up and it is tried again.
     """
     block = F.explode(F.expr(f"sequence(resume_offset, length - 1, {BLOCK}L)")).alias("lo")
-    blocks = ranges.where("length > resume_offset").select("source_file", "resume_offset", "resume_line", "length", "modified_at", block)
+    ranges = ranges.where("length > resume_offset")
+    blocks = ranges.select("source_file", "resume_offset", "resume_line", "length", "modified_at", block)
+    size = F.col("length") - F.col("resume_offset")
+    n_blocks, n_bytes = ranges.agg(F.coalesce(F.sum(F.ceil(size / BLOCK)), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +167,7 @@ def read_ranges(ranges: DataFrame, open_file: Callable = opened) -> DataFrame:
                     continue
                 yield _batch(lines, r["source_file"], lo, to, r["modified_at"], start, r["resume_line"])
 
-    return blocks.repartition("source_file", "lo").mapInArrow(run, RANGE_LINES)
+    return dealt(blocks, n_blocks, n_bytes).mapInArrow(run, RANGE_LINES)
 
 
 # --- stream -------------------------------------------------------------------

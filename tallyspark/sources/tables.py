@@ -30,6 +30,24 @@ def staging(spark: SparkSession) -> Iterator[None]:
             delete_path(spark, path)
 
 
+@contextlib.contextmanager
+def short_splits(spark: SparkSession, size: str = "32m") -> Iterator[None]:
+    """Files are read in splits of ``size`` inside, unless the platform set a size.
+
+    For plans that sort what a task reads: rows with much repetition take over ten times
+    the room in memory that they take in a file.
+    """
+    key = "spark.sql.files.maxPartitionBytes"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, and its size is known to the planner.
 

@@ -1,15 +1,19 @@
 """Reading logs from saved offsets: blocks, ranges, growth, truncation, the tail stream."""
 
+import datetime as dt
 import io
 import json
 import os
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.plans import ingest as I
 from tallyspark.sources import ranges as R
+from tallyspark.sources.logs import block_totals, file_totals, scan_lines
+from tallyspark.sources.tables import short_splits
 from tallyspark.streaming import live as L
 
 
@@ -137,3 +141,43 @@ def test_tail_delivers_appended_lines_and_replays_a_failed_batch(spark, tmp_dir,
     put(path, line(11) + "\n", "a")
     assert I.ingest(spark, root, store).rows_added == 1
     assert {r.message_id: r.source_line for r in I.read_usage(spark, store).collect()}["m11"] == 2
+
+
+def test_ranges_of_small_files_are_dealt_to_several_tasks(spark, tmp_dir):
+    names = [f"{tmp_dir}/{i}.jsonl" for i in range(6)]
+    for i, name in enumerate(names):
+        with open(name, "w") as fh:
+            fh.write(f"old\nnew {i}\n")
+    rows = [(name, 4, 1, os.path.getsize(name), dt.datetime(2024, 1, 1)) for name in names]
+    found = spark.createDataFrame(rows, "source_file string, resume_offset bigint, resume_line bigint, length bigint, modified_at timestamp")
+    got = R.read_ranges(found).select("value", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.value for r in got) == [f"new {i}" for i in range(6)]
+    assert len({r.task for r in got}) > 1
+    assert R.read_ranges(found.where("length < 0")).count() == 0
+
+
+def test_block_totals_do_not_sort_the_lines(spark, tmp_dir, capsys):
+    with open(f"{tmp_dir}/a.jsonl", "w") as fh:
+        fh.write("one\n\nthree")
+    lines = scan_lines(spark, tmp_dir).withColumn("line_crc", F.crc32("value"))
+    blocks = block_totals(lines)
+    blocks.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
+    r = file_totals(blocks).first()
+    assert (r.last_line, r.byte_offset, r.resume_offset, r.resume_line, r.open_tail, r.whole) == (3, 10, 5, 2, True, True)
+    assert (r.head_bytes, r.head_crc) == (3, zlib.crc32(b"one"))
+
+
+def test_short_splits_leave_a_set_size_alone(spark):
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        with short_splits(spark):
+            assert spark.conf.get(key) == "32m"
+            with short_splits(spark, "1m"):
+                assert spark.conf.get(key) == "32m"
+        assert spark.conf.get(key, None) is None
+    finally:
+        if before is not None:
+            spark.conf.set(key, before)
