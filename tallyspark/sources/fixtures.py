@@ -253,7 +253,7 @@ def copy_logs(spark: SparkSession, source: str, target: str, share: float, glob:
 
     from ..plans.ingest import list_files
     from ..sources.logs import root_path
-    from ..sources.ranges import filesystem
+    from ..sources.ranges import BLOCK, dealt, filesystem
 
     source, target = root_path(source), root_path(target)
 
@@ -264,13 +264,17 @@ def copy_logs(spark: SparkSession, source: str, target: str, share: float, glob:
                 copy = target + name.removeprefix(source)
                 where.create_dir(copy.rsplit("/", 1)[0])
                 with where.open_input_file(name) as old, where.open_output_stream(copy) as new:
-                    new.write(old.read(int(size * share)))
+                    left = int(size * share)
+                    while left and (data := old.read(min(left, BLOCK))):
+                        new.write(data)
+                        left -= len(data)
                 yield pa.RecordBatch.from_arrays([pa.array([path])], names=["source_file"])
 
     files = list_files(spark, source, glob).select("source_file", "length")
     if share < 1:
         files = files.where(~F.col("source_file").contains(f"/{LOG_PARTITION}={REPLAY_DIR}/"))
-    files.repartition("source_file").mapInArrow(run, "source_file string").write.format("noop").mode("overwrite").save()
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    dealt(files, n, size).mapInArrow(run, "source_file string").write.format("noop").mode("overwrite").save()
 
 
 # --- provider feed derived from the part table ------------------------------

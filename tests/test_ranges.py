@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.plans import ingest as I
 from tallyspark.sources import ranges as R
+from tallyspark.sources.fixtures import copy_logs
 from tallyspark.sources.logs import block_totals, file_totals, scan_lines
 from tallyspark.sources.tables import short_splits
 from tallyspark.streaming import live as L
@@ -181,3 +182,25 @@ def test_short_splits_leave_a_set_size_alone(spark):
     finally:
         if before is not None:
             spark.conf.set(key, before)
+
+
+def test_logs_are_copied_by_several_tasks(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr("tallyspark.sources.ranges.BLOCK", 7)
+    os.makedirs(f"{tmp_dir}/whole/p=~replay")
+    texts = {f"{i}.txt": f"{i}" * 40 for i in range(6)} | {"p=~replay/r.txt": "again"}
+    for name, text in texts.items():
+        with open(f"{tmp_dir}/whole/{name}", "w") as fh:
+            fh.write(text)
+    sc = spark.sparkContext
+    for share in (0.5, 1.0):
+        sc.setJobGroup(f"copy-{tmp_dir}-{share}", "")
+        copy_logs(spark, f"{tmp_dir}/whole", f"{tmp_dir}/grown", share)
+        job = max(sc.statusTracker().getJobIdsForGroup(f"copy-{tmp_dir}-{share}"))
+        last = max(sc.statusTracker().getJobInfo(job).stageIds)
+        assert sc.statusTracker().getStageInfo(last).numTasks > 1
+        for name, text in texts.items():
+            if share < 1 and "~replay" in name:
+                assert not os.path.exists(f"{tmp_dir}/grown/{name}")
+            else:
+                assert open(f"{tmp_dir}/grown/{name}").read() == text[: int(len(text) * share)]
+    sc.setLocalProperty("spark.jobGroup.id", None)
